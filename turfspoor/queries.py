@@ -1,0 +1,21 @@
+"""The registered queries of the engine's own operators and the problems of the core."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from turfspoor.operators import incremental
+from turfspoor.session import table
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Files to process in every successful run but the first, whose result is the base."""
+    runs = table(spark, folder, "verversing").filter("uitkomst = 'ok'")
+    todo = incremental.gaps(runs, "ronde", incremental.first_commit(runs, "ronde"))
+    files = table(spark, folder, "bronbestand")
+    found = incremental.changed_records(files, runs, todo, ["bron", "pad"], "ronde", "gezien", ["mtime", "grootte"], "ids")
+    return found.selectExpr("cast(ronde AS int) AS ronde", "bron", "pad")
+
+
+QUERIES = {f.__name__: f for f in (p5_found,)}
+FLAGSHIP = p5_found

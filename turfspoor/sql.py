@@ -1,0 +1,10 @@
+"""DuckDB SQL with the results of the core queries."""
+
+SQL = {
+    "p5_found": """
+WITH runs AS (SELECT ronde, row_number() OVER (ORDER BY ronde) AS k FROM verversing WHERE uitkomst = 'ok'),
+    looks AS (SELECT b.*, k, row_number() OVER (PARTITION BY ronde, bron, pad ORDER BY gezien DESC NULLS LAST, mtime DESC NULLS LAST, grootte DESC NULLS LAST) AS at FROM bronbestand b JOIN runs USING (ronde)),
+    last AS (SELECT * FROM looks WHERE at = 1)
+SELECT a.ronde, a.bron, a.pad FROM last a LEFT JOIN last b ON b.k = a.k - 1 AND b.bron IS NOT DISTINCT FROM a.bron AND b.pad IS NOT DISTINCT FROM a.pad
+WHERE a.k > 1 AND (b.k IS NULL OR b.ids IS NULL OR a.mtime IS DISTINCT FROM b.mtime OR a.grootte IS DISTINCT FROM b.grootte)""",
+}

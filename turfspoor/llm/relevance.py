@@ -34,7 +34,7 @@ def letter_words(text: Column) -> Column:
 def document_frequencies(df: DataFrame, fields: list[str]) -> DataFrame:
     """(term, df) for each term, and one row with a null term: df = N and total = sum of lengths."""
     tokens = df.select(letter_words(joined_text(fields)).alias("tokens"))
-    marked = tokens.select(F.size("tokens").cast("long").alias("len"), F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("term"))
+    marked = tokens.select(F.size("tokens").cast("long").alias("len"), F.explode_outer(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("term"))
     length = F.when(F.col("term").isNull(), F.col("len"))
     return marked.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(length).alias("total"))
 
@@ -42,21 +42,23 @@ def document_frequencies(df: DataFrame, fields: list[str]) -> DataFrame:
 def record_terms(df: DataFrame, key: str, fields: list[str], min_tf: int) -> DataFrame:
     """(key, term, tf, len) of each distinct term that occurs at least ``min_tf`` times in its record.
 
-    The sorted tokens of one record hold a term at i and at i - (min_tf - 1) exactly where it occurs
-    that often, so rarer terms are gone before a row is made of them.
+    One fold over the sorted tokens counts the runs of equal ones; a term is put out at each of its
+    occurrences from number ``min_tf`` on, so rarer terms are gone before a row is made of them. The
+    fold names its input once: an expression that a lambda names again is evaluated again.
     """
-    tokens = df.select(F.col(key).alias("_key"), F.array_sort(letter_words(joined_text(fields))).alias("tokens"))
+    start = "named_struct('last', cast(null as string), 'n', 0, 'len', 0, 'often', cast(array() as array<string>))"
+    n = "if(x <=> acc.last, acc.n + 1, 1)"
+    step = f"named_struct('last', x, 'n', {n}, 'len', acc.len + 1, 'often', if({n} >= {min_tf}, concat(acc.often, array(x)), acc.often))"
+    tokens = F.array_sort(letter_words(joined_text(fields)))
     if min_tf > 1:
-        back = min_tf - 1
-        often = F.expr(f"filter(tokens, (x, i) -> i >= {back} and tokens[i - {back}] = x)")
-        tokens = tokens.withColumn("often", often).filter(F.size("often") > 0)
+        fold = df.select(F.col(key).alias("_key"), tokens.alias("tokens"))
+        fold = fold.select("_key", F.expr(f"aggregate(tokens, {start}, (acc, x) -> {step})").alias("fold")).select("_key", F.col("fold.len").alias("len"), F.col("fold.often").alias("often"))
     else:
-        back = 0
-        tokens = tokens.withColumn("often", F.col("tokens"))
-    rows = tokens.select("_key", F.size("tokens").alias("len"), F.posexplode("often").alias("pos", "term"))
-    # equal terms stand together; their count within one record follows from the runs
+        fold = df.select(F.col(key).alias("_key"), tokens.alias("often")).select("_key", F.size("often").alias("len"), "often")
+    # outer: a plain explode would test the size of its array first and evaluate it twice for that
+    rows = fold.select("_key", "len", F.explode_outer("often").alias("term")).filter(F.col("term").isNotNull())
     counted = rows.groupBy("_key", "len", "term").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(F.col("_key").alias(key), "term", (F.col("n") + back).cast("int").alias("tf"), "len")
+    return counted.select(F.col("_key").alias(key), "term", (F.col("n") + (min_tf - 1)).cast("int").alias("tf"), "len")
 
 
 def distinctive_terms(df: DataFrame, key: str = "id", fields: tuple[str, ...] = ("titel", "sectie", "tekst"), k1: float = 1.2, b: float = 0.75, min_tf: int = 1, min_df: int = 1, max_df: int | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turfspoor.llm import neardup, relevance, tokenize, vectors
+from turfspoor.llm import neardup, personal, relevance, tokenize, vectors
 from turfspoor.session import table
 
 FIELDS = ("titel", "sectie", "tekst")
@@ -19,6 +19,26 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.NearDuplicates(table(spark, folder, "stuk")).groups()
 
 
+def _personal(spark: SparkSession, folder: str):
+    chunks, tasks = table(spark, folder, "stuk"), table(spark, folder, "taken")
+    texts = chunks.select(F.col("tekst").alias("t")).unionAll(tasks.select(F.col("omschrijving").alias("t")))
+    return chunks, tasks, personal.learn_lexicon(texts, "t", table(spark, folder, "naamlijst"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    chunks, tasks, lexicon = _personal(spark, folder)
+    rows = chunks.select(F.lit("stuk").alias("tabel"), F.col("id").alias("sleutel"), F.col("tekst").alias("t"))
+    rows = rows.unionAll(tasks.select(F.lit("taken"), F.col("regel").cast("string"), F.col("omschrijving")))
+    return personal.find_values(rows, ["tabel", "sleutel"], "t", lexicon)
+
+
+def p2_masked(spark: SparkSession, folder: str) -> DataFrame:
+    chunks, tasks, lexicon = _personal(spark, folder)
+    rows = chunks.select(F.lit("stuk").alias("tabel"), F.col("id").alias("sleutel"), F.col("tekst").alias("tekst"))
+    rows = rows.unionAll(tasks.select(F.lit("taken"), F.col("regel").cast("string"), F.col("omschrijving")))
+    return personal.mask_values(rows, "tekst", lexicon)
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     scored = relevance.distinctive_terms(table(spark, folder, "stuk"), "id", FIELDS, min_tf=3, min_df=2, max_df=8)
     return scored.select("id", "term").distinct()
@@ -37,4 +57,4 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.encode_texts(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_weights, p6_found, p8_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_masked, p3_found, p3_weights, p6_found, p8_ids)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turfspoor.llm import neardup, personal, relevance, tokenize, vectors
+from turfspoor.llm import markup, neardup, personal, relevance, tokenize, vectors
 from turfspoor.session import table
 
 FIELDS = ("titel", "sectie", "tekst")
@@ -48,6 +48,14 @@ def p3_weights(spark: SparkSession, folder: str) -> DataFrame:
     return relevance.distinctive_terms(table(spark, folder, "stuk"), "id", FIELDS)
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.residue(table(spark, folder, "stuk"), "id", ["tekst", "ruw"])
+
+
+def p4_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.analyse(table(spark, folder, "stuk"), "id", ["tekst", "ruw"])
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     near = vectors.most_similar(table(spark, folder, "vector"), min_cosine=0.9)
     return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
@@ -57,4 +65,4 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.encode_texts(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_masked, p3_found, p3_weights, p6_found, p8_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_masked, p3_found, p3_weights, p4_found, p4_clean, p6_found, p8_ids)}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turfspoor.llm import markup, neardup, personal, relevance, tokenize, vectors
-from turfspoor.session import table
+from turfspoor.llm import markup, mixing, neardup, personal, ranking, reading, relevance, tokenize, vectors
+from turfspoor.session import table, written
 
 FIELDS = ("titel", "sectie", "tekst")
 
@@ -61,8 +61,43 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
+def _ranked(spark: SparkSession, folder: str):
+    names = ("treffer", "stuk", "vector", "vraag")
+    facts = written(ranking.candidates(*[table(spark, folder, n) for n in names]), "candidates")
+    return facts, ranking.rank_walk(facts, "vraag_id", "id", ranking.SCORES)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    facts, ranked = _ranked(spark, folder)
+    return ranking.leaders(ranked, facts)
+
+
+def p7_order(spark: SparkSession, folder: str) -> DataFrame:
+    return _ranked(spark, folder)[1].select("vraag_id", "id", "plaats", F.round("kans", 9).alias("kans"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.encode_texts(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_masked, p3_found, p3_weights, p4_found, p4_clean, p6_found, p8_ids)}
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mengdoel"))[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mengdoel"))[1]
+
+
+def _levels(spark: SparkSession, folder: str) -> DataFrame:
+    return reading.reading_levels(table(spark, folder, "documents"), table(spark, folder, "leesoordeel"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return reading.ends_of_scale(_levels(spark, folder))
+
+
+def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return _levels(spark, folder).select("doc_id", "moeilijkheid", F.round("w", 6).alias("w"), F.round("l", 6).alias("l"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_masked, p3_found, p3_weights, p4_found, p4_clean, p6_found, p7_found, p7_order, p8_ids, p9_mix, p9_shares, p10_found, p10_levels)}

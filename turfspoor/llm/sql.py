@@ -4,6 +4,9 @@ from __future__ import annotations
 
 LETTERS = "regexp_extract_all(concat_ws(' ', coalesce(titel, ''), coalesce(sectie, ''), coalesce(tekst, '')), '\\p{L}+')"
 
+GOOD = "vec IS NOT NULL AND len(vec) = 64 AND list_bool_and(list_transform(vec, lambda x: x IS NOT NULL AND NOT isnan(x))) AND list_bool_or(list_transform(vec, lambda x: x <> 0))"
+WHITE = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
 TERMS = f"""
     texts AS (SELECT id, {LETTERS} AS runs FROM stuk),
     tokens AS (SELECT id, lower(unnest(runs)) AS term FROM texts),
@@ -21,9 +24,27 @@ WITH texts AS (SELECT id, list_distinct(list_transform(regexp_extract_all(tekst,
     big AS (SELECT id, words, len(words) AS n FROM texts WHERE len(words) >= 30),
     long AS (SELECT id, n, unnest(words) AS w FROM big),
     df AS (SELECT w, count(*) AS df FROM long GROUP BY w),
-    placed AS (SELECT id, n, w, row_number() OVER (PARTITION BY id ORDER BY df, w) AS at FROM long JOIN df USING (w)),
-    prefix AS (SELECT id, n, w FROM placed WHERE at <= n - ceil(0.8 * n) + 1),
+    placed AS (SELECT id, n, w, row_number() OVER (PARTITION BY id ORDER BY df, w) AS nr FROM long JOIN df USING (w)),
+    prefix AS (SELECT id, n, w FROM placed WHERE nr <= n - ceil(0.8 * n) + 1),
     pairs AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM prefix a JOIN prefix b ON a.w = b.w AND a.id < b.id AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n))
 SELECT id_a, id_b FROM pairs JOIN big a ON a.id = id_a JOIN big b ON b.id = id_b
 WHERE len(list_intersect(a.words, b.words)) >= 0.8 * (a.n + b.n - len(list_intersect(a.words, b.words))) - 1e-9""",
+    "p6_found": f"""
+WITH v AS (SELECT id, list_transform(min(vec), lambda x: x::DOUBLE) AS v FROM vector WHERE id IS NOT NULL AND {GOOD} GROUP BY id),
+    sims AS (SELECT a.id AS x, b.id AS y, round(list_cosine_similarity(a.v, b.v), 12) AS s FROM v a JOIN v b ON a.id <> b.id),
+    top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS nr FROM sims WHERE s >= 0.9) WHERE nr <= 10)
+SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM top""",
+    "p7_found": f"""
+WITH cand AS (SELECT vraag_id, id, max(CASE WHEN lijst = 'woorden' AND NOT isnan(score) THEN score END) AS woorden FROM treffer WHERE vraag_id IS NOT NULL AND id IS NOT NULL GROUP BY ALL),
+    v AS (SELECT id, min(vec) AS v FROM vector WHERE {GOOD} GROUP BY id),
+    facts AS (SELECT c.vraag_id, c.id, woorden, list_cosine_similarity(list_transform(v, lambda x: x::DOUBLE), list_transform(q.vec, lambda x: x::DOUBLE)) AS near,
+        CASE WHEN regexp_full_match(left(datum, 10), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN try_cast(left(datum, 10) AS DATE) END AS dag,
+        lower(trim(coalesce(status, ''))) IN ('klaar', 'afgerond', 'gesloten', 'vervallen', 'vervangen', 'done', 'closed', 'deprecated') AS ended
+        FROM cand c LEFT JOIN stuk USING (id) LEFT JOIN v USING (id) LEFT JOIN vraag q USING (vraag_id)),
+    ranked AS (SELECT *, rank() OVER (PARTITION BY vraag_id ORDER BY woorden DESC NULLS LAST) AS a, rank() OVER (PARTITION BY vraag_id ORDER BY near DESC NULLS LAST) AS b, rank() OVER (PARTITION BY vraag_id ORDER BY dag DESC NULLS LAST) AS c FROM facts)
+SELECT vraag_id, id FROM ranked WHERE a <= 8 AND b <= 8 AND c <= 8 AND woorden IS NOT NULL AND near IS NOT NULL AND dag IS NOT NULL AND NOT ended""",
+    "p10_found": f"""
+WITH m AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[.!?]({WHITE}+\\p{{Lu}}|{WHITE}*$)')) AS ends, regexp_extract_all(coalesce(text, ''), '\\p{{L}}+') AS words FROM documents),
+    r AS (SELECT doc_id, ends, len(words) / ends AS w, list_sum(list_transform(words, lambda x: length(x))) / len(words) AS l FROM m WHERE ends >= 5)
+SELECT DISTINCT doc_id, CASE WHEN w <= 7.5 AND l <= 4.4 THEN 'laag' ELSE 'hoog' END AS niveau FROM r WHERE (w <= 7.5 AND l <= 4.4) OR (w >= 18 AND l >= 7)""",
 }

@@ -7,9 +7,13 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from turfspoor.functions.text import DASHED_RUN, HIDDEN, QUESTION_WORDS, STOP_WORDS
 
+#: Types as objects: workers import this module, and only a driver can parse a type from text.
+PARTS = ArrayType(StructType([StructField("section", StringType()), StructField("text", StringType())]))
+
 # --- markdown -------------------------------------------------------------------------------------
 
 SHORT, LONG = 300, 1800
@@ -77,7 +81,7 @@ def chunk_markdown(text: str, title: str, short: int = SHORT, limit: int = LONG)
     return [(name, part) for name, body in bodies for part in pack(body, limit)]
 
 
-@F.pandas_udf("array<struct<section:string,text:string>>")
+@F.pandas_udf(PARTS)
 def markdown_chunks(text: pd.Series, title: pd.Series) -> pd.Series:
     return pd.Series([[{"section": s, "text": b} for s, b in chunk_markdown(t or "", n or "")] for t, n in zip(text, title)])
 
@@ -95,7 +99,7 @@ def hide_dashed(text: str | None) -> str | None:
     return _DASHED.sub(lambda m: HIDDEN if all(p.search(m.group()) for p in _MIXED) else m.group(), text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def mask_dashed_runs(text: pd.Series) -> pd.Series:
     return pd.Series([hide_dashed(t) for t in text], dtype=object)
 
@@ -133,7 +137,7 @@ def readable(value, indent: str = "") -> str:
     return indent + scalar(value)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def readable_json(text: pd.Series) -> pd.Series:
     """JSON text as readable lines; text that is no JSON stays as it is."""
 
@@ -177,7 +181,7 @@ def names_in(question: str | None) -> list[list[str]]:
     return list({tuple(n): n for n in reversed([x for x in found if x])}.values())[::-1]
 
 
-@F.pandas_udf("array<array<string>>")
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
 def names(question: pd.Series) -> pd.Series:
     return pd.Series([names_in(q) for q in question])
 
@@ -215,7 +219,7 @@ def snippet_of(text: str | None, terms: list[str], before: str = "[", after: str
     return ("…" if first else "") + body + ("…" if last < len(spans) else "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def snippets(text: pd.Series, terms: pd.Series) -> pd.Series:
     return pd.Series([snippet_of(t, list(w) if w is not None else []) for t, w in zip(text, terms)], dtype=object)
 
@@ -290,6 +294,6 @@ def dutch_stem(word: str) -> str:
     return w.lower()
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def dutch_stems(words: pd.Series) -> pd.Series:
     return pd.Series([[dutch_stem(w) for w in x] if x is not None else [] for x in words])

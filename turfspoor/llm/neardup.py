@@ -112,7 +112,8 @@ def signatures(key: str, text: str, min_words: int, rows: int = ROWS, bands: int
                     keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) + place
                     short = np.unique((words >> np.uint64(32)).astype("<u4"))
                     out.append((i, xxhash.xxh128_digest(words.tobytes()), short.tobytes(), keys.view(np.int64), (low[:SKETCH] & np.uint32(255)).astype(np.uint8).tobytes()))
-            yield pd.DataFrame(out, columns=["id", "class", "words", "bands", "sketch"])
+            if out:
+                yield pd.DataFrame(out, columns=["id", "class", "words", "bands", "sketch"])
 
     return run
 

@@ -44,7 +44,7 @@ SURNAME = rf"{PART}(?:-{PART})*"
 
 AT = r"(?:@|＠|&\#64;|%40|[ ]?[\[({<][ ]?(?:at|apenstaart(?:je)?)[ ]?[\])}>][ ]?|[ ]apenstaart(?:je)?[ ])"
 DOT = r"(?:\.|[ ]?[\[({<][ ]?(?:punt|dot|\.)[ ]?[\])}>][ ]?|[ ](?:punt|dot)[ ])"
-EMAIL = re.compile(rf"(?<![\w.+%-])[a-z0-9_](?:[\w.+%'-]*[\w+-])?{AT}[a-z0-9](?:[\w-]*\w)?(?:{DOT}[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)+(?![\w@-])", re.I | re.X)
+EMAIL = re.compile(rf"(?<![\w.+%'-])[a-z0-9_](?:[\w.+%'-]*[\w+-])?{AT}[a-z0-9](?:[\w-]*\w)?(?:{DOT}[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)+(?![\w@-])", re.I | re.X)
 EMAIL_HINT = re.compile(r"@|＠|&#64;|%40|apenstaart|[\[({<] ?at ?[\])}>]", re.I)
 DIGITS_HINT = re.compile(r"\d[\d .()-]{4,}\d|[A-Za-z0-9]{6}\d")
 PHONE = re.compile(r"(?<![\w.,/+-])(?:\+\d{2}|00[1-9]\d(?=[ .(-])|\(0\d{1,3}\)|0(?=[1-9]))(?:(?:[ ]?\(0\)[ ]?|[ ]-[ ]|[ .-])?\d){6,12}(?![\w]|-\d|\.\d)")

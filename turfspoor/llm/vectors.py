@@ -120,7 +120,8 @@ def unit_vectors(id_column: str, vec: str, dim: int):
                 if np.isfinite(length) and length > 0:
                     ids.append(i)
                     out.append((v + np.float32(0)).astype("<f4").tobytes())  # no negative zeros
-            yield pd.DataFrame({"id": ids, "v": out})
+            if ids:
+                yield pd.DataFrame({"id": ids, "v": out})
 
     return run
 

@@ -186,22 +186,23 @@ def front_block(text: Column) -> Column:
     return F.regexp_extract(blank(text), FRONT, 1)
 
 
-def front_fields(text: Column) -> Column:
-    """A map of the ``key: value`` lines of the front block; keys in lower case, the last one wins."""
-    lines = F.filter(F.split(front_block(text), "\n"), lambda x: x.contains(":") & ~x.rlike(r"^[ \t]"))
-    pairs = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, r"^([^:]*):", 1))).alias("k"), F.regexp_replace(F.regexp_replace(F.trim(F.regexp_extract(x, r"^[^:]*:([\s\S]*)$", 1)), r'^"+|"+$', ""), "^'+|'+$", "").alias("v")))
-    # later pairs of a key win: keep a pair if no later one has its key
-    kept = F.filter(F.transform(pairs, lambda p, i: F.struct(p.getField("k").alias("k"), p.getField("v").alias("v"), i.alias("i"))), lambda p: F.lit(True))
-    return F.map_from_entries(F.transform(F.filter(kept, lambda p: ~F.exists(kept, lambda q: (q.getField("k") == p.getField("k")) & (q.getField("i") > p.getField("i")))), lambda p: F.struct(p.getField("k"), p.getField("v"))))
+def front_value(text: Column, name: str) -> Column:
+    """The value of a key of the front block, or an empty string. Of a repeated key the last one counts.
+
+    Keys are matched in any case; indented lines and lines without a colon are none. Quotes around
+    the value go, double ones first.
+    """
+    raw = F.regexp_extract(front_block(text), rf"(?is)\A(?:.*\n)?{name}[ \t]*:([^\n]*)", 1)
+    return F.regexp_replace(F.regexp_replace(F.trim(raw), r'^"+|"+$', ""), "^'+|'+$", "")
 
 
 def front_body(text: Column) -> Column:
     return F.regexp_replace(blank(text), FRONT, "")
 
 
-def first_field(fields: Column, *names: str) -> Column:
-    """The first of the named fields that is not empty, or null."""
-    return F.coalesce(*[F.nullif(fields[n], F.lit("")) for n in names])
+def first_field(text: Column, *names: str) -> Column:
+    """The first of the named keys of the front block that is not empty, or null."""
+    return F.coalesce(*[F.nullif(front_value(text, n), F.lit("")) for n in names])
 
 
 def opted_out(text: Column, keys: tuple[str, ...] = ("index",)) -> Column:

@@ -202,13 +202,18 @@ def nears(tree) -> list[tuple[int, list[int]]]:
     return [(tree[1], tree[2])] if tree[0] == "near" else nears(tree[1]) + nears(tree[2])
 
 
-def negated(tree, inside: bool = False) -> set[int]:
-    """Phrases to the right of NOT: they decide, but add nothing to the score."""
-    if tree[0] == "phrase":
-        return {tree[1]} if inside else set()
-    if tree[0] == "near":
-        return set(tree[2]) if inside else set()
-    return negated(tree[1], inside) | negated(tree[2], inside or tree[0] == "not")
+def gates(tree, above: tuple = ()) -> dict[int, tuple]:
+    """For each phrase the subtrees that a chunk must satisfy for the phrase to count in its score.
+
+    A phrase in a branch that fails adds nothing, nor does one to the right of NOT.
+    """
+    kind = tree[0]
+    if kind == "phrase":
+        return {tree[1]: above}
+    if kind == "near":
+        return {m: (*above, tree) for m in tree[2]}
+    here = (*above, tree)
+    return gates(tree[1], here) if kind == "not" else gates(tree[1], here) | gates(tree[2], here)
 
 
 def search_raw(index: LexicalIndex, query: str, source: str | None = None, limit: int = 40) -> DataFrame:
@@ -222,7 +227,7 @@ def search_raw(index: LexicalIndex, query: str, source: str | None = None, limit
     found = index.occurrences(spark.createDataFrame(rows, PHRASES))
     if first := [n for n, p in enumerate(phrases) if p.initial]:
         found = found.filter(~F.col("phrase_no").isin(first) | (F.col("start") == 0))
-    together = []
+    together, counted = [], found
     for distance, members in nears(tree):
         if len(members) > 1:
             groups = found.filter(F.col("phrase_no").isin(members))
@@ -231,12 +236,18 @@ def search_raw(index: LexicalIndex, query: str, source: str | None = None, limit
             close = groups.groupBy("question_id", "attempt", "ord", "col").applyInPandas(near_filter(distance, members), groups.schema)
             found = found.unionByName(close)
         together.append((members, distance))
-    parts = index.score(found)
-    held = parts.groupBy("question_id", "ord").agg(F.collect_set("phrase_no").alias("held"), F.sum(F.when(~F.col("phrase_no").isin([-9, *negated(tree)]), F.col("part")).otherwise(0.0)).alias("score"))
+    parts = index.score(found, counted)
+    held = parts.groupBy("question_id", "ord").agg(F.map_from_entries(F.collect_list(F.struct("phrase_no", "part"))).alias("parts")).withColumn("held", F.map_keys("parts"))
     for members, _ in together:
         whole = F.forall(F.array(*[F.lit(m) for m in members]), lambda m: F.array_contains("held", m))
         held = held.withColumn("held", F.when(whole, F.array_append("held", F.lit(-1 - members[0]))).otherwise(F.col("held")))
-    hits = held.filter(holds(tree, F.col("held"))).join(index.lengths, "ord")
+    score = F.lit(0.0)
+    for phrase, above in sorted(gates(tree).items()):
+        passed = F.lit(True)
+        for branch in above:
+            passed = passed & holds(branch, F.col("held"))
+        score = score + F.when(passed, F.coalesce(F.try_element_at("parts", F.lit(phrase)), F.lit(0.0))).otherwise(0.0)
+    hits = held.filter(holds(tree, F.col("held"))).withColumn("score", score).join(index.lengths, "ord")
     if source:
         hits = hits.filter(F.col("source") == source)
     return best(hits, ["question_id"], limit).select("question_id", "ord", "chunk_id", "score", "rank")

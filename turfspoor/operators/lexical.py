@@ -69,12 +69,18 @@ class LexicalIndex:
         many = starts.filter("size > 1").groupBy(*keys, "ord", "col", "start", "size").agg(F.count_distinct("k").alias("met")).filter("met = size").drop("met")
         return one.unionByName(many)
 
-    def score(self, occurrences: DataFrame) -> DataFrame:
-        """(question_id, attempt, phrase_no, ord, part): the share of each phrase in the score."""
+    def score(self, occurrences: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+        """(question_id, attempt, phrase_no, ord, part): the share of each phrase in the score.
+
+        ``counted`` has the occurrences that say how common a phrase is, if these are others.
+        """
         keys = ["question_id", "attempt", "phrase_no"]
         weight = F.coalesce(*[F.when(F.col("col") == c, F.lit(w)) for c, w in WEIGHTS.items()], F.lit(1.0))
         f = occurrences.groupBy(*keys, "ord").agg(F.sum(weight).alias("f"))
-        n = f.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        if counted is None:
+            n = f.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        else:
+            n = counted.groupBy(*keys).agg(F.count_distinct("ord").alias("n"))
         facts = f.join(n, keys).join(self.lengths.select("ord", "len"), "ord").crossJoin(F.broadcast(self.statistics()))  # one row
         ratio = (F.col("n_chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5)
         idf = F.greatest(F.log(ratio), F.lit(IDF_FLOOR))

@@ -40,9 +40,8 @@ def markdown_chunks(documents: DataFrame, settings: Settings) -> DataFrame:
     Also for text that comes from no file. Front matter gives title, status, date and a description,
     which stands before each chunk, or is the only chunk of a document without text.
     """
-    fields = T.front_fields(F.col("text"))
-    described = documents.select("*", fields.alias("fields"), T.front_body(F.col("text")).alias("body"))
-    named = described.select("source", "path", "file", "order", "body", F.coalesce(T.first_field(F.col("fields"), "titel", "title", "name", "naam"), stem_of(F.col("path"))).alias("title"), F.coalesce(T.first_field(F.col("fields"), "status"), F.lit("")).alias("status"), F.coalesce(T.first_field(F.col("fields"), "datum", "date"), T.blank(F.col("date"))).alias("date"), F.coalesce(T.first_field(F.col("fields"), "description", "omschrijving", "beschrijving"), F.lit("")).alias("about"))
+    described = documents.select("*", T.front_body(F.col("text")).alias("body"))
+    named = described.select("source", "path", "file", "order", "body", F.coalesce(T.first_field(F.col("text"), "titel", "title", "name", "naam"), stem_of(F.col("path"))).alias("title"), F.coalesce(T.first_field(F.col("text"), "status"), F.lit("")).alias("status"), F.coalesce(T.first_field(F.col("text"), "datum", "date"), T.blank(F.col("date"))).alias("date"), F.coalesce(T.first_field(F.col("text"), "description", "omschrijving", "beschrijving"), F.lit("")).alias("about"))
     cut = named.withColumn("parts", arrow.markdown_chunks(F.col("body"), F.col("title")))
     alone = F.array(F.struct(F.lit("").alias("section"), F.col("about").alias("text")))
     parts = F.when((F.size("parts") == 0) & (F.col("about") != ""), alone).otherwise(F.col("parts"))

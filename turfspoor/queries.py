@@ -145,8 +145,7 @@ def derive_date(spark, folder):
 def front_matter(spark, folder):
     d = table(spark, folder, "documents").filter(F.col("titel").rlike("^[A-Za-z][A-Za-z ]*$") & F.col("text").isNotNull())
     wrapped = d.select("doc_id", F.concat(F.lit('---\nTitel: "'), F.col("titel"), F.lit('"\n  inner: x\nstatus: oud\nSTATUS: '), F.coalesce("lang", F.lit("")), F.lit("\nplain\n---\n"), F.lit("body "), F.col("doc_id").cast("string")).alias("t"))
-    fields = T.front_fields(F.col("t"))
-    return wrapped.select("doc_id", T.first_field(fields, "titel", "title").alias("title"), F.coalesce(T.first_field(fields, "status"), F.lit("")).alias("status"), T.front_body(F.col("t")).alias("body"))
+    return wrapped.select("doc_id", T.first_field(F.col("t"), "titel", "title").alias("title"), F.coalesce(T.first_field(F.col("t"), "status"), F.lit("")).alias("status"), T.front_body(F.col("t")).alias("body"))
 
 
 def opt_out_documents(spark, folder):
@@ -192,8 +191,14 @@ def overview_chunk(spark, folder):
     return ingest.overview(named, Settings(mask=False)).select("source", "title", "text")
 
 
+def name_questions(spark, folder):
+    """A question about each name of the list; the questions of ``vraag`` hold none."""
+    n = table(spark, folder, "naamlijst").filter("naam is not null").select("naam").distinct()
+    return n.select(F.crc32("naam").alias("question_id"), F.concat(F.lit("Wie kent "), "naam", F.lit(" en het KVK-nummer?")).alias("question"))
+
+
 def names_in_questions(spark, folder):
-    return questions_of(spark, folder).select("question_id", F.posexplode(arrow.names(F.col("question"))).alias("nth", "words")).select("question_id", "nth", F.array_join("words", " ").alias("name"))
+    return name_questions(spark, folder).select("question_id", F.posexplode(arrow.names(F.col("question"))).alias("nth", "words")).select("question_id", "nth", F.array_join("words", " ").alias("name"))
 
 
 def dutch_stem_counts(spark, folder):
@@ -264,7 +269,7 @@ def word_cascade(spark, folder):
 
 
 def name_lists(spark, folder):
-    w = lexical.name_lists(index_of(spark, folder), questions_of(spark, folder).drop("vec"), arrow.names(F.col("question")))
+    w = lexical.name_lists(index_of(spark, folder), name_questions(spark, folder), arrow.names(F.col("question")))
     return w.select("question_id", "list_no", "chunk_id", "rank")
 
 

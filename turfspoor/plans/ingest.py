@@ -5,6 +5,8 @@ Opted-out and excluded text is dropped before masking and before anything is wri
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from turfspoor.config import Settings, Source
 from turfspoor.functions import arrow
 from turfspoor.functions import text as T
 from turfspoor.operators import dedup
+from turfspoor.session import written
 from turfspoor.sources import readers
 
 CHUNK = ["chunk_id", "source", "path", "title", "section", "date", "status", "text", "refs", "ordinal", "file", "raw_fp"]
@@ -52,8 +55,30 @@ def markdown_chunks(documents: DataFrame, settings: Settings) -> DataFrame:
     return rows.select(T.short_id(F.col("source"), F.col("path"), F.col("section"), F.col("ordinal")).alias("chunk_id"), "*", F.array_join(T.references(F.col("text"), patterns=settings.reference_patterns), ",").alias("refs"), F.lit(None).cast("string").alias("raw_fp"))
 
 
-def markdown_source(spark: SparkSession, source: Source, settings: Settings) -> DataFrame:
-    files = readers.markdown_files(spark, source).filter(~F.col("excluded") & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+class Earlier(NamedTuple):
+    """What the last index has: its chunks, and its ledger of files (source, path, modified, size, intact)."""
+
+    chunks: DataFrame
+    ledger: DataFrame
+
+
+def unchanged_files(spark: SparkSession, source: Source, earlier: Earlier) -> DataFrame:
+    """(source, path) of the files that are as the ledger has them and lost no chunk to de-duplication."""
+    now = readers.listing(spark, source).filter("not excluded").select("source", "path", "modified", "size")
+    return now.join(earlier.ledger.filter("intact"), ["source", "path", "modified", "size"], "left_semi").select("source", "path")
+
+
+def markdown_source(spark: SparkSession, source: Source, settings: Settings, earlier: Earlier | None = None) -> DataFrame:
+    """The chunks of a folder; those of unchanged files come from the last index and are not made anew."""
+    if earlier is not None:
+        same = unchanged_files(spark, source, earlier)
+        kept = earlier.chunks.join(same.withColumnRenamed("path", "file"), ["source", "file"], "left_semi")
+        return _read_markdown(spark, source, settings, same).select(*CHUNK, "order").unionByName(kept.select(*CHUNK, readers.walk_key(F.col("file")).alias("order")))
+    return _read_markdown(spark, source, settings, None)
+
+
+def _read_markdown(spark: SparkSession, source: Source, settings: Settings, unchanged: DataFrame | None) -> DataFrame:
+    files = readers.markdown_files(spark, source, unchanged).filter(F.trim(F.coalesce("text", F.lit(""))) != "")
     open_ = files.filter(~T.opted_out(F.col("text"), settings.opt_out_keys)).withColumn("text", masked(F.col("text"), settings))
     dated = open_.withColumn("date", T.derived_date(F.concat(F.lit(source.path.rstrip("/") + "/"), F.col("path")), F.col("text"), F.col("modified")))
     return markdown_chunks(dated.select("source", "path", "text", "date", F.col("path").alias("file"), F.col("walk").alias("order")), settings)
@@ -89,13 +114,27 @@ def overview(named: DataFrame, settings: Settings) -> DataFrame:
     return all_.select(T.short_id(F.col("source"), F.lit("overzicht"), F.lit(0)).alias("chunk_id"), "source", F.concat("file", F.lit("#overzicht")).alias("path"), F.concat("source", F.lit(" - overzicht ("), F.col("n").cast("string"), F.lit(" items)")).alias("title"), F.lit("overzicht").alias("section"), none.alias("date"), none.alias("status"), masked(F.col("text"), settings).alias("text"), none.alias("refs"), F.lit(0).alias("ordinal"), "file", F.lit(None).cast("string").alias("raw_fp"), F.lit("~").alias("order"))
 
 
-def row_chunks(rows: DataFrame, settings: Settings) -> DataFrame:
-    """Chunks of rows of the caller; the default ordinal is the order of arrival in the document."""
+def row_chunks(rows: DataFrame, settings: Settings, earlier: Earlier | None = None) -> DataFrame:
+    """Chunks of rows of the caller; the default ordinal is the order of arrival in the document.
+
+    A row whose id and raw fingerprint the last index has is not masked again.
+    """
     arrived = F.row_number().over(Window.partitionBy("source", "path").orderBy("arrival")) - 1
     raw = rows.withColumn("given", F.coalesce("ordinal", F.lit(0))).withColumn("ordinal", F.coalesce("ordinal", arrived))
     own = F.when(F.col("chunk_id") != "", F.col("chunk_id")).otherwise(T.short_id(F.col("source"), F.col("path"), F.col("section"), F.col("given")))
     print_ = T.fingerprint(own, *[F.col(c) for c in ("source", "path", "title", "section", "date", "status", "text", "refs")], F.col("ordinal"))
-    hidden = raw.select(own.alias("chunk_id"), "source", "path", "title", "section", "date", "status", masked(F.col("text"), settings).alias("text"), "refs", "ordinal", F.lit("").alias("file"), print_.alias("raw_fp"), F.format_string("%018d", F.col("arrival")).alias("order"))
+    order = F.format_string("%018d", F.col("arrival"))
+    known = raw.select(own.alias("chunk_id"), "source", "path", "title", "section", "date", "status", "text", "refs", "ordinal", F.lit("").alias("file"), print_.alias("raw_fp"), order.alias("order"))
+    if earlier is None:
+        return _masked_rows(known, settings)
+    before = earlier.chunks.filter("raw_fp is not null").select("chunk_id", "raw_fp", F.struct("title", "text", "refs").alias("was"))
+    paired = known.join(before, ["chunk_id", "raw_fp"], "left")
+    same = paired.filter("was is not null").select(*[F.col(f"was.{c}").alias(c) if c in ("title", "text", "refs") else F.col(c) for c in known.columns])
+    return _masked_rows(paired.filter("was is null").select(*known.columns), settings).unionByName(same)
+
+
+def _masked_rows(rows: DataFrame, settings: Settings) -> DataFrame:
+    hidden = rows.withColumn("text", masked(F.col("text"), settings))
     named = hidden.withColumn("title", F.when(F.col("title") != "", F.col("title")).otherwise(stem_of(F.col("path"))))
     return named.withColumn("refs", F.when(F.col("refs") != "", F.col("refs")).otherwise(F.array_join(T.references(F.col("text"), patterns=settings.reference_patterns), ",")))
 
@@ -106,25 +145,38 @@ def numbered(chunks: DataFrame, keys: list[str]) -> DataFrame:
     return chunks.orderBy(*keys).withColumn("ord", F.monotonically_increasing_id())
 
 
-def collect(spark: SparkSession, settings: Settings, rows: DataFrame | None = None) -> DataFrame:
-    """All chunks of all sources and of the caller's rows, without repeats, with ids and prints."""
+def gather(spark: SparkSession, settings: Settings, rows: DataFrame | None = None, earlier: Earlier | None = None) -> DataFrame:
+    """All chunks of all sources and of the caller's rows in their order, repeats included."""
     parts = []
     for n, source in enumerate(settings.sources):
         if source.kind == "markdown":
-            part = markdown_source(spark, source, settings)
+            part = markdown_source(spark, source, settings, earlier)
         else:
             part = json_chunks(readers.json_items(spark, source), source, settings)
-        parts.append(part.withColumn("source_no", F.lit(n)))
+        parts.append(part.select(*CHUNK, "order").withColumn("source_no", F.lit(n)))
     if rows is not None:
-        parts.append(row_chunks(readers.caller_rows(rows), settings).withColumn("source_no", F.lit(len(settings.sources))))
+        parts.append(row_chunks(readers.caller_rows(rows), settings, earlier).select(*CHUNK, "order").withColumn("source_no", F.lit(len(settings.sources))))
     if not parts:
         raise ValueError("there is nothing to index: no source and no rows")
-    union = parts[0].select(*CHUNK, "order", "source_no")
+    union = parts[0]
     for p in parts[1:]:
-        union = union.unionByName(p.select(*CHUNK, "order", "source_no"))
-    from turfspoor.session import written
-
+        union = union.unionByName(p)
     # the order is written before it is used twice, since a sort may be planned anew
-    ordered = written(numbered(union, ["source_no", "order", "ordinal"]).drop("order", "source_no"), "chunks")
-    unique = dedup.repair_ids(dedup.first_of_each_text(ordered))
+    return written(numbered(union, ["source_no", "order", "ordinal"]).drop("order", "source_no"), "chunks")
+
+
+def finish(gathered: DataFrame) -> DataFrame:
+    """The chunks without repeats, with distinct ids and fingerprints."""
+    unique = dedup.repair_ids(dedup.first_of_each_text(gathered))
     return unique.withColumn("content_fp", T.fingerprint(*[F.col(c) for c in ("chunk_id", "source", "path", "title", "section", "date", "status", "text", "refs", "ordinal")]))
+
+
+def collect(spark: SparkSession, settings: Settings, rows: DataFrame | None = None) -> DataFrame:
+    return finish(gather(spark, settings, rows))
+
+
+def intact_files(gathered: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(source, path, intact): whether all chunks of a file are in the index under their own ids."""
+    own = gathered.filter("file <> ''").select("source", "file", "ord", "chunk_id")
+    kept = chunks.select("ord", "chunk_id", F.lit(1).alias("kept"))
+    return own.join(kept, ["ord", "chunk_id"], "left").groupBy("source", F.col("file").alias("path")).agg((F.count("kept") == F.count(F.lit(1))).alias("intact"))

@@ -21,7 +21,7 @@ from turfspoor.functions.text import embedding_input
 from turfspoor.operators.lexical import LexicalIndex
 from turfspoor.operators.semantic import Embedder, TrigramEmbedder
 from turfspoor.plans import ingest
-from turfspoor.session import _hadoop_path
+from turfspoor.session import _hadoop_path, written
 from turfspoor.sources import readers
 
 LOCK_SECONDS = 3600
@@ -103,7 +103,7 @@ class Store:
 
     def ledger(self) -> DataFrame:
         """(source, path, modified, size) of the files as they are now."""
-        parts = [readers.markdown_files(self.spark, s).select("source", "path", "modified", "size") for s in self.settings.sources if s.kind == "markdown"]
+        parts = [readers.listing(self.spark, s).filter("not excluded").select("source", "path", "modified", "size") for s in self.settings.sources if s.kind == "markdown"]
         if not parts:
             return self.spark.createDataFrame([], "source string, path string, modified timestamp, size long")
         out = parts[0]
@@ -114,15 +114,22 @@ class Store:
     def build(self, rows: DataFrame | None = None) -> dict:
         """Build all anew. Vectors are taken from the cache of the last index where it has them."""
         with self._locked():
-            return self._write(ingest.collect(self.spark, self.settings, rows), full=True)
+            return self._write(rows, None)
 
     def refresh(self, rows: DataFrame | None = None) -> dict:
         """Bring the index up to date; the result equals that of a build. Gives counts of what changed."""
         with self._locked():
-            return self._write(ingest.collect(self.spark, self.settings, rows), full=self.why_full() is not None)
+            if self.why_full():
+                return self._write(rows, None)
+            m = self.manifest()
+            return self._write(rows, ingest.Earlier(self.table("chunks", m), self.table("ledger", m)))
 
-    def _write(self, chunks: DataFrame, full: bool) -> dict:
+    def _write(self, rows: DataFrame | None, earlier: ingest.Earlier | None) -> dict:
         before = self.manifest()
+        # listed before it is read: a file that changes meanwhile differs from the ledger next time
+        files = written(self.ledger(), "files")
+        gathered = ingest.gather(self.spark, self.settings, rows, earlier)
+        chunks, full = ingest.finish(gathered), earlier is None
         number = (before["number"] if before else 0) + 1
         snapshot = f"{number}-{uuid.uuid4().hex[:8]}"
         at = f"{self.folder}/snapshots/{snapshot}"
@@ -151,12 +158,14 @@ class Store:
         kept.unionByName(fresh).write.parquet(f"{at}/cache")
         vectors = keyed.select("ord", "source", "key").join(self.spark.read.parquet(f"{at}/cache"), "key").select("ord", "source", "vec")
         vectors.write.parquet(f"{at}/vectors")
-        self.ledger().write.parquet(f"{at}/ledger")
+        whole = ingest.intact_files(gathered, now)
+        files.join(whole, ["source", "path"], "left").withColumn("intact", F.coalesce("intact", F.lit(True))).write.parquet(f"{at}/ledger")
+        reused = files.join(earlier.ledger.filter("intact"), ["source", "path", "modified", "size"], "left_semi").count() if earlier else 0
         changed = difference(self.table("chunks", before), now).groupBy("change").count().collect() if before else []
         counts = {r["change"]: r["count"] for r in changed}
         manifest = {"number": number, "snapshot": snapshot, "structure": STRUCTURE, "version": __version__, "stemmer": self.settings.stemmer, "model": self.embedder.name, "dim": self.embedder.dim, "settings": self.settings.fingerprint(), "chunks": count, "built": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}
         self._commit(manifest)
-        return {"chunks": count, "new": counts.get("new", 0 if before else count), "changed": counts.get("changed", 0), "removed": counts.get("removed", 0), "full": full}
+        return {"chunks": count, "new": counts.get("new", 0 if before else count), "changed": counts.get("changed", 0), "removed": counts.get("removed", 0), "read": files.count() - reused, "reused": reused, "full": full}
 
     def vacuum(self, keep: int = 2) -> int:
         """Delete the snapshots of all but the last commits and of builds that died."""

@@ -25,31 +25,52 @@ def walk_key(path: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p, i: F.concat(F.when(i == last, F.lit("\u0001")).otherwise(F.lit("\u0002")), p)), "\u0001")
 
 
-def markdown_files(spark: SparkSession, source: Source) -> DataFrame:
-    """(source, path, modified, size, text, walk) of the readable ``*.md`` files below a folder.
+FILES = "source string, path string, modified timestamp, size long, walk string, excluded boolean, uri string"
+#: So many changed files are read by name; beyond that their folder is read and joined.
+BY_NAME = 20_000
 
-    Hidden files and folders are left out, as are files that are no UTF-8. BOMs go and line ends are
-    unified. A folder that does not exist has no files. ``excluded`` tells the files that the patterns
-    of the source leave out; their text is null, so it goes no further.
+
+def listing(spark: SparkSession, source: Source, uris: list[str] | None = None, content: bool = False) -> DataFrame:
+    """The ``*.md`` files below a folder, without reading them unless ``content`` is asked for.
+
+    Hidden files and folders are left out. ``excluded`` tells the files that the patterns of the
+    source leave out. A folder that does not exist has no files.
     """
-    schema = "source string, path string, modified timestamp, size long, text string, walk string, excluded boolean"
     root = source.path.rstrip("/")
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(root)
     fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(place):
-        print(f"warning: source {source.name!r} has no folder {root}")
-        return spark.createDataFrame([], schema)
+    if not fs.exists(place) or uris == []:
+        if uris is None:
+            print(f"warning: source {source.name!r} has no folder {root}")
+        return spark.createDataFrame([], FILES + (", content binary" if content else ""))
     base = fs.getFileStatus(place).getPath().toString()
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(uris or root)
     # the path is percent-encoded in the file column
     relative = F.expr("url_decode(replace(path, '+', '%2B'))").substr(F.lit(len(base) + 2), F.lit(1_000_000))
-    named = files.select(relative.alias("rel"), "modificationTime", "length", "content")
+    named = files.select(relative.alias("rel"), "modificationTime", "length", F.col("path").alias("uri"), *(["content"] if content else []))
     kept = named.filter(~F.concat(F.lit("/"), F.col("rel")).rlike(r"/\."))
     chosen = selected(F.col("rel"), list(source.only), list(source.without))
-    text = F.regexp_replace(F.regexp_replace(F.expr("decode(content, 'UTF-8')"), "﻿", ""), LINE_ENDS, "\n")
+    return kept.select(F.lit(source.name).alias("source"), F.col("rel").alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), walk_key(F.col("rel")).alias("walk"), (~chosen).alias("excluded"), "uri", *(["content"] if content else []))
+
+
+def markdown_files(spark: SparkSession, source: Source, unchanged: DataFrame | None = None) -> DataFrame:
+    """(source, path, modified, size, walk, text) of the readable files that the patterns let in.
+
+    Files that are no UTF-8 are left out; BOMs go and line ends are unified. Files in ``unchanged``
+    (source, path) are not read: a few changed ones are read by name, many by a join.
+    """
+    uris = None
+    if unchanged is not None:
+        changed = listing(spark, source).filter("not excluded").join(unchanged, ["source", "path"], "left_anti")
+        some = [r.uri for r in changed.select("uri").limit(BY_NAME + 1).collect()]
+        uris = some if len(some) <= BY_NAME else None
+    files = listing(spark, source, uris, content=True).filter("not excluded")
+    if unchanged is not None and uris is None:
+        files = files.join(unchanged, ["source", "path"], "left_anti")
+    text = F.regexp_replace(F.regexp_replace(F.expr("decode(content, 'UTF-8')"), "\ufeff", ""), LINE_ENDS, "\n")
     valid = F.expr("is_valid_utf8(cast(content as string))")
-    return kept.filter(~chosen | valid).select(F.lit(source.name).alias("source"), F.col("rel").alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), F.when(chosen, text).alias("text"), walk_key(F.col("rel")).alias("walk"), (~chosen).alias("excluded"))
+    return files.filter(valid).select("source", "path", "modified", "size", "walk", text.alias("text"))
 
 
 def json_items(spark: SparkSession, source: Source) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turfspoor.functions.text import coarse_stems, content_words, tokens
+from turfspoor.session import written
 
 # --- fixed values: weights of the columns and parameters of the score ------------------------------
 WEIGHTS = {"title": 6.0, "section": 3.0, "text": 1.0, "stems": 1.0}
@@ -44,6 +45,14 @@ class LexicalIndex:
         total = sum((F.size(f"t_{c}") for c in parts), F.lit(0))
         return cls(postings.select("term", "ord", "col", "pos"), split.select("ord", "chunk_id", "source", "path", total.alias("len")))
 
+    def stored(self) -> LexicalIndex:
+        """The same index with its tables written to the shared folder, for searches that use them often.
+
+        Postings are sorted by term, so that reading the postings of a few words skips most row groups.
+        """
+        postings = self.postings.repartitionByRange("term").sortWithinPartitions("term", "ord")
+        return LexicalIndex(written(postings, "postings"), written(self.lengths, "lengths"))
+
     def statistics(self) -> DataFrame:
         """One row: number of chunks and mean length."""
         return self.lengths.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("len").alias("mean_len"))
@@ -58,17 +67,23 @@ class LexicalIndex:
         words = words.withColumn("starts_with", F.col("prefix") & (F.col("k") == F.col("size") - 1)).drop("prefix")
         exact = words.filter("not starts_with").withColumnRenamed("token", "term")
         prefixed = words.filter("starts_with")
-        # a prefix meets the vocabulary on its first characters, not each term with each prefix
-        heads = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.substring("term", 1, n).alias("head")) for n in (1, 2, 3)])).alias("h")
-        vocabulary = self.postings.select("term").distinct().filter("term <> ''").select("term", heads).select("term", "h.n", "h.head")
-        wide = prefixed.withColumn("n", F.least(F.length("token"), F.lit(3))).withColumn("head", F.expr("substring(token, 1, n)"))
-        widened = wide.join(vocabulary, ["n", "head"]).filter(F.col("term").startswith(F.col("token"))).select(*exact.columns)
-        found = self.postings.join(exact.unionByName(widened), "term").filter(F.col("cols").isNull() | F.array_contains("cols", F.col("col")))
+        asked = exact.unionByName(self._widened(prefixed, exact.columns)) if prefixed.take(1) else exact
+        found = self.postings.join(asked, "term").filter(F.col("cols").isNull() | F.array_contains("cols", F.col("col")))
         starts = found.withColumn("start", F.col("pos") - F.col("k"))
         one = starts.filter("size = 1").select(*keys, "ord", "col", "start", "size")
+        if not phrases.filter(F.size("tokens") > 1).take(1):
+            return one
         many = starts.filter("size > 1").groupBy(*keys, "ord", "col", "start", "size").agg(F.count_distinct("k").alias("met")).filter("met = size").drop("met")
         return one.unionByName(many)
 
+    def _widened(self, prefixed: DataFrame, columns: list[str]) -> DataFrame:
+        """The prefixes with each term of the vocabulary that begins with them."""
+        # a prefix meets the vocabulary on its first characters, not each term with each prefix
+        heads = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.substring("term", 1, n).alias("head")) for n in (1, 2, 3)])).alias("h")
+        vocabulary = self.postings.select("term").distinct().filter("term <> ''").select("term", heads).select("term", "h.n", "h.head")
+        wide = prefixed.withColumn("n", F.least(F.length("token"), F.lit(3))).withColumn("head", F.expr("substring(token, 1, n)"))
+        return wide.join(vocabulary, ["n", "head"]).filter(F.col("term").startswith(F.col("token"))).select(*columns)
+
     def score(self, occurrences: DataFrame, counted: DataFrame | None = None) -> DataFrame:
         """(question_id, attempt, phrase_no, ord, part): the share of each phrase in the score.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turfspoor.config import Settings
 from turfspoor.functions.arrow import names, snippets
-from turfspoor.functions.text import content_words
+from turfspoor.functions.text import coarse_stems, content_words, fold
 from turfspoor.operators import fusion, grammar, lexical, semantic
 from turfspoor.session import written
 
@@ -47,8 +47,10 @@ def search(index: lexical.LexicalIndex, chunks: DataFrame, questions: DataFrame,
         first = F.row_number().over(Window.partitionBy("question_id", "source", "path").orderBy("place")) == 1
         hits = hits.withColumn("_first", first).join(more, ["question_id", "source", "path"], "left").withColumn("siblings", F.when(F.col("_first"), F.col("siblings"))).drop("_first")
     if settings.snippets:
-        terms = asked.select("question_id", content_words(F.col("question")).alias("terms"))
-        hits = hits.join(chunks.select("ord", "text"), "ord").join(terms, "question_id").withColumn("fragment", snippets(F.col("text"), F.col("terms"))).drop("text", "terms")
+        words = content_words(F.col("question"))
+        stems = F.transform(F.filter(coarse_stems(words), lambda x: x.getField("prefix")), lambda x: F.concat(fold(x.getField("token")), F.lit("*")))
+        terms = asked.select("question_id", F.concat(F.transform(words, fold), stems, F.flatten(names(F.col("question")))).alias("terms"))
+        hits = hits.join(chunks.select("ord", "text"), "ord").join(terms, "question_id").withColumn("fragment", snippets(F.col("text"), F.col("terms"), settings.snippet_marks)).drop("text", "terms")
     return hits
 
 

@@ -30,6 +30,10 @@ def index_of(spark: SparkSession, folder: str) -> lexical.LexicalIndex:
     return lexical.LexicalIndex.of(chunks_of(spark, folder))
 
 
+def stored_index(spark: SparkSession, folder: str) -> lexical.LexicalIndex:
+    return index_of(spark, folder).stored()
+
+
 def questions_of(spark: SparkSession, folder: str) -> DataFrame:
     v = table(spark, folder, "vraag")
     unit = F.transform("vec", lambda x: x.cast("double"))
@@ -254,22 +258,22 @@ def bm25_source(spark, folder):
 
 
 def raw_query(spark, folder):
-    hits = grammar.search_raw(index_of(spark, folder), "(sensor* OR kabel*) NOT tekst : planner", limit=2_000_000_000)
+    hits = grammar.search_raw(stored_index(spark, folder), "(sensor* OR kabel*) NOT tekst : planner", limit=2_000_000_000)
     return hits.select("chunk_id", F.round("score", 9).alias("score"))
 
 
 def raw_near(spark, folder):
-    hits = grammar.search_raw(index_of(spark, folder), "NEAR(planner kelder, 8)", limit=2_000_000_000)
+    hits = grammar.search_raw(stored_index(spark, folder), "NEAR(planner kelder, 8)", limit=2_000_000_000)
     return hits.select("chunk_id", F.round("score", 9).alias("score"))
 
 
 def word_cascade(spark, folder):
-    w = lexical.word_list(index_of(spark, folder), questions_of(spark, folder).drop("vec"))
+    w = lexical.word_list(stored_index(spark, folder), questions_of(spark, folder).drop("vec"))
     return w.select("question_id", "chunk_id", "rank", "weight")
 
 
 def name_lists(spark, folder):
-    w = lexical.name_lists(index_of(spark, folder), name_questions(spark, folder), arrow.names(F.col("question")))
+    w = lexical.name_lists(stored_index(spark, folder), name_questions(spark, folder), arrow.names(F.col("question")))
     return w.select("question_id", "list_no", "chunk_id", "rank")
 
 
@@ -325,19 +329,19 @@ def recency_bonus(spark, folder):
 def hybrid_search(spark, folder):
     """Words and meaning fused, with status and recency; names and siblings are queries of their own."""
     settings = Settings(name_weight=0.0, siblings=0)
-    hits = search.search(index_of(spark, folder), chunks_of(spark, folder), questions_of(spark, folder), settings, vectors_of(spark, folder), F.lit(AS_OF).cast("date"))
+    hits = search.search(stored_index(spark, folder), chunks_of(spark, folder), questions_of(spark, folder), settings, vectors_of(spark, folder), F.lit(AS_OF).cast("date"))
     return hits.select("question_id", "place", "chunk_id", "score", F.array_join("signals", ",").alias("signals"))
 
 
 def full_search(spark, folder):
     """All of it: three kinds of lists, re-ranking, siblings and fragments."""
-    hits = search.search(index_of(spark, folder), chunks_of(spark, folder), questions_of(spark, folder), Settings(snippets=True), vectors_of(spark, folder), F.lit(AS_OF).cast("date"))
+    hits = search.search(stored_index(spark, folder), chunks_of(spark, folder), questions_of(spark, folder), Settings(snippets=True), vectors_of(spark, folder), F.lit(AS_OF).cast("date"))
     return hits.select("question_id", "place", "chunk_id", "score", F.array_join("signals", ",").alias("signals"), F.size("siblings").alias("siblings"), "fragment")
 
 
 def sibling_chunks(spark, folder):
     """Siblings of every document that the words of a question hit first."""
-    index, q = index_of(spark, folder), questions_of(spark, folder).drop("vec")
+    index, q = stored_index(spark, folder), questions_of(spark, folder).drop("vec")
     top = written(lexical.word_list(index, q).filter("rank <= 8").join(chunks_of(spark, folder).select("ord", "source", "path"), "ord").select("question_id", "ord", "source", "path"), "top")
     out = fusion.siblings(index, top, q, arrow.names(F.col("question")))
     return out.select("question_id", "source", "path", F.explode("siblings").alias("ord")).select("question_id", "source", "path", F.lower(F.lpad(F.hex("ord"), 12, "0")).alias("chunk_id"))

@@ -18,10 +18,11 @@ TOKENS = """
     st AS (SELECT count(*) AS n_chunks, avg(len) AS mean_len FROM lens)"""
 
 # f holds (q, a, ph, id, f): the weighted occurrences of phrase ph of question q, attempt a
-SCORED = """
-    np AS (SELECT q, a, ph, count(*) AS n FROM f GROUP BY q, a, ph),
+PARTS = """
     parts AS (SELECT f.q, f.a, f.ph, f.id, greatest(ln((n_chunks - n + 0.5) / (n + 0.5)), 1e-6) * f.f * 2.2 / (f.f + 1.2 * (0.25 + 0.75 * len / mean_len)) AS part
               FROM f JOIN np USING (q, a, ph) JOIN lens USING (id) CROSS JOIN st)"""
+SCORED = f"""
+    np AS (SELECT q, a, ph, count(*) AS n FROM f GROUP BY q, a, ph),{PARTS}"""
 WEIGHT = "sum(CASE col WHEN 'title' THEN 6.0 WHEN 'section' THEN 3.0 ELSE 1.0 END)"
 
 
@@ -122,7 +123,9 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name HAVING co
 WITH {TOKENS},
     near AS (SELECT DISTINCT a.id, a.col, a.pos AS x, b.pos AS y FROM post a JOIN post b ON a.id = b.id AND a.col = b.col WHERE a.term = 'planner' AND b.term = 'kelder' AND abs(a.pos - b.pos) - 1 <= 8),
     occ AS (SELECT DISTINCT 0 AS ph, id, col, x AS pos FROM near UNION ALL SELECT DISTINCT 1, id, col, y FROM near),
-    f AS (SELECT 1 AS q, 1 AS a, ph, id, {WEIGHT} AS f FROM occ GROUP BY ph, id), {SCORED}
+    f AS (SELECT 1 AS q, 1 AS a, ph, id, {WEIGHT} AS f FROM occ GROUP BY ph, id),
+    np AS (SELECT 1 AS q, 1 AS a, CASE term WHEN 'planner' THEN 0 ELSE 1 END AS ph, count(DISTINCT id) AS n FROM post WHERE term IN ('planner', 'kelder') GROUP BY term),
+    {PARTS}
 SELECT id AS chunk_id, round(sum(part), 9) AS score FROM parts GROUP BY id""",
     "word_cascade": f"WITH {CASCADE} SELECT q AS question_id, id AS chunk_id, rank::INTEGER AS rank, weight::DOUBLE AS weight FROM words_list",
     "embed_hash": """

@@ -60,7 +60,12 @@ INITIALS = rf"(?:{LETTER}\.[ ]?){{1,4}}"
 FORWARD = re.compile(rf"(?<![\w@.'’-])(?P<given>{PART}|{INITIALS})(?P<gap>[ ]+|(?<=\.))(?:{INITIALS}[ ]?)?(?P<particles>(?:{PARTICLES}[ ]+)?)(?P<sur>{SURNAME})(?![\w@])", re.I)
 BACKWARD = re.compile(rf"(?<![\w@.'’-])(?P<sur>{SURNAME}),[ ](?P<given>{INITIALS}|{PART})(?P<particles>(?:[ ]{PARTICLES}(?![\w'’]))?)", re.I)
 WORDS = re.compile(r"[^\W\d_]{3,}")
-PAIR = rf"[\p{{Ll}}] ((?:\p{{Lu}}[\p{{L}}\p{{M}}'’]+)(?:\s(?i:van de[nr]?|van ['’]t|van|de[nr]?|te[nr]?))?\s(?:\p{{Lu}}[\p{{L}}\p{{M}}'’]+)(?:-\p{{Lu}}[\p{{L}}\p{{M}}'’]+)?)(?![\p{{L}}\p{{M}}-]|\.?\s?\d)"
+CAPITAL = r"(?:\p{Lu}[\p{L}\p{M}'’]+)"
+COMPOUND = rf"{CAPITAL}(?:-{CAPITAL})?"
+PAIR = rf"[\p{{Ll}}] ({CAPITAL}(?: (?i:van de[nr]?|van ['’]t|van|de[nr]?|te[nr]?))? {COMPOUND})(?![\p{{L}}\p{{M}}-]|\.?\s?\d)"
+#: Words after which a person is named, in Dutch and English.
+CUE = r"(?:contactpersoon|contact|cc|gesproken met|melding van|afgehandeld door|namens|volgens|de heer|mevrouw|mevr\.|dhr\.|collega|reported by|on behalf of|mr\.|mrs\.|ms\.)"
+CUED = rf"(?<![\p{{L}}])(?i:{CUE}):? ({CAPITAL}(?: (?i:van de[nr]?|van ['’]t|van|de[nr]?|te[nr]?))? {COMPOUND}|{COMPOUND}, {CAPITAL})(?![\p{{L}}\p{{M}}-]|\.?\s?\d)"
 
 
 def folded(word: str) -> str:
@@ -298,23 +303,26 @@ def learn_lexicon(texts: DataFrame, column: str, names: DataFrame, min_partners:
     Evidence is two capitalised words with particles between, in the middle of a sentence and not
     before a house number. A word is a given name (surname) if it stands so with at least
     ``min_partners`` different surnames (given names) known so far, in two rounds from the listed
-    ones on. The counts run over all texts; what comes to the driver is bit positions of a map of
+    ones on, or once after a word that introduces a person. The counts run over all texts; what comes to the driver is bit positions of a map of
     fixed size, and ``names`` (a fixed list).
     """
     spark = texts.sparkSession
     listed = [tuple(r) for r in names.select("naam", "soort").filter("naam is not null").distinct().collect()]
-    pairs = texts.select(F.explode_outer(F.regexp_extract_all(F.col(column), F.lit(PAIR), F.lit(1))).alias("pair")).filter("pair is not null")
-    distinct = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    matches = lambda pattern, cued: F.transform(F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(1)), lambda x: F.struct(x.alias("pair"), F.lit(cued).alias("cued")))
+    pairs = texts.select(F.explode_outer(F.concat(matches(PAIR, False), matches(CUED, True))).alias("x")).select("x.*").filter("pair is not null")
+    distinct = pairs.groupBy("pair").agg(F.max("cued").alias("cued"))
 
     def split(batches):
         for pdf in batches:
             out = []
-            for pair in pdf["pair"]:
-                words = pair.split()
-                out += [(folded(words[0]), s) for s in folded(words[-1]).split("-")]
-            yield pd.DataFrame(out, columns=["given", "sur"])
-
-    seen = written(distinct.mapInPandas(split, "given string, sur string").distinct(), "pairs")
+            for pair, cued in zip(pdf["pair"], pdf["cued"]):
+                words = pair.replace(",", "").split()
+                given, sur = (words[-1], words[0]) if "," in pair else (words[0], words[-1])
+                out += [(folded(given), s, cued) for s in folded(sur).split("-") if not {folded(given), s} & AFTER_DE]
+            yield pd.DataFrame(out, columns=["given", "sur", "cued"])
+
+    seen = distinct.mapInPandas(split, "given string, sur string, cued boolean")
+    seen = written(seen.groupBy("given", "sur").agg(F.max("cued").alias("cued")), "pairs")
     firsts = [folded(n) for n, s in listed if s == "voornaam"]
     lasts = [folded(n) for n, s in listed if s == "achternaam"]
 
@@ -324,7 +332,8 @@ def learn_lexicon(texts: DataFrame, column: str, names: DataFrame, min_partners:
     def more(start, by, column):
         """The words of ``column`` that stand with enough of the words known in ``by``."""
         counted = seen.join(by, by.columns[0]).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-        return counted.filter(F.col("n") >= min_partners).select(column).unionByName(start).distinct()
+        named = seen.filter("cued").select(column)
+        return counted.filter(F.col("n") >= min_partners).select(column).unionByName(start).unionByName(named).distinct()
 
     given, sur = known(firsts, "given"), known(lasts, "sur")
     all_sur = more(sur, given, "sur")

@@ -8,7 +8,7 @@ matrix blocks. ``relax`` = 1 restores exact search. Distances are Euclidean betw
 so an order by distance is an order by cosine.
 
 For near neighbours the difference of two distances to a vantage point is far below the bound that
-the triangle inequality allows (about d / sqrt(dimensions)), so a factor of 6 loses next to nothing
+the triangle inequality allows (about d / sqrt(dimensions)), so factors of 4 to 6 lose next to nothing
 in 64 dimensions; ``recall`` measures it against brute force.
 
 Equal vectors are one entry with their ids behind it, so a third of all rows being copies does not

@@ -240,7 +240,7 @@ def search(routed: DataFrame, placed: DataFrame, dim: int, k: int, relax: float,
     return pair.applyInPandas(run, "e long, other long, cosine double")
 
 
-def most_similar(df: DataFrame, id_column: str = "id", vec: str = "vec", dim: int = 64, k: int = 10, min_cosine: float | None = None, relax: float = 5.0, only=None) -> DataFrame:
+def most_similar(df: DataFrame, id_column: str = "id", vec: str = "vec", dim: int = 64, k: int = 10, min_cosine: float | None = None, relax: float = 4.0, only=None) -> DataFrame:
     """(id, other, cosine, rank): the k most similar ids of every usable id, best first.
 
     Equal cosines (to twelve places) are ordered by id. With ``min_cosine`` only neighbours of at

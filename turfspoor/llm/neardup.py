@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turfspoor.session import written
+from turfspoor.session import discard, written
 
 ROWS, BANDS, SKETCH = 9, 36, 64
 BLOCK = 256
@@ -272,7 +272,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = written(small.filter("u <> v").distinct(), "edges")
+        fresh = written(small.filter("u <> v").distinct(), "edges")
+        discard(now)
+        now = fresh
         after = print_of(now)
         if after == before:
             break

@@ -85,27 +85,37 @@ def rank_walk(items: DataFrame, group: str, key: str, scores: list[str], bound:
 
     small = named.join(large, "_g", "left_anti") if any_large else named
     done = small.groupBy("_g").applyInPandas(run, schema)
+    order = [F.round("kans", 12).desc(), F.col("_i")]
+    placed = done.withColumn("plaats", F.row_number().over(Window.partitionBy("_g").orderBy(*order)))
     if any_large:
-        done = done.unionByName(walk_large(named.join(large, "_g"), columns).select(*done.columns))
-    order = Window.partitionBy("_g").orderBy(F.round("kans", 12).desc(), "_i")
-    placed = done.withColumn("plaats", F.row_number().over(order))
+        walked = walk_large(named.join(large, "_g"), columns).select(*done.columns)
+        placed = placed.unionByName(positions(walked, ["_g"], order).withColumn("plaats", (F.col("at") + 1).cast("int")).select(*placed.columns))
     return placed.select(F.col("_g").alias(group), F.col("_i").alias(key), "kans", "plaats", *[F.col(f"_h{n}").alias(f"hoger_{s}") for n, s in enumerate(scores)])
 
 
-def walk_large(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """The walk over groups too large for a task. ``rows``: (_g, _i, scores, _n)."""
-    minus = F.lit(float("-inf"))
-    long = rows.select("_g", "_i", "_n", F.explode(F.array(*[F.struct(F.lit(n).alias("s"), F.col(c).isNull().alias("none"), F.coalesce(F.col(c), minus).alias("v")) for n, c in enumerate(columns)])).alias("x")).select("_g", "_i", "_n", "x.*")
-    # a range-partitioned sort numbers all rows; the offsets of its partitions are a small table
-    ordered = written(long.orderBy("_g", "s", F.desc("v")).withColumn("at", F.monotonically_increasing_id()), "order")
+def positions(rows: DataFrame, groups: list[str], order: list) -> DataFrame:
+    """``rows`` with ``at``: the number of rows before each in its group, for groups of any size.
+
+    A range-partitioned sort numbers all rows; a row's number less that of the first of its group is
+    its place. The offsets of the partitions are a table of as many rows as there are partitions.
+    """
+    ordered = written(rows.orderBy(*groups, *order).withColumn("at", F.monotonically_increasing_id()), "order")
     part = F.shiftright("at", 33)
     counts = ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
     numbered = ordered.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("at", F.col("offset") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
-    starts = numbered.groupBy("_g", "s").agg(F.min("at").alias("start"))
-    ties = numbered.groupBy("_g", "s", "v").agg(F.min("at").alias("first"))
-    ranked = numbered.join(ties, ["_g", "s", "v"]).join(starts, ["_g", "s"]).withColumn("h", F.col("first") - F.col("start"))
-    ranked = written(ranked.select("_g", "_i", "_n", "s", "none", "h"), "ranked")
+    starts = numbered.groupBy(*groups).agg(F.min("at").alias("start"))
+    return numbered.join(starts, groups).withColumn("at", F.col("at") - F.col("start")).drop("part", "offset", "start")
+
+
+def walk_large(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The walk over groups too large for a task. ``rows``: (_g, _i, scores, _n)."""
+    minus = F.lit(float("-inf"))
+    long = rows.select("_g", "_i", "_n", F.explode(F.array(*[F.struct(F.lit(n).alias("s"), F.col(c).isNull().alias("none"), F.coalesce(F.col(c), minus).alias("v")) for n, c in enumerate(columns)])).alias("x")).select("_g", "_i", "_n", "x.*")
+    numbered = positions(long, ["_g", "s"], [F.desc("v")])
+    # items of equal value have as many above them as the first of them
+    ties = numbered.groupBy("_g", "s", "v").agg(F.min("at").alias("h"))
+    ranked = written(numbered.join(ties, ["_g", "s", "v"]).select("_g", "_i", "_n", "s", "none", "h"), "ranked")
     p = written(rows.select("_g", "_i", "_n", (1 / F.col("_n")).alias("p")), "p")
     for _ in range(ROUNDS):
         out = ranked.join(p.select("_g", "_i", "p"), ["_g", "_i"]).withColumn("w", F.col("p") / (F.col("h") + 1))

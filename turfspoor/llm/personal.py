@@ -45,14 +45,15 @@ SURNAME = rf"{PART}(?:-{PART})*"
 AT = r"(?:@|＠|&\#64;|%40|[ ]?[\[({<][ ]?(?:at|apenstaart(?:je)?)[ ]?[\])}>][ ]?|[ ]apenstaart(?:je)?[ ])"
 DOT = r"(?:\.|[ ]?[\[({<][ ]?(?:punt|dot|\.)[ ]?[\])}>][ ]?|[ ](?:punt|dot)[ ])"
 EMAIL = re.compile(rf"(?<![\w.+%'-])[a-z0-9_](?:[\w.+%'-]*[\w+-])?{AT}[a-z0-9](?:[\w-]*\w)?(?:{DOT}[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)+(?![\w@-])", re.I | re.X)
-EMAIL_HINT = re.compile(r"@|＠|&#64;|%40|apenstaart|[\[({<] ?at ?[\])}>]", re.I)
-DIGITS_HINT = re.compile(r"\d[\d .()-]{4,}\d|[A-Za-z0-9]{6}\d")
+EMAIL_HINT = ("@", "＠", "#64", "%40", "apenst", "at)", "at]", "at}", "at>", "at )", "at ]")
+DIGITS_HINT = re.compile(r"\d[\d .()-]{4,}\d")
 PHONE = re.compile(r"(?<![\w.,/+-])(?:\+\d{2}|00[1-9]\d(?=[ .(-])|\(0\d{1,3}\)|0(?=[1-9]))(?:(?:[ ]?\(0\)[ ]?|[ ]-[ ]|[ .-])?\d){6,12}(?![\w]|-\d|\.\d)")
 CITIZEN = re.compile(r"(?<![\w.-])(?:\d{9}|\d{3}([ -])\d{3}\1\d{3}|\d{4}\.\d{2}\.\d{3})(?!\w|-\d|\.\d)")
 REGISTER = re.compile(r"(?<![\w.-])(?:\d{11}|\d{2}\.\d{2}\.\d{2}[- ]\d{3}[.-]\d{2}|\d{6}[- ]\d{3}[.-]?\d{2})(?!\w|-\d|\.\d)")
 DOCUMENT = re.compile(r"(?<![\w.-])[A-Za-z]{2}[ ]?[A-Za-z0-9]{6}\d(?!\w|-\d)")
 DOCUMENT_WORD = re.compile(r"(?<!\w)(?:document|doc|pas|paspoort|passport|kaart|identiteitskaart|identiteitsbewijs|legitimatie|legitimatiebewijs|rijbewijs|id|licen[cs]e|ausweis)(?:nummer|nr|no|number)?[.:#]?\s*(?:(?:no|nr|nummer|number|met nummer)\b[.:]?\s*)?$", re.I)
-ADDRESS_HINT = re.compile(rf"(?:{STREETS})\s?\d", re.I)
+NUMBERED = re.compile(r"(?<=[a-zß.])\s?\d", re.I)
+STREET_ENDS = tuple(STREETS.replace("\\", "").split("|"))
 ADDRESS = re.compile(rf"(?<![\w-])(?:(?:{STREET_FIRST})[ ])?{LETTER}[^\W\d_'’-]*(?:{STREETS})\s?\d{{1,4}}(?:[ ](?:bis|ter|hs|I{{2,3}}|IV)(?!\w)|[-/ ]?[a-z](?![\w'’])|-[0-9]{{1,3}}(?!\w)|/[0-9]{{1,3}}(?!\w))?(?!\w)", re.I)
 LONE_LETTER = re.compile(r"[ ][a-z]$", re.I)
 
@@ -139,7 +140,8 @@ def word_before(text: str, at: int) -> str:
 
 
 def _emails(text):
-    if EMAIL_HINT.search(text):
+    low = text.lower()
+    if any(x in low for x in EMAIL_HINT):
         for m in EMAIL.finditer(text):
             last = re.split(r"\W+", m.group().lower())[-1]
             if last.isalpha() and len(last) >= 2 and last not in FILE_ENDINGS:
@@ -147,9 +149,8 @@ def _emails(text):
 
 
 def _numbers(text):
-    if not DIGITS_HINT.search(text):
-        return
-    for m in PHONE.finditer(text):
+    numbers = DIGITS_HINT.search(text) is not None
+    for m in PHONE.finditer(text) if numbers else ():
         digits = re.sub(r"\D", "", m.group().replace("(0)", ""))
         head = m.group()[:4]
         national = digits[4:] if head.startswith("00") else digits[2:] if head[0] == "+" else digits[1:]
@@ -157,7 +158,7 @@ def _numbers(text):
         if (len(national) == 9 if dutch else 7 <= len(national) <= 11) and word_before(text, m.start()) not in NOT_PERSON:
             yield m.start(), m.end(), "telefoon"
     for pattern, test in ((REGISTER, register_test), (CITIZEN, eleven_test)):
-        for m in pattern.finditer(text):
+        for m in pattern.finditer(text) if numbers else ():
             if test(re.sub(r"\D", "", m.group())) and word_before(text, m.start()) not in NOT_PERSON:
                 yield m.start(), m.end(), "idnummer"
     for m in DOCUMENT.finditer(text):
@@ -166,7 +167,8 @@ def _numbers(text):
 
 
 def _addresses(text):
-    if ADDRESS_HINT.search(text):
+    # a number right behind the end of a street name; the pattern itself is too slow for every text
+    if any(text[max(0, m.start() - 8) : m.start()].lower().endswith(STREET_ENDS) for m in NUMBERED.finditer(text)):
         for m in ADDRESS.finditer(text):
             end = m.end()
             if LONE_LETTER.search(m.group()):  # a letter after a blank may be the next word

@@ -135,7 +135,7 @@ def test_range_does_not_matter_and_large_groups_are_walked_alike(spark):
 def test_candidates_and_leaders(spark):
     good = [1.0] + [0.0] * 63
     hits = spark.createDataFrame([(1, "woorden", "a", 5.0), (1, "woorden", "a", 9.0), (1, "woorden", "b", None), (1, "namen", "b", 0.5), (1, "woorden", "c", 7.0), (1, "woorden", "d", 8.0), (1, None, None, 1.0)], "vraag_id long, lijst string, id string, score double")
-    chunks = spark.createDataFrame([("a", "2026-01-02T01:00", " Open", "x"), ("b", "2026-01-01", None, "x"), ("c", "2026-02-30", "", "x"), ("d", "2026-01-03", " Done ", "x")], "id string, datum string, status string, woorden string")
+    chunks = spark.createDataFrame([("a", "2026-01-02T01:00", " Open", "x"), ("b", "2026-01-01", None, "x"), ("c", "2026-02-30", "", "x"), ("d", "2026-01-03", "\tDone\u00a0", "x")], "id string, datum string, status string, woorden string")
     vecs = spark.createDataFrame([("a", good), ("a", None), ("c", good), ("d", good), ("b", [float("nan")] * 64)], "id string, vec array<float>")
     asked = spark.createDataFrame([(1, [2.0] + [0.0] * 63, "q")], "vraag_id long, vec array<float>, q string")
     facts = ranking.candidates(hits, chunks, vecs, asked)

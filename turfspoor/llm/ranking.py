@@ -155,7 +155,7 @@ def candidates(hits: DataFrame, chunks: DataFrame, vectors: DataFrame, questions
     pairs = hits.filter("vraag_id is not null and id is not null").groupBy("vraag_id", "id").agg(best("woorden"), best("namen"))
     day = F.substring("datum", 1, 10)
     recent = F.when(day.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.unix_date(F.try_to_date(day, "yyyy-MM-dd"))).cast("double")
-    ended = F.lower(F.trim(F.coalesce("status", F.lit("")))).isin(*ENDED)
+    ended = F.lower(F.regexp_replace(F.coalesce("status", F.lit("")), r"^(?U:\s)+|(?U:\s)+$", "")).isin(*ENDED)
     facts = chunks.select("id", recent.alias("recent"), F.when(ended, 0.0).otherwise(1.0).alias("lopend")).groupBy("id").agg(F.max("recent").alias("recent"), F.min("lopend").alias("lopend"))
     asked = questions.select("vraag_id", F.col("vec").alias("q")).filter(usable(F.col("q"), dim)).dropDuplicates(["vraag_id"])
     wanted = pairs.select("id").distinct()

@@ -53,6 +53,30 @@ def test_bodies_by_line_blocks():
     assert M.line_blocks(["aa", "", "b c"], 2) == [2, 2, 2]
 
 
+def test_a_page_loses_what_stands_around_its_body_and_nothing_else(spark):
+    long = "Deze regel hoort bij de tekst van de pagina zelf en is lang genoeg om er een te zijn."
+    menu, foot = "<nav><a href='/a'>Start</a> <a href='/b'>Nieuws</a></nav>\n", "\n<footer>Bedrijf bv</footer>"
+    page = f"{menu}<div><h2>Kop</h2><p>{long}</p><p>Kort.</p><p>{long}</p></div>{foot}"
+    want = f"## Kop\n\n{long}\n\nKort.\n\n{long}"
+    assert M.clean(page, body_only=True) == want and "Bedrijf bv" in M.clean(page)
+    kept = "<div><h3>Status</h3><p>Open.</p></div><div><ul><li>a</li></ul></div><div><pre>x = 1\n\n\n\n\ny</pre></div>"
+    assert M.clean(f"<div><p>{long}</p></div>{kept}{foot}", body_only=True) == f"{long}\n\n### Status\n\nOpen.\n\n- a\n\n```\nx = 1\n\n\n\n\ny\n```"
+    between = f"<article>{long}</article><div>Kamer 12 is dicht.</div><div>Menu</div><article>{long}</article>"
+    assert M.clean(between, body_only=True) == f"{long}\n\nKamer 12 is dicht.\n\n{long}"
+    loose = f"<div>{long}</div><div>Mail: a@b.example</div>"  # no page: nothing stands around its text
+    assert M.clean(loose, body_only=True) == M.clean(loose)
+    code = "<div>Zo:<pre>" + "regel = waarde\n" * 9 + "</pre></div>"  # held code is a body by its own length
+    assert M.clean(code + foot, body_only=True).endswith("waarde\n```")
+    plain = f"# Kop\n\nkort\n\n\n\n\n{long}\n\n\n\n\nGroet"
+    assert M.clean(plain, body_only=True) == M.clean(plain) and M.clean(plain.replace("#", "**a** &amp;"), body_only=True).endswith("Groet")
+    shown = f"<p>{long}</p><pre>{menu}</pre>\n\n\n\nGroet" + "<div class='unavailable'>x</div>"  # a layout in code is none
+    assert M.clean(shown, body_only=True) == M.clean(shown)
+    old = f"<div id=topmenu>Start</div><div>{long}</div><div class='a footer'>Bedrijf bv</div>"
+    assert M.clean(old, body_only=True) == long
+    df = spark.createDataFrame([("1", page, plain)], "id string, tekst string, ruw string")
+    assert {r.veld: r.schoon for r in M.analyse(df, "id", ["tekst", "ruw"]).collect()} == {"tekst": want, "ruw": M.clean(plain)}
+
+
 def test_tables(spark):
     rows = [("1", "**a**", "<b>x</b> $a_b$", "x"), ("2", None, "", "x"), ("1", "plat", None, "x"), (None, "''w''", None, "x")]
     df = spark.createDataFrame(rows, "id string, tekst string, ruw string, veld string")

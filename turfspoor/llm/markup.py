@@ -179,30 +179,52 @@ def line_blocks(lines: list[str], window: int = 3) -> list[int]:
     return out
 
 
-def main_text(stripped: str, window: int = 3, surge: int = 60) -> str:
-    """The bodies of a stripped page by its line-block distribution.
+HOLD = "\ue000{}\ue001"
+HELD = re.compile("\ue000(\\d+)\ue001")
+#: Elements of a page with parts around its body; mere fragments (paragraphs, divisions, tables) have no menus or footers.
+LAYOUT = re.compile(r"<(?:html|body|main|article|nav|header|footer|aside)\b|<(?:div|ul|section)\s[^<>]*?\b(?:id|class|role)\s*=\s*[\"']?(?:[^\"'<>]*[^a-z\"'<>])?(?:top|main|site|page|sub)?(?:nav|menu|footer|header|sidebar|banner)", re.I)
+SENTENCE = re.compile(r"[^\n]*\w[.!?][\"')\u2019\u201d]*\s*$")
+HEADED = re.compile(r"\s*#{1,6}\s")
+#: Lines of headings, lists and tables, and lines with code or a formula.
+STRUCTURE = re.compile(r"\s*(?:#{1,6}\s|[-+*](?:\s|$)|\d{1,3}[.)]\s|\||```|~~~|\$\$)|[^\n]*\ue000")
 
-    A body begins where the block sum surges to ``surge`` or more with text following, and ends where
-    it dives to zero. A page without such a place (short texts) is kept whole.
-    """
-    lines = stripped.split("\n")
-    blocks = line_blocks(lines, window)
-    kept, start = [], None
-    for i, b in enumerate(blocks):
-        if start is None and b >= surge:
-            start = i
-            while start and lines[start - 1].strip():  # the heading that stands right above belongs to it
-                start -= 1
-        elif start is not None and b == 0:
-            kept += [*lines[start:i], ""]
-            start = None
-    if start is not None:
-        kept += lines[start:]
-    return "\n".join(kept).strip() if kept else stripped.strip()
 
+def restored(text: str, held: list[str]) -> str:
+    while HELD.search(text):
+        text = HELD.sub(lambda m: held[int(m[1])], text)
+    return text
 
-HOLD = "\ue000{}\ue001"
-HELD = re.compile("\ue000(\\d+)\ue001")
+
+def main_text(stripped: str, window: int = 3, surge: int = 60, held: list[str] | None = None) -> str:
+    """The bodies of a stripped page, blank runs and all, by its line-block distribution.
+
+    The page falls into parts where the block sum dives to zero, as the elements of a layout make it
+    by the blank lines they leave. A part is a body if its sums surge to ``surge`` or more; held code
+    counts with its own length. A heading belongs to what follows it, and a part with a heading, list,
+    table, code or formula is kept like a body, and so is one with a sentence between two bodies. A page
+    without a body (short texts) is kept whole.
+    """
+    lines: list[str] = []
+    for line in stripped.split("\n"):
+        if line.strip() or len(lines) < 2 or lines[-1].strip() or not HEADED.match(lines[-2]):  # one blank line behind a heading
+            lines.append(line)
+    blocks = line_blocks([restored(x, held or []) for x in lines], window)
+    parts, inside = [], False
+    for i, b in enumerate(blocks):
+        if b and not inside and lines[i].strip():
+            parts.append([])
+        inside = b > 0 and (inside or bool(lines[i].strip()))
+        if inside:
+            parts[-1].append(i)
+    bodies = [max(blocks[i] for i in x) >= surge for x in parts]
+    if not any(bodies):
+        return stripped.strip()
+    first, last = bodies.index(True), len(bodies) - 1 - bodies[::-1].index(True)
+    kept = []
+    for n, x in enumerate(parts):
+        if bodies[n] or any(STRUCTURE.match(lines[i]) or first < n < last and SENTENCE.match(lines[i]) for i in x):
+            kept.append(x)
+    return "\n\n".join("\n".join(lines[i] for i in x).strip("\n") for x in kept).strip()
 
 
 def _strip_html(text: str, hold) -> str:
@@ -215,6 +237,7 @@ def _strip_html(text: str, hold) -> str:
     text = re.sub(r"</t[dh]\s*>\s*<t[dh]\b[^<>]*>", " | ", text, flags=re.I)
     text = re.sub(r"<tr\b[^<>]*>\s*<t[dh]\b[^<>]*>", "\n| ", text, flags=re.I)
     text = re.sub(r"</t[dh]\s*>\s*</tr\s*>", " |\n", text, flags=re.I)
+    text = re.sub(r"</p\s*>\s*<p\b[^<>]*>", "\n\n", text, flags=re.I)  # paragraphs of one body stay close
     text = re.sub(r"<(?:br|hr)\b[^<>]*>|</?(?:tr|dt|dd|caption|option)\b[^<>]*>", "\n", text, flags=re.I)
     text = re.sub(r"</?(?:p|div|ul|ol|dl|table|section|article|header|footer|nav|main|aside|blockquote|form|body|html|head|title)\b[^<>]*>", "\n\n", text, flags=re.I)
     return TAG.sub("", text)
@@ -286,12 +309,13 @@ def clean(text: str | None, body_only: bool = False, found: dict | None = None)
 
     Null stays null. A text without markup comes out with its line ends unified, BOMs and trailing
     blanks removed and nothing else changed. With ``body_only`` only the bodies by the line-block
-    distribution are kept.
+    distribution are kept of a text with the layout elements of a page; other texts stay whole.
     """
     if text is None:
         return None
     text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\ufeff", "")
     found = constructs(text) if found is None else found
+    page = body_only and "html" in found and LAYOUT.search(text) and LAYOUT.search(uncoded(text)[0])
     held: list[str] = []
 
     def hold(piece: str) -> str:
@@ -304,12 +328,9 @@ def clean(text: str | None, body_only: bool = False, found: dict | None = None)
     if "html" in found:
         text = html.unescape(text)
     text = re.sub(r"[ \t\u00a0]+$", "", text, flags=re.M)
-    text = re.sub(r"\n{3,}", "\n\n", text).strip()
-    if body_only:
-        text = main_text(text)
-    while HELD.search(text):
-        text = HELD.sub(lambda m: held[int(m[1])], text)
-    return text
+    if page:
+        text = main_text(text, held=held)
+    return restored(re.sub(r"\n{3,}", "\n\n", text).strip(), held)
 
 
 # --- Spark ----------------------------------------------------------------------------------------

@@ -70,6 +70,21 @@ def test_a_large_class_of_copies_is_a_star_and_loses_no_link(spark):
     assert {r.groep for r in nd.groups().collect()} == {"k000"} and nd.members().count() == 82
 
 
+def test_different_texts_of_one_word_set_are_all_linked(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng, words = random.Random(3), [f"w{n}" for n in range(40)]
+    texts = [" ".join(rng.sample(words, 40)) + "!" * (n % 3) for n in range(90)]
+    near = [" ".join(["Anders", *rng.sample(words, 39)]) for _ in range(70)]
+    rows = [(f"r{n:03d}", t, "", 0, "") for n, t in enumerate(texts + near)]
+    nd = neardup.NearDuplicates(spark.createDataFrame(rows, SCHEMA))
+    assert {(r.id_a, r.id_b) for r in nd.pairs().collect()} == exact(rows)
+    one = [(f"r{n:03d}", t, "", 0, "") for n, t in enumerate([*texts, *[texts[0]] * 70])]  # copies beside reorderings
+    copies = {f"r{n:03d}" for n in range(90, 160)}
+    want = {(a, b) for a, b in exact(one) if not {a, b} & copies} | {("r000", c) for c in copies}
+    nd = neardup.NearDuplicates(spark.createDataFrame(one, SCHEMA))
+    assert {(r.id_a, r.id_b) for r in nd.pairs().collect()} == want and {r.links for r in nd.groups().collect()} == {89}
+
+
 def test_hot_buckets_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)
     base = [f"w{n}" for n in range(60)]

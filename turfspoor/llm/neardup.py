@@ -1,7 +1,8 @@
 """Near-duplicate records: universal hash minima, banding, verification, components.
 
 1. Each text becomes its set of distinct words. Records with the same set are one
-   class; only its representative goes on, so a third of all rows being copies costs one row.
+   class; only its representative goes on, so a third of all rows being copies costs one row. The
+   different texts of a class (other order, repetition, case or punctuation) come back in ``pairs``.
 2. ``ROWS * BANDS`` universal hash functions (a*x + b mod 2**61 - 1) give the signature, whose bands
    are the buckets. With 9 rows and 36 bands a pair of similarity 0.8 shares a bucket with
    probability 0.994, one of 0.85 with 0.9999; unrelated texts of this kind (0.1 to 0.3) meet in
@@ -68,9 +69,9 @@ def distinct_words(text: str) -> set[str]:
 
 
 def signatures(key: str, text: str, min_words: int, rows: int = ROWS, bands: int = BANDS):
-    """A mapInPandas function: (id, class, words, bands, sketch) of each text with enough words.
+    """A mapInPandas function: (id, exact, class, words, bands, sketch) of each text with enough words.
 
-    ``class`` is a 128-bit digest of the word set (from 64 bits a word), ``words`` its sorted 32-bit
+    ``exact`` is a 128-bit digest of the text itself, ``class`` a 128-bit digest of the word set (from 64 bits a word), ``words`` its sorted 32-bit
     hashes, ``bands`` one 64-bit bucket key for each band and ``sketch`` the low bytes of SKETCH minima.
     """
     a, b = coefficients(rows * bands)
@@ -87,11 +88,11 @@ def signatures(key: str, text: str, min_words: int, rows: int = ROWS, bands: int
             out = []
             for start in range(0, len(pdf), 512):
                 part = pdf.iloc[start : start + 512]
-                sets = [(i, distinct_words(t)) for i, t in zip(part[key], part[text]) if t]
-                sets = [(i, s) for i, s in sets if len(s) >= min_words]
+                sets = [(i, t, distinct_words(t)) for i, t in zip(part[key], part[text]) if t]
+                sets = [(i, t, s) for i, t, s in sets if len(s) >= min_words]
                 if len(known) > 20_000:  # bounds the table; the words come back as they are met again
                     known.clear()
-                new = sorted({w for _, s in sets for w in s if w not in known})
+                new = sorted({w for _, _, s in sets for w in s if w not in known})
                 if new:
                     first, need = len(known), len(known) + len(new)
                     if need > len(values):
@@ -102,7 +103,7 @@ def signatures(key: str, text: str, min_words: int, rows: int = ROWS, bands: int
                         to = min(need, at + 4096)
                         table[at:to] = minima_table(values[at:to], a, b)
                     known.update(zip(new, range(first, need)))
-                for i, s in sets:
+                for i, t, s in sets:
                     at = np.fromiter((known[w] for w in s), np.int64, len(s))
                     words = np.sort(values[at])
                     low = table[at[:4096]].min(axis=0)
@@ -111,14 +112,14 @@ def signatures(key: str, text: str, min_words: int, rows: int = ROWS, bands: int
                     keys = ((low.reshape(bands, rows).astype(np.uint64) + np.uint64(1)) * odd).sum(axis=1, dtype=np.uint64)
                     keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) + place
                     short = np.unique((words >> np.uint64(32)).astype("<u4"))
-                    out.append((i, xxhash.xxh128_digest(words.tobytes()), short.tobytes(), keys.view(np.int64), (low[:SKETCH] & np.uint32(255)).astype(np.uint8).tobytes()))
+                    out.append((i, xxhash.xxh128_digest(t.encode("utf-8", "surrogatepass")), xxhash.xxh128_digest(words.tobytes()), short.tobytes(), keys.view(np.int64), (low[:SKETCH] & np.uint32(255)).astype(np.uint8).tobytes()))
             if out:
-                yield pd.DataFrame(out, columns=["id", "class", "words", "bands", "sketch"])
+                yield pd.DataFrame(out, columns=["id", "exact", "class", "words", "bands", "sketch"])
 
     return run
 
 
-SIGNATURES = "id string, class binary, words binary, bands array<long>, sketch binary"
+SIGNATURES = "id string, exact binary, class binary, words binary, bands array<long>, sketch binary"
 
 
 class NearDuplicates:
@@ -134,8 +135,11 @@ class NearDuplicates:
         rows = df.select(F.col(key).cast("string").alias("_k"), F.col(text).alias("_t")).filter(F.col("_k").isNotNull() & F.col("_t").isNotNull())
         signed = rows.mapInPandas(signatures("_k", "_t", min_words), SIGNATURES)
         self.signed = written(signed.withColumn("n", F.monotonically_increasing_id()), "signed")
-        # the representative of a class is its first row; map-side combine makes hot classes small
-        reps = self.signed.groupBy("class").agg(F.min("n").alias("rep"), F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
+        # map-side combine makes hot texts small
+        same = self.signed.groupBy("class", "exact").agg(F.min("n").alias("n"), F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
+        self.texts = written(same, "texts")
+        # the representative of a class is its first row
+        reps = self.texts.groupBy("class").agg(F.min("n").alias("rep"), F.min("first").alias("first"), F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("texts"))
         self.classes = written(reps, "classes")
 
     def members(self) -> DataFrame:
@@ -186,32 +190,52 @@ class NearDuplicates:
     def pairs(self, links: DataFrame | None = None, expand: int = 64) -> DataFrame:
         """(id_a, id_b, similarity) over the records.
 
-        A class of up to ``expand`` copies is written out in full. The copies of a larger one are
-        each linked to its representative only, and the representative to the other classes: its
-        square is never written, and no link between different texts is lost (``members`` has who
-        belongs to it).
+        All different texts of a class are paired with each other and with those of linked classes.
+        Up to ``expand`` exact copies of one text are written out in full. The copies of a more frequent
+        text are each linked to its first record only, which stands for the text in all other pairs:
+        the square of the copies is never written, and no link between different texts is lost
+        (``members`` has who belongs to a class).
         """
         links = written(self.links(), "links") if links is None else links
-        members = self.members().withColumn("full", F.col("copies") <= expand)
-        named = members.filter("full or id = first").select("rep", "id")
-        across = links.join(named.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(named.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
-        copies = members.filter("copies > 1")
-        full = copies.filter("full")
-        within = full.select("rep", F.col("id").alias("x")).join(full.select("rep", F.col("id").alias("y")), "rep").filter("x < y")
-        star = copies.filter("not full and id <> first").select(F.col("first").alias("x"), F.col("id").alias("y"))
-        one = F.lit(1.0).alias("similarity")
-        every = across.select("x", "y", "similarity").unionByName(within.select("x", "y", one)).unionByName(star.select("x", "y", one))
+        full = F.col("copies") <= expand
+        texts = self.texts.join(self.classes.select("class", "rep"), "class").select("class", "exact", "rep", "first", "copies")
+        rows = written(self.signed.select("id", "class", "exact").join(texts, ["class", "exact"]).select("id", "rep", "first", full.alias("full")), "rows")
+        named = rows.filter("full or id = first").select("rep", "id").distinct()
+        star = rows.filter("not full and id <> first").select(F.col("first").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("similarity"))
+        every = self._crossed(links, named).unionByName(star)
         return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity").filter("id_a < id_b").groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
 
+    @staticmethod
+    def _crossed(links: DataFrame, named: DataFrame) -> DataFrame:
+        """(x, y, similarity): the records of linked classes crossed, and those of each class with one another.
+
+        Classes with more than BLOCK records are cut into blocks by a hash of the record; a pair of
+        classes becomes its pairs of blocks, so that one hot class is spread over many tasks.
+        """
+        sizes = named.groupBy("rep").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        sizes = written(sizes, "sizes")
+        placed = named.join(sizes, "rep").select("rep", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+        count = lambda side: sizes.select(F.col("rep").alias(side), F.col("blocks").alias(f"blocks_{side}"))
+        own = sizes.filter("size > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity"), F.col("blocks").alias("blocks_a"), F.col("blocks").alias("blocks_b"))
+        wanted = links.join(count("a"), "a").join(count("b"), "b").unionByName(own)
+        wanted = wanted.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1))).filter("a <> b or p <= q")
+        left = placed.select(F.col("rep").alias("a"), F.col("block").alias("p"), F.col("id").alias("x"))
+        right = placed.select(F.col("rep").alias("b"), F.col("block").alias("q"), F.col("id").alias("y"))
+        return wanted.select("a", "b", "similarity", "p", "q").join(left, ["a", "p"]).join(right, ["b", "q"]).filter("a <> b or p < q or x < y").select("x", "y", "similarity")
+
     def groups(self, links: DataFrame | None = None) -> DataFrame:
         """(id, groep, links) of every record that has a near-duplicate or a copy.
 
-        ``groep`` is the smallest id of its group and ``links`` the number of other texts (classes of
-        copies) that its own text is linked to.
+        ``groep`` is the smallest id of its group and ``links`` the number of other texts (exact copies
+        counted once) that its own text is linked to.
         """
         links = written(self.links(), "links") if links is None else links
         members = self.members()
-        degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+        texts = self.classes.select("rep", "texts")
+        ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        linked = ends.join(texts.select(F.col("rep").alias("b"), "texts"), "b").select(F.col("a").alias("rep"), "texts")
+        own = texts.select("rep", (F.col("texts") - 1).alias("texts"))
+        degree = linked.unionByName(own).groupBy("rep").agg(F.sum("texts").alias("links"))
         component = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
         joined = members.join(component.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
         inside = joined.filter("copies > 1 or component is not null").withColumn("g", F.coalesce("component", "rep"))

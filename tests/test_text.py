@@ -78,6 +78,25 @@ def test_front_matter(spark):
     assert column(spark, ["---\n Index : NEE\n---\n", "---\nindex: ja\n---\n", "index: nee"], T.opted_out) == [True, False, False]
 
 
+def test_front_matter_of_whole_documents_equals_a_parser_in_python(spark, tmp_path):
+    from turfspoor import queries
+
+    def parsed(text):
+        m = re.match(r"\A---\s*\n(.*?)\n---\s*(\n|\Z)", text, re.S)
+        pairs = [x.partition(":") for x in m[1].split("\n") if ":" in x and x[0] not in " \t"]
+        fields = {k.strip().lower(): v.strip().strip('"').strip("'") for k, _, v in pairs}
+        return fields["titel"] or None, fields["status"], text[m.end() :]
+
+    titles = ["Prüfungskarte", "Back-upteller vervangen", None, "", "a: b \"c\"", "'x'", "plat", "\u00a0", "status: nee", "$1 \\n", "日本"]
+    texts = ["Eerste\n\n---\nTitel: ander\n---\nrest", None, "", "\n\n  tekst", "---\n---\n", "\ttab\r\nregel", "é\u2028x", "gewoon"]
+    langs = ["nl", None, '"EN"', "'de'", "\u00a0nl\t", ": x"]
+    rows = [(n, t, x, langs[n % len(langs)]) for n, (t, x) in enumerate((t, x) for t in titles for x in texts)]
+    spark.createDataFrame(rows, "doc_id long, titel string, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.title, r.status, r.body) for r in queries.front_matter_whole(spark, str(tmp_path)).collect()}
+    shape = '---\nTitel: "{}"\n  inner: x\nstatus: oud\nSTATUS: {}\nplain\n---\n{}'
+    assert got == {n: parsed(shape.format(t or "", k or "", x or "")) for n, t, x, k in rows}
+
+
 def test_references_without_own(spark):
     assert column(spark, ["TK-2 AB-1 TK-2 x", None], lambda c: T.references(c, F.lit("AB-1"))) == [["TK-2"], []]
 

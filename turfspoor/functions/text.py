@@ -193,7 +193,7 @@ def front_value(text: Column, name: str) -> Column:
     the value go, double ones first.
     """
     raw = F.regexp_extract(front_block(text), rf"(?is)\A(?:.*\n)?{name}[ \t]*:([^\n]*)", 1)
-    return F.regexp_replace(F.regexp_replace(F.trim(raw), r'^"+|"+$', ""), "^'+|'+$", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"(?U)\A\s+|\s+\z", ""), r'^"+|"+$', ""), "^'+|'+$", "")
 
 
 def front_body(text: Column) -> Column:

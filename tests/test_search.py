@@ -222,6 +222,25 @@ def test_watch_waits_for_quiet(spark, site):
     assert watch.watch(s, once=True) == 1
 
 
+def test_watch_sees_a_change_of_a_json_list_alone(spark, site):
+    s = store.Store(spark, load(site))
+    clock = iter(range(0, 1000, 10))
+    before, moments = watch.state(s), []
+
+    def sleep(_):
+        moments.append(1)
+        if len(moments) == 1:
+            (site / "taken.json").write_text(json.dumps({"items": [{"id": "T1", "titel": "Printer kelder", "detail": "Nu geheim", "weg": "ja"}, {"id": "T9", "titel": "Nieuw", "detail": "Nieuwe taak"}]}), encoding="utf-8")
+
+    assert watch.watch(s, quiet=15, now=lambda: next(clock), sleep=sleep, rounds=5) == 2 and watch.state(s) != before
+    paths = {r.path for r in s.table("chunks").filter("source = 'taken'").collect()}
+    assert any("T9" in p for p in paths) and not any("T1" in p for p in paths)
+    (site / "taken.json").write_text('{"items": [', encoding="utf-8")  # half written: left until it changes
+    assert watch.watch(s, once=True) == 0
+    (site / "taken.json").unlink()  # a list that goes is a change too
+    assert len(watch.state(s)) == len(before) - 1
+
+
 def test_quiet_sessions_in_batch_and_stream(spark, tmp_path):
     rows = spark.sql("SELECT * FROM VALUES (1, timestamp '2026-01-01 00:00:00'), (1, timestamp '2026-01-01 00:00:15'), (1, timestamp '2026-01-01 00:01:00'), (2, null) AS t(u, ts)")
     got = watch.quiet_sessions(rows, "ts", "20 seconds", ["u"]).orderBy("start").collect()

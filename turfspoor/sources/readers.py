@@ -6,6 +6,7 @@ folder by folder, the files of a folder in order before its sub-folders.
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +95,22 @@ def json_items(spark: SparkSession, source: Source) -> DataFrame:
     return each.filter(F.col("item").startswith("{")).select(F.lit(source.name).alias("source"), F.lit(source.path.rsplit("/", 1)[-1]).alias("file"), F.col("ordinal").cast("long"), "item")
 
 
+def list_status(spark: SparkSession, source: Source) -> list[tuple[str, int, int]]:
+    """(path, modified, size) of the file of a JSON list, or of each below a folder; none where it does not exist."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source.path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    try:
+        files = fs.listFiles(place, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getModificationTime(), f.getLen()))
+    except Py4JJavaError as e:
+        if not e.java_exception.getClass().getName().endswith("FileNotFoundException"):
+            raise
+    return sorted(found)
+
+
 def item_field(name: str) -> Column:
     """A field of an item as text. Missing, null, false, zero, empty lists and objects are empty."""
     value = F.get_json_object("item", f"$['{name}']") if name else F.lit(None).cast("string")

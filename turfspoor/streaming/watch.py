@@ -14,12 +14,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turfspoor.plans.store import Busy, Store
+from turfspoor.sources import readers
+
+
+#: What Spark says of a JSON list that can't be read, as of one that is half written.
+BROKEN = ("MALFORMED_RECORD_IN_PARSING", "USER_RAISED_EXCEPTION")
 
 
 def state(store: Store) -> tuple:
     """A fingerprint of the files of all sources, by path, time and size, made where the files are."""
     listed = store.ledger().agg(F.count(F.lit(1)), F.sum(F.xxhash64("source", "path", "modified", "size").cast("decimal(38,0)"))).first()
-    return tuple(listed)
+    lists = [x for s in store.settings.sources if s.kind != "markdown" for x in readers.list_status(store.spark, s)]
+    return (*listed, *lists)
 
 
 def watch(store: Store, interval: float = 5.0, quiet: float = 20.0, once: bool = False, now: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep, rounds: int | None = None) -> int:
@@ -41,7 +47,9 @@ def watch(store: Store, interval: float = 5.0, quiet: float = 20.0, once: bool =
                 done = pending
             except Busy:
                 pass
-            except ValueError:
+            except Exception as e:
+                if not isinstance(e, ValueError) and not any(x in str(e) for x in BROKEN):
+                    raise
                 done = pending
         if once:
             return made

@@ -273,3 +273,20 @@ def test_ends_of_the_scale(spark):
     df = spark.createDataFrame([(1, easy), (1, easy), (2, hard), (3, "Kort."), (4, None)], "doc_id long, text string")
     levels = reading.reading_levels(df, spark.createDataFrame([(1, 1), (2, 5)], "doc_id long, oordeel int"))
     assert sorted(tuple(r) for r in reading.ends_of_scale(levels).collect()) == [(1, "laag"), (2, "hoog")]
+
+
+def test_reading_levels_settle_or_fail(spark):
+    rows = [(n, "Aap beer kat.") for n in range(60)] + [(99, "Xylofoon ypsilon. Zebra.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    linked = reading.graph(df, "doc_id", "text", spark.createDataFrame([(0, 5), (99, 1)], "doc_id long, oordeel int"))
+    values, mean = reading.propagate(linked)
+    docs = [(r.label, r.nodes) for r in linked.collect()]
+    nodes = sorted({x for _, own in docs for x in own})
+    slow = dict.fromkeys(nodes, mean)
+    for _ in range(1500):
+        score = [label if label is not None else sum(slow[x] for x in own) / len(own) for label, own in docs]
+        met = {x: [s for s, (_, own) in zip(score, docs) if x in own] for x in nodes}
+        slow = {x: (sum(met[x]) + mean) / (len(met[x]) + 1) for x in nodes}
+    assert mean == 3 and max(abs(values[x] - slow[x]) for x in nodes) < 1e-3 and max(slow.values()) > 3.9
+    with pytest.raises(RuntimeError):
+        reading.propagate(linked, rounds=2)

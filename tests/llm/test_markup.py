@@ -85,3 +85,7 @@ def test_tables(spark):
     assert M.analyse(df, "id", ["tekst"]).count() == 4 and M.residue(df.limit(0), "id", ["tekst"]).count() == 0
     long = spark.createDataFrame([("l", "woord * 3 " * 50_000 + "**vet**", None, "")], df.schema)
     assert [r.soort for r in M.residue(long, "id", ["tekst"]).collect()] == ["markdown"]
+
+
+def test_cheap_signs_let_through_a_deep_quote_and_mixed_case():
+    assert kinds("tekst\n\n   > citaat") == {"markdown"} and kinds("een <Ref name=a/> b") == {"wiki"}

@@ -102,3 +102,12 @@ def test_names_are_learned_from_the_texts(spark):
     assert [k for _, _, k in P.find("Volgens yoeri ten steenvliet is het zo", lex)] == ["naam"]
     none = P.learn_lexicon(spark.createDataFrame([], "t string"), "t", names.limit(0))
     assert not none.is_given("marit")
+
+
+def test_cheap_signs_let_through_what_the_patterns_match():
+    own = P.Lexicon.of(["jan"], ["li"])
+    for form in ("jan { at } firma.nl", "jan < at > firma.nl"):
+        assert P.EMAIL.search(form) and any(x in form for x in P.EMAIL_HINT)
+        assert ("email", form) in {(kind, form[a:b]) for a, b, kind in P.find(form, own)}
+    text = "gesproken met Jan Li."
+    assert own.any_surname(text) and [text[a:b] for a, b, kind in P.find(text, own) if kind == "naam"] == ["Jan Li"]

@@ -58,7 +58,7 @@ STRONG = {
         (("://", "mailto:"), re.compile(r"\[(?:https?|ftp|mailto):[^\s\]]+(?:[ ][^\]\n]*)?\](?![(\[:])")),
         (("{{",), re.compile(r"\{\{[^{}\n][^{}]*\}\}")),
         (("{|", "\n|", "!!"), re.compile(r"^[ \t:]*\{\||^\|\}|^\|-[-]*[ \t]*$|^![^\n]*!!", re.M)),
-        (("__", "<ref", "<REF"), re.compile(r"__(?:TOC|NOTOC|FORCETOC|INHOUD|GEENINHOUD|NOEDITSECTION)__|<ref\b[^>]*/?>", re.I)),
+        (("__", "<ref", "<REF", "<Ref", "<rEf", "<reF", "<REf", "<rEF", "<ReF"), re.compile(r"__(?:TOC|NOTOC|FORCETOC|INHOUD|GEENINHOUD|NOEDITSECTION)__|<ref\b[^>]*/?>", re.I)),
     ),
     "markdown": (
         (("](",), re.compile(r"!?(?<![\w\]])\[[^\[\]\n]+\]\((?=[^()\n]*[/.#:])[^()\s]*(?:\([^()\s]*\)[^()\s]*)*(?:[ ]+[\"'][^\"'\n]*[\"'])?\)|!\[[^\[\]\n]*\]\([^()\s]+[^()\n]*\)")),
@@ -72,7 +72,7 @@ STRONG = {
         (("[ ] ", "[x] ", "[X] "), re.compile(r"^[ \t]*[-*+][ ]\[[ xX]\][ ]", re.M)),
         (("--",), re.compile(r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$", re.M)),
         (("\n==", "\n--"), re.compile(r"^(?![ \t]*(?:[=|-]|$))[^\n]+\n(?:={3,}|-{3,})[ \t]*$", re.M)),
-        (("\n>", "\n >", "\n  >"), re.compile(r"^[ ]{0,3}>[ ]?(?=[^\s>\d])", re.M)),
+        (("\n>", "\n >", "\n  >", "\n   >"), re.compile(r"^[ ]{0,3}>[ ]?(?=[^\s>\d])", re.M)),
     ),
 }
 #: Signs of several languages: they count for a language that the rest of the field shows.

@@ -45,7 +45,7 @@ SURNAME = rf"{PART}(?:-{PART})*"
 AT = r"(?:@|＠|&\#64;|%40|[ ]?[\[({<][ ]?(?:at|apenstaart(?:je)?)[ ]?[\])}>][ ]?|[ ]apenstaart(?:je)?[ ])"
 DOT = r"(?:\.|[ ]?[\[({<][ ]?(?:punt|dot|\.)[ ]?[\])}>][ ]?|[ ](?:punt|dot)[ ])"
 EMAIL = re.compile(rf"(?<![\w.+%'-])[a-z0-9_](?:[\w.+%'-]*[\w+-])?{AT}[a-z0-9](?:[\w-]*\w)?(?:{DOT}[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)+(?![\w@-])", re.I | re.X)
-EMAIL_HINT = ("@", "＠", "#64", "%40", "apenst", "at)", "at]", "at}", "at>", "at )", "at ]")
+EMAIL_HINT = ("@", "＠", "#64", "%40", "apenst", "at)", "at]", "at}", "at>", "at )", "at ]", "at }", "at >")
 DIGITS_HINT = re.compile(r"\d[\d .()-]{4,}\d")
 PHONE = re.compile(r"(?<![\w.,/+-])(?:\+\d{2}|00[1-9]\d(?=[ .(-])|\(0\d{1,3}\)|0(?=[1-9]))(?:(?:[ ]?\(0\)[ ]?|[ ]-[ ]|[ .-])?\d){6,12}(?![\w]|-\d|\.\d)")
 CITIZEN = re.compile(r"(?<![\w.-])(?:\d{9}|\d{3}([ -])\d{3}\1\d{3}|\d{4}\.\d{2}\.\d{3})(?!\w|-\d|\.\d)")
@@ -60,7 +60,7 @@ LONE_LETTER = re.compile(r"[ ][a-z]$", re.I)
 INITIALS = rf"(?:{LETTER}\.[ ]?){{1,4}}"
 FORWARD = re.compile(rf"(?<![\w@.'’-])(?P<given>{PART}|{INITIALS})(?P<gap>[ ]+|(?<=\.))(?:{INITIALS}[ ]?)?(?P<particles>(?:{PARTICLES}[ ]+)?)(?P<sur>{SURNAME})(?![\w@])", re.I)
 BACKWARD = re.compile(rf"(?<![\w@.'’-])(?P<sur>{SURNAME}),[ ](?P<given>{INITIALS}|{PART})(?P<particles>(?:[ ]{PARTICLES}(?![\w'’]))?)", re.I)
-WORDS = re.compile(r"[^\W\d_]{3,}")
+RUNS = re.compile(r"[^\W\d_]+")
 CAPITAL = r"(?:\p{Lu}[\p{L}\p{M}'’]+)"
 COMPOUND = rf"{CAPITAL}(?:-{CAPITAL})?"
 PAIR = rf"[\p{{Ll}}] ({CAPITAL}(?: (?i:van de[nr]?|van ['’]t|van|de[nr]?|te[nr]?))? {COMPOUND})(?![\p{{L}}\p{{M}}-]|\.?\s?\d)"
@@ -80,7 +80,7 @@ def place(word: str, role: str) -> int:
 def surname_places(word: str) -> list[int]:
     """The places of a surname: itself and, for a quick look into a text, its longest run of letters."""
     whole = folded(word)
-    return [place(whole, "a"), place(max(WORDS.findall(whole), key=len, default=whole), "q")]
+    return [place(whole, "a"), place(max(RUNS.findall(whole), key=len, default=whole), "q")]
 
 
 class Lexicon:
@@ -111,7 +111,7 @@ class Lexicon:
         if not unicodedata.is_normalized("NFC", text):
             return True
         known, found = self.known, False
-        for w in set(WORDS.findall(text)):
+        for w in set(RUNS.findall(text)):
             hit = known.get(w)
             if hit is None:
                 if len(known) > 500_000:

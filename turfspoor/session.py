@@ -6,7 +6,11 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of one key from which on the key is joined by a broadcast: of N rows at most N / HOT such keys exist.
+HOT = 100_000
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -18,17 +22,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, a temporary folder is made and set.
+    Only where that is unset and all tasks run in the driver's own process, as in local tests, a
+    temporary folder is made and set; on a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not is_local(sc.master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {sc.master} share")
         folder = tempfile.mkdtemp(prefix="turfspoor-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
 
 
+def is_local(master: str) -> bool:
+    """Whether a master runs its tasks in the driver's own process (``local-cluster`` does not)."""
+    return master == "local" or master.startswith("local[")
+
+
 def _hadoop_path(spark: SparkSession, path: str):
     return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
@@ -67,3 +79,17 @@ def discard(df: DataFrame) -> None:
         for item in [w for w in _WRITTEN if path.endswith(w[1].split("://")[-1].lstrip("/"))]:
             _WRITTEN.remove(item)
             _delete(*item)
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: Column, hot: int = HOT) -> DataFrame:
+    """``left`` joined with the one row that ``right`` has for each key, whatever the keys' frequencies.
+
+    ``rows`` is a column of ``right``, the number of rows that ``left`` has of the key (or an upper bound of it). Keys with more
+    than ``hot`` rows never go through a shuffle: there are at most N / ``hot`` of them, so they are
+    broadcast; all others are joined as Spark sees fit. ``left`` is read twice if there are hot keys.
+    """
+    few = right.filter(rows > hot)
+    if not few.take(1):
+        return left.join(right, keys)
+    cold = left.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(right.filter(rows <= hot), keys)
+    return left.join(F.broadcast(few), keys).unionByName(cold)

@@ -13,6 +13,9 @@ in 64 dimensions; ``recall`` measures it against brute force.
 
 Equal vectors are one entry with their ids behind it, so a third of all rows being copies does not
 unbalance a shard; of the ids of one entry only the k + 1 smallest can be among anybody's top k.
+
+Each entry is in one shard and goes there once. Only a shard to which more than QUERIES queries come,
+as the routed sample tells, is searched by several tasks, each with a copy of its entries.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turfspoor.session import written
+from turfspoor.session import join_hot, written
 
 #: Bound of the sample that the router is fitted on, and entries aimed at in one shard.
 SAMPLE, SHARD, QUERIES, LEAF = 20_000, 16_384, 65_536, 128
@@ -109,93 +112,123 @@ def single(x: np.ndarray) -> np.ndarray:
 
 
 def unit_vectors(id_column: str, vec: str, dim: int):
+    """A mapInPandas function: (id, d, v) of each usable vector; ``d`` is a 128-bit digest of the packed ``v``."""
+
     def run(batches):
+        import xxhash
+
         for pdf in batches:
-            ids, out = [], []
+            out = []
             for i, v in zip(pdf[id_column], pdf[vec]):
                 if i is None or v is None or len(v) != dim:
                     continue
                 v = np.asarray(v, np.float32)  # a null inside the list becomes NaN
                 length = (v.astype(float) ** 2).sum()
                 if np.isfinite(length) and length > 0:
-                    ids.append(i)
-                    out.append((v + np.float32(0)).astype("<f4").tobytes())  # no negative zeros
-            if ids:
-                yield pd.DataFrame({"id": ids, "v": out})
+                    packed = (v + np.float32(0)).astype("<f4").tobytes()  # no negative zeros
+                    out.append((i, xxhash.xxh128_digest(packed), packed))
+            if out:
+                yield pd.DataFrame(out, columns=["id", "d", "v"])
 
     return run
 
 
-def entries(df: DataFrame, id_column: str, vec: str, dim: int, k: int) -> DataFrame:
-    """(e, v, ids): the distinct vectors and their k + 1 smallest ids; and (id, v) of every usable id.
+def entries(df: DataFrame, id_column: str, vec: str, dim: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(e, d, v, n, ids): the distinct vectors, how many ids they have and the k + 1 smallest; and (id, d) of every usable id.
 
-    An id counts once, with the smallest of its vectors. Unusable vectors (null, of another length,
-    all zero, with NaN or infinity) and null ids take no part.
+    An id counts once, with the vector of the smallest digest. Unusable vectors (null, of another
+    length, all zero, with NaN or infinity) and null ids take no part. Only the least ids of an entry
+    leave a task (a window with a limit), however many it has.
     """
-    usable = df.select(F.col(id_column).cast("string").alias("_i"), F.col(vec).alias("_v")).mapInPandas(unit_vectors("_i", "_v", dim), "id string, v binary")
-    once = usable.groupBy("id").agg(F.min("v").alias("v"))
-    salted = once.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids"))
-    whole = salted.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
-    return written(whole.select(F.xxhash64("v").alias("e"), "v", "ids"), "entries"), once
+    usable = df.select(F.col(id_column).cast("string").alias("_i"), F.col(vec).alias("_v")).mapInPandas(unit_vectors("_i", "_v", dim), "id string, d binary, v binary")
+    usable = written(usable, "usable")
+    member = written(usable.groupBy("id").agg(F.min("d").alias("d")), "members")
+    least = Window.partitionBy("d").orderBy("id")
+    ids = member.withColumn("at", F.row_number().over(least)).filter(F.col("at") <= k + 1).groupBy("d").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    counts = member.groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+    known = usable.select("d", "v").dropDuplicates(["d"])
+    found = known.join(counts, "d").join(ids, "d").withColumn("e", F.monotonically_increasing_id())
+    return written(found.select("e", "d", "v", "n", "ids"), "entries"), member
+
+
+class Router:
+    """A tree over at most SAMPLE entries, taken evenly by a hash, with as many leaves as shards."""
 
+    def __init__(self, found: DataFrame, dim: int):
+        self.n, self.dim = found.count(), dim
+        share = min(1.0, SAMPLE / max(self.n, 1))
+        picked = found.filter(F.pmod(F.xxhash64(F.lit(11), "d"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("v").limit(2 * SAMPLE).collect()
+        depth = int(np.ceil(np.log2(max(1, -(-self.n // SHARD)))))
+        self.sample = single(unpack([r.v for r in sorted(picked)], dim)) if picked else np.zeros((0, dim), np.float32)
+        self.tree = Tree(self.sample, leaf=1, depth=depth)
 
-def router(found: DataFrame, dim: int) -> Tree:
-    """A tree over at most SAMPLE entries, taken evenly by a hash, with as many leaves as shards."""
-    n = found.count()
-    share = min(1.0, SAMPLE / max(n, 1))
-    picked = found.filter(F.pmod(F.xxhash64(F.lit(11), "e"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("v").limit(2 * SAMPLE).collect()
-    shards = max(1, -(-n // SHARD))
-    depth = int(np.ceil(np.log2(shards)))
-    x = single(unpack([r.v for r in sorted(picked)], dim)) if picked else np.zeros((0, dim), np.float32)
-    return Tree(x, leaf=1, depth=depth), n
+    def blocks(self, tau: float, relax: float) -> np.ndarray:
+        """Into how many blocks the queries of each shard are cut, as the sample is routed with that radius."""
+        met = np.zeros(len(self.tree.leaves))
+        for leaf, rows in self.tree.visit(self.sample, np.full(len(self.sample), tau), relax):
+            met[leaf] += len(rows)
+        return np.maximum(1, np.ceil(met * self.n / max(1, len(self.sample)) / QUERIES)).astype(np.int64)
 
 
 def neighbours(found: DataFrame, dim: int, k: int, min_cosine: float | None, relax: float, queries: DataFrame | None = None) -> DataFrame:
     """(e, other, cosine): the k nearest other entries of each entry in ``queries`` (default: all)."""
-    tree, n = router(found, dim)
+    router = Router(found, dim)
     asked = found if queries is None else queries
-    placed = found.select("e", "v").mapInPandas(placing(tree, dim), "e long, v binary, shard int")
     if min_cosine is None:
         # first the own shard gives each query a distance to its k-th neighbour, then the others
-        own = asked.select("e", "v").mapInPandas(placing(tree, dim), "e long, v binary, shard int").withColumn("tau", F.lit(2.0))
-        first = written(search(own, placed, dim, k, relax, n), "own")
-        reach = first.groupBy("e").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("cosine")))).alias("tau"))
+        blocks = router.blocks(-1.0, 1.0)
+        own = asked.select("e", "v", F.lit(2.0).alias("tau")).mapInPandas(routing(router.tree, dim, None, blocks), ROUTED)
+        first = written(search(own, placed(found, router.tree, dim, blocks), dim, k, relax), "own")
+        reach = written(first.groupBy("e").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("cosine")))).alias("tau")), "reach")
         start = asked.select("e", "v").join(reach, "e", "left").withColumn("tau", F.coalesce("tau", F.lit(2.0)))
+        most = reach.agg(F.percentile_approx(F.coalesce("tau", F.lit(2.0)), 0.9)).first()[0]
+        blocks = router.blocks(2.0 if most is None else most, relax)
     else:
-        start = asked.select("e", "v").withColumn("tau", F.lit(float(np.sqrt(2 - 2 * min_cosine)) + 1e-6))
-    routed = start.mapInPandas(routing(tree, dim, relax), "e long, v binary, tau double, shard int")
-    hits = search(routed, placed, dim, k, relax, n)
+        reach = float(np.sqrt(2 - 2 * min_cosine)) + 1e-6
+        start = asked.select("e", "v", F.lit(reach).alias("tau"))
+        blocks = router.blocks(reach, relax)
+    hits = search(start.mapInPandas(routing(router.tree, dim, relax, blocks), ROUTED), placed(found, router.tree, dim, blocks), dim, k, relax)
     best = Window.partitionBy("e").orderBy(F.desc("cosine"), "other")
     return hits.dropDuplicates(["e", "other"]).withColumn("at", F.row_number().over(best)).filter(F.col("at") <= k).select("e", "other", "cosine")
 
 
-def placing(tree: Tree, dim: int):
+ROUTED = "e long, v binary, tau double, shard int, block int"
+
+
+def placed(found: DataFrame, tree: Tree, dim: int, blocks: np.ndarray) -> DataFrame:
+    """(e, v, shard, block): each entry in its shard, once for each block of queries that the shard has."""
+
     def run(batches):
         for pdf in batches:
             if len(pdf):
-                yield pdf.assign(shard=tree.route(single(unpack(pdf["v"], dim))))
+                shard = tree.route(single(unpack(pdf["v"], dim)))
+                times = blocks[shard]
+                rows = np.repeat(np.arange(len(pdf)), times)
+                block = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
+                yield pdf.iloc[rows].assign(shard=shard[rows].astype(np.int32), block=block.astype(np.int32))
+
+    return found.select("e", "v").mapInPandas(run, "e long, v binary, shard int, block int")
 
-    return run
 
+def routing(tree: Tree, dim: int, relax: float | None, blocks: np.ndarray):
+    """A mapInPandas function: each query once for every shard that it may not skip; without ``relax`` its own shard only."""
 
-def routing(tree: Tree, dim: int, relax: float):
     def run(batches):
         for pdf in batches:
             for start in range(0, len(pdf), 4096):
                 part = pdf.iloc[start : start + 4096]
-                for leaf, rows in tree.visit(single(unpack(part["v"], dim)), part["tau"].to_numpy(), relax):
-                    yield part.iloc[rows].assign(shard=np.int32(leaf))
+                x, own = single(unpack(part["v"], dim)), part["e"].to_numpy()
+                tau = part["tau"].to_numpy() if relax is not None else np.full(len(part), -1.0)
+                for leaf, rows in tree.visit(x, tau, relax or 1.0):
+                    block = (own[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(blocks[leaf])
+                    yield part.iloc[rows].assign(shard=np.int32(leaf), block=block.astype(np.int32))
 
     return run
 
 
-def search(routed: DataFrame, placed: DataFrame, dim: int, k: int, relax: float, n: int) -> DataFrame:
-    """Search each shard. The queries of a shard are cut into blocks that run as tasks of their own."""
-    blocks = max(1, -(-n // QUERIES))
-    spread = routed.withColumn("block", F.pmod(F.xxhash64("e"), F.lit(blocks)).cast("int"))
-    # a shard holds SHARD entries or so; its copies for the blocks are what a block costs
-    shards = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pair = spread.groupBy("shard", "block").cogroup(shards.groupBy("shard", "block"))
+def search(routed: DataFrame, homes: DataFrame, dim: int, k: int, relax: float) -> DataFrame:
+    """(e, other, cosine): each shard (or block of its queries) is searched by one task, with one tree."""
+    pair = routed.groupBy("shard", "block").cogroup(homes.groupBy("shard", "block"))
 
     def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
@@ -248,11 +281,10 @@ def most_similar(df: DataFrame, id_column: str = "id", vec: str = "vec", dim: in
     condition on ``id`` that selects the queries; they are searched in all rows. An empty table or
     one without usable vectors gives no rows; other columns of ``df`` are not read.
     """
-    found, once = entries(df, id_column, vec, dim, k)
-    member = written(once.select("id", F.xxhash64("v").alias("e")), "members")
+    found, member = entries(df, id_column, vec, dim, k)
     if only is not None:
         member = member.filter(only)
-    queries = None if only is None else found.join(member.select("e").distinct(), "e", "left_semi")
+    queries = None if only is None else found.join(member.select("d").distinct(), "d", "left_semi")
     near = neighbours(found, dim, k, min_cosine, relax, queries)
     ids = found.select(F.col("e").alias("other"), "ids")
     floor = F.lit(-2.0 if min_cosine is None else min_cosine)
@@ -265,5 +297,6 @@ def most_similar(df: DataFrame, id_column: str = "id", vec: str = "vec", dim: in
     # k + 1: an id is skipped in its own list
     top = flat.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k + 1)
     lists = top.groupBy("e").agg(F.array_sort(F.collect_list(F.struct("at", "other", "cosine"))).alias("list"))
-    each = member.join(lists, "e").select("id", F.expr(f"slice(filter(list, x -> x.other <> id), 1, {k})").alias("list"))
+    lists = written(lists.join(found.select("e", "d", "n"), "e").select("d", "n", "list"), "lists")
+    each = join_hot(member, lists, ["d"], F.col("n")).select("id", F.expr(f"slice(filter(list, x -> x.other <> id), 1, {k})").alias("list"))
     return each.select("id", F.posexplode("list").alias("at", "x")).select("id", "x.other", "x.cosine", (F.col("at") + 1).alias("rank"))

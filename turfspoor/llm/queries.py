@@ -57,7 +57,7 @@ def p4_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    near = vectors.most_similar(table(spark, folder, "vector"), min_cosine=0.9, relax=6.0)
+    near = vectors.most_similar(table(spark, folder, "vector"), min_cosine=0.9, relax=5.0)
     return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 

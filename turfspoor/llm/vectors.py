@@ -177,7 +177,7 @@ def neighbours(found: DataFrame, dim: int, k: int, min_cosine: float | None, rel
     if min_cosine is None:
         # first the own shard gives each query a distance to its k-th neighbour, then the others
         blocks = router.blocks(-1.0, 1.0)
-        own = asked.select("e", "v", F.lit(2.0).alias("tau")).mapInPandas(routing(router.tree, dim, None, blocks), ROUTED)
+        own = routed(asked.select("e", "v", F.lit(2.0).alias("tau")), router.tree, dim, None, blocks)
         first = written(search(own, placed(found, router.tree, dim, blocks), dim, k, relax), "own")
         reach = written(first.groupBy("e").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("cosine")))).alias("tau")), "reach")
         start = asked.select("e", "v").join(reach, "e", "left").withColumn("tau", F.coalesce("tau", F.lit(2.0)))
@@ -187,12 +187,31 @@ def neighbours(found: DataFrame, dim: int, k: int, min_cosine: float | None, rel
         reach = float(np.sqrt(2 - 2 * min_cosine)) + 1e-6
         start = asked.select("e", "v", F.lit(reach).alias("tau"))
         blocks = router.blocks(reach, relax)
-    hits = search(start.mapInPandas(routing(router.tree, dim, relax, blocks), ROUTED), placed(found, router.tree, dim, blocks), dim, k, relax)
+    hits = search(routed(start, router.tree, dim, relax, blocks), placed(found, router.tree, dim, blocks), dim, k, relax)
     best = Window.partitionBy("e").orderBy(F.desc("cosine"), "other")
     return hits.dropDuplicates(["e", "other"]).withColumn("at", F.row_number().over(best)).filter(F.col("at") <= k).select("e", "other", "cosine")
 
 
-ROUTED = "e long, v binary, tau double, shard int, block int"
+def routed(start: DataFrame, tree: Tree, dim: int, relax: float | None, blocks: np.ndarray) -> DataFrame:
+    """(e, v, tau, shard, block): each query (e, v, tau) once for every shard that it may not skip.
+
+    Without ``relax`` only for its own shard. The worker gives one row for each query; its copies are
+    made behind it, as a place of shard and block in one number.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            x, own = single(unpack(pdf["v"], dim)), pdf["e"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            tau = pdf["tau"].to_numpy() if relax is not None else np.full(len(pdf), -1.0)
+            met = [(leaf, rows) for leaf, rows in tree.visit(x, tau, relax or 1.0)]
+            rows = np.concatenate([r for _, r in met]) if met else np.zeros(0, np.int64)
+            shard = np.repeat([leaf for leaf, _ in met], [len(r) for _, r in met]).astype(np.int64)
+            place = (shard << 32) + (own[rows] % blocks[shard].astype(np.uint64)).astype(np.int64)
+            order = np.argsort(rows, kind="stable")
+            yield pdf.assign(places=np.split(place[order], np.searchsorted(rows[order], np.arange(1, len(pdf)))))
+
+    many = start.mapInPandas(run, "e long, v binary, tau double, places array<long>").select("e", "v", "tau", F.explode("places").alias("place"))
+    return many.select("e", "v", "tau", F.shiftright("place", 32).cast("int").alias("shard"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("block"))
 
 
 def placed(found: DataFrame, tree: Tree, dim: int, blocks: np.ndarray) -> DataFrame:
@@ -210,25 +229,9 @@ def placed(found: DataFrame, tree: Tree, dim: int, blocks: np.ndarray) -> DataFr
     return found.select("e", "v").mapInPandas(run, "e long, v binary, shard int, block int")
 
 
-def routing(tree: Tree, dim: int, relax: float | None, blocks: np.ndarray):
-    """A mapInPandas function: each query once for every shard that it may not skip; without ``relax`` its own shard only."""
-
-    def run(batches):
-        for pdf in batches:
-            for start in range(0, len(pdf), 4096):
-                part = pdf.iloc[start : start + 4096]
-                x, own = single(unpack(part["v"], dim)), part["e"].to_numpy()
-                tau = part["tau"].to_numpy() if relax is not None else np.full(len(part), -1.0)
-                for leaf, rows in tree.visit(x, tau, relax or 1.0):
-                    block = (own[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(blocks[leaf])
-                    yield part.iloc[rows].assign(shard=np.int32(leaf), block=block.astype(np.int32))
-
-    return run
-
-
-def search(routed: DataFrame, homes: DataFrame, dim: int, k: int, relax: float) -> DataFrame:
+def search(queries: DataFrame, homes: DataFrame, dim: int, k: int, relax: float) -> DataFrame:
     """(e, other, cosine): each shard (or block of its queries) is searched by one task, with one tree."""
-    pair = routed.groupBy("shard", "block").cogroup(homes.groupBy("shard", "block"))
+    pair = queries.groupBy("shard", "block").cogroup(homes.groupBy("shard", "block"))
 
     def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
@@ -239,30 +242,30 @@ def search(routed: DataFrame, homes: DataFrame, dim: int, k: int, relax: float)
         # pruning keeps the radius that a query came with: it shrinks only for the leaf test, since the
         # relaxed bound of a shrunken radius would lose neighbours at the edge of the k
         tree, reach, kept = Tree(vectors, LEAF), q["tau"].to_numpy(dtype=float), {}
-        tau = reach.copy()
+        least = (1 - reach * reach / 2 - 2e-6).astype(np.float32)
         for leaf, rows in tree.visit(asked, reach, relax):
             inside = tree.leaves[leaf]
             for at in range(0, len(rows), 2048):
                 part = rows[at : at + 2048]
                 for to in range(0, len(inside), 2048):
                     members = inside[to : to + 2048]
-                    d = distances(asked[part], vectors[members])
-                    i, j = np.nonzero(d <= tau[part][:, None] + 1e-6)
+                    near = asked[part] @ vectors[members].T
+                    i, j = np.nonzero(near >= least[part][:, None])
                     keep = own[part[i]] != names[members[j]]
                     i, j = i[keep], j[keep]
                     if not len(i):
                         continue
                     owners = part[i]
                     bounds = np.flatnonzero(np.diff(owners)) + 1
-                    for r, near, found in zip(owners[np.r_[0, bounds]], np.split(d[i, j], bounds), np.split(members[j], bounds)):
+                    for r, cosine, found in zip(owners[np.r_[0, bounds]], np.split(near[i, j], bounds), np.split(members[j], bounds)):
                         if r in kept:
-                            near, found = np.r_[kept[r][0], near], np.r_[kept[r][1], found]
-                        if len(near) > k:  # equal distances at the edge stay
-                            edge = np.partition(near, k - 1)[k - 1]
-                            stay = near <= edge + 1e-6
-                            near, found = near[stay], found[stay]
-                            tau[r] = min(tau[r], edge)
-                        kept[r] = (near, found)
+                            cosine, found = np.r_[kept[r][0], cosine], np.r_[kept[r][1], found]
+                        if len(cosine) > k:  # equal ones at the edge stay
+                            edge = np.partition(cosine, len(cosine) - k)[len(cosine) - k] - np.float32(2e-6)
+                            stay = cosine >= edge
+                            cosine, found = cosine[stay], found[stay]
+                            least[r] = max(least[r], edge)
+                        kept[r] = (cosine, found)
         if not kept:
             return pd.DataFrame({"e": [], "other": [], "cosine": []}).astype({"e": "int64", "other": "int64", "cosine": "float64"})
         rows = np.concatenate([np.full(len(f), r) for r, (_, f) in kept.items()])

@@ -18,23 +18,34 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turfspoor.session import discard, written
+from turfspoor.session import HOT, discard, join_hot, written
 
-DAMPING, ROUNDS, TOLERANCE, BOUND, BLOCK = 0.85, 60, 1e-9, 50_000, 4096
+DAMPING, ROUNDS, TOLERANCE, BOUND, BLOCK = 0.85, 300, 1e-9, 50_000, 4096
+
+
+def ranks(values: np.ndarray) -> np.ndarray:
+    """The values as whole numbers of the same order; NaN is 0, below all others (minus infinity too)."""
+    out = np.zeros(len(values), np.int64)
+    known = ~np.isnan(values)
+    out[known] = np.unique(values[known], return_inverse=True)[1] + 1
+    return out
 
 
 def higher_counts(values: np.ndarray) -> np.ndarray:
     """How many values are strictly higher; NaN is below all and equal to itself."""
-    v = np.where(np.isnan(values), -np.inf, values)
+    v = ranks(values)
     return len(v) - np.searchsorted(np.sort(v), v, side="right")
 
 
-def walk(scores: np.ndarray, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
-    """The stationary probabilities of the items (rows) under the given scores (columns)."""
+def walk(scores: np.ndarray, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float | None = None) -> np.ndarray:
+    """The stationary probabilities of the items (rows) under the given scores (columns).
+
+    It is an error if a round still moves ``tolerance`` or more after ``rounds`` of them.
+    """
     n, s = scores.shape
     if n == 0:
         return np.zeros(0)
-    p = np.full(n, 1 / n)
+    p, tolerance = np.full(n, 1 / n), TOLERANCE if tolerance is None else tolerance
     if s == 0:
         return p
     orders = []
@@ -55,42 +66,43 @@ def walk(scores: np.ndarray, damping: float = DAMPING, rounds: int = ROUNDS, tol
         fresh = (1 - damping) / n + damping * fresh / s
         moved, p = np.abs(fresh - p).sum(), fresh
         if moved < tolerance:
-            break
-    return p
+            return p
+    raise RuntimeError(f"the walk still moves by {moved:.4g} after {rounds} rounds")
 
 
 def rank_walk(items: DataFrame, group: str, key: str, scores: list[str], bound: int = BOUND) -> DataFrame:
-    """``items`` with ``kans`` (stationary probability), ``plaats`` (1 is best) and ``hoger_<score>``.
+    """(group, key, kans, plaats, aantal, hoger_<score>): stationary probability, place (1 is best), size of the group.
 
     ``hoger_<score>`` is the number of the group's items with a strictly higher value, null where the
-    item has none. Equal probabilities (to twelve places) are ordered by ``key``. Pairs of group and
+    item has none. NaN is no value, like null; infinities are values. Equal probabilities (to twelve places) are ordered by ``key``. Pairs of group and
     key must be unique; rows with a null group or key are dropped. An empty table gives none.
     """
-    named = items.filter(F.col(group).isNotNull() & F.col(key).isNotNull()).select(F.col(group).alias("_g"), F.col(key).alias("_i"), *[F.col(s).cast("double").alias(f"_s{n}") for n, s in enumerate(scores)])
+    named = items.filter(F.col(group).isNotNull() & F.col(key).isNotNull()).select(F.col(group).alias("_g"), F.col(key).alias("_i"), *[F.nanvl(F.col(s).cast("double"), F.lit(None).cast("double")).alias(f"_s{n}") for n, s in enumerate(scores)])
     sizes = named.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
     columns = [f"_s{n}" for n in range(len(scores))]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema.fields[:2])
-    schema = f"{kinds}, kans double, " + ", ".join(f"_h{n} long" for n in range(len(scores)))
+    schema = f"{kinds}, kans double, aantal long, " + ", ".join(f"_h{n} long" for n in range(len(scores)))
     large = sizes.filter(F.col("_n") > bound)
     any_large = bool(large.take(1))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_i")
         values = pdf[columns].to_numpy(dtype=float, na_value=np.nan)
-        out = pdf[["_g", "_i"]].assign(kans=walk(values))
+        out = pdf[["_g", "_i"]].assign(kans=walk(values), aantal=len(pdf))
         for n in range(len(scores)):
             out[f"_h{n}"] = pd.array(np.where(np.isnan(values[:, n]), -1, higher_counts(values[:, n])), "Int64")
             out.loc[np.isnan(values[:, n]), f"_h{n}"] = pd.NA
         return out
 
-    small = named.join(large, "_g", "left_anti") if any_large else named
+    # at most N / bound groups are large
+    small = named.join(F.broadcast(large), "_g", "left_anti") if any_large else named
     done = small.groupBy("_g").applyInPandas(run, schema)
     order = [F.round("kans", 12).desc(), F.col("_i")]
     placed = done.withColumn("plaats", F.row_number().over(Window.partitionBy("_g").orderBy(*order)))
     if any_large:
-        walked = walk_large(named.join(large, "_g"), columns).select(*done.columns)
+        walked = walk_large(named.join(F.broadcast(large), "_g"), columns).select(*done.columns)
         placed = placed.unionByName(positions(walked, ["_g"], order).withColumn("plaats", (F.col("at") + 1).cast("int")).select(*placed.columns))
-    return placed.select(F.col("_g").alias(group), F.col("_i").alias(key), "kans", "plaats", *[F.col(f"_h{n}").alias(f"hoger_{s}") for n, s in enumerate(scores)])
+    return placed.select(F.col("_g").alias(group), F.col("_i").alias(key), "kans", "plaats", "aantal", *[F.col(f"_h{n}").alias(f"hoger_{s}") for n, s in enumerate(scores)])
 
 
 def positions(rows: DataFrame, groups: list[str], order: list) -> DataFrame:
@@ -104,18 +116,24 @@ def positions(rows: DataFrame, groups: list[str], order: list) -> DataFrame:
     counts = ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
     numbered = ordered.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("at", F.col("offset") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
+    # few rows: only large groups are numbered so
     starts = numbered.groupBy(*groups).agg(F.min("at").alias("start"))
-    return numbered.join(starts, groups).withColumn("at", F.col("at") - F.col("start")).drop("part", "offset", "start")
+    return numbered.join(F.broadcast(starts), groups).withColumn("at", F.col("at") - F.col("start")).drop("part", "offset", "start")
+
 
+def walk_large(rows: DataFrame, columns: list[str], hot: int = HOT) -> DataFrame:
+    """The walk over groups too large for a task. ``rows``: (_g, _i, scores, _n), a null score being none.
 
-def walk_large(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """The walk over groups too large for a task. ``rows``: (_g, _i, scores, _n)."""
-    minus = F.lit(float("-inf"))
-    long = rows.select("_g", "_i", "_n", F.explode(F.array(*[F.struct(F.lit(n).alias("s"), F.col(c).isNull().alias("none"), F.coalesce(F.col(c), minus).alias("v")) for n, c in enumerate(columns)])).alias("x")).select("_g", "_i", "_n", "x.*")
-    numbered = positions(long, ["_g", "s"], [F.desc("v")])
+    A tie may be most of a group (a score of two values, missing scores): what all its items share is
+    one row, which goes to them by ``join_hot``.
+    """
+    long = rows.select("_g", "_i", "_n", F.explode(F.array(*[F.struct(F.lit(n).alias("s"), F.col(c).isNull().alias("none"), F.coalesce(F.col(c), F.lit(0.0)).alias("v")) for n, c in enumerate(columns)])).alias("x")).select("_g", "_i", "_n", "x.*")
+    numbered = written(positions(long, ["_g", "s"], [F.col("none"), F.desc("v")]), "numbered")
     # items of equal value have as many above them as the first of them
-    ties = numbered.groupBy("_g", "s", "v").agg(F.min("at").alias("h"))
-    ranked = written(numbered.join(ties, ["_g", "s", "v"]).select("_g", "_i", "_n", "s", "none", "h"), "ranked")
+    tied = ["_g", "s", "none", "v"]
+    ties = written(numbered.groupBy(*tied).agg(F.min("at").alias("h"), F.count(F.lit(1)).alias("_size")), "ties")
+    ranked = written(join_hot(numbered, ties, tied, F.col("_size"), hot).select("_g", "_i", "_n", "s", "none", "h"), "ranked")
+    sizes = ties.select("_g", "s", "h", "_size")
     p = written(rows.select("_g", "_i", "_n", (1 / F.col("_n")).alias("p")), "p")
     for _ in range(ROUNDS):
         out = ranked.join(p.select("_g", "_i", "p"), ["_g", "_i"]).withColumn("w", F.col("p") / (F.col("h") + 1))
@@ -124,14 +142,20 @@ def walk_large(rows: DataFrame, columns: list[str]) -> DataFrame:
         lower = Window.partitionBy("_g", "s").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
         blocks = blocks.select("_g", "s", "block", F.coalesce(F.sum("b").over(lower), F.lit(0.0)).alias("before"))
         inside = Window.partitionBy("_g", "s", "block").orderBy(F.desc("h")).rowsBetween(Window.unboundedPreceding, -1)
+        # one row for each BLOCK places of a large group
         below = mass.withColumn("near", F.coalesce(F.sum("w").over(inside), F.lit(0.0))).join(blocks, ["_g", "s", "block"]).select("_g", "s", "h", (F.col("near") + F.col("before")).alias("below"))
-        got = out.join(below, ["_g", "s", "h"]).groupBy("_g", "_i").agg(F.first("_n").alias("_n"), F.first("p").alias("was"), F.sum(F.col("below") + F.col("w")).alias("got"))
+        below = written(below.join(sizes, ["_g", "s", "h"]), "below")
+        got = join_hot(out, below, ["_g", "s", "h"], F.col("_size"), hot).groupBy("_g", "_i").agg(F.first("_n").alias("_n"), F.first("p").alias("was"), F.sum(F.col("below") + F.col("w")).alias("got"))
         fresh = written(got.select("_g", "_i", "_n", "was", ((1 - DAMPING) / F.col("_n") + DAMPING * F.col("got") / len(columns)).alias("p")), "p")
         discard(p)
+        discard(below)
         p = fresh
-        if p.groupBy("_g").agg(F.sum(F.abs(F.col("p") - F.col("was"))).alias("moved")).agg(F.max("moved")).first()[0] < TOLERANCE:
+        moved = p.groupBy("_g").agg(F.sum(F.abs(F.col("p") - F.col("was"))).alias("moved")).agg(F.max("moved")).first()[0]
+        if moved < TOLERANCE:
             break
-    wide = ranked.groupBy("_g", "_i").agg(*[F.max(F.when((F.col("s") == n) & ~F.col("none"), F.col("h"))).alias(f"_h{n}") for n in range(len(columns))])
+    else:
+        raise RuntimeError(f"the walk still moves by {moved:.4g} after {ROUNDS} rounds")
+    wide = ranked.groupBy("_g", "_i").agg(F.first("_n").alias("aantal"), *[F.max(F.when((F.col("s") == n) & ~F.col("none"), F.col("h"))).alias(f"_h{n}") for n in range(len(columns))])
     return wide.join(p.select("_g", "_i", F.col("p").alias("kans")), ["_g", "_i"])
 
 
@@ -180,9 +204,24 @@ def cosine():
 SCORES = ["gelijkenis", "recent", "woorden", "namen", "lopend"]
 
 
-def leaders(ranked: DataFrame, facts: DataFrame, top: int = 8) -> DataFrame:
-    """(vraag_id, id): not ended and, for similarity, date and word score, fewer than ``top`` higher."""
-    firm = ranked
-    for s in ("gelijkenis", "recent", "woorden"):
+def least_chance(higher: list[int], n, scores: int, damping: float = DAMPING):
+    """A lower bound of the stationary probability of an item with so many items above it by some of the scores.
+
+    It restarts at every item alike and stays where it is with 1 / (higher + 1) by each score:
+    p >= (1 - d) / n + d / scores * sum(p / (h + 1)). What comes from lower items is left out.
+    """
+    stays = damping / scores * sum(1 / (h + 1) for h in higher)
+    return (1 - damping) / n / (1 - stays)
+
+
+def leaders(ranked: DataFrame, facts: DataFrame, top: int = 8, by: tuple[str, ...] = ("gelijkenis", "recent", "woorden")) -> DataFrame:
+    """(vraag_id, id): not ended and, for similarity, date and word score, fewer than ``top`` higher.
+
+    The walk leaves only items to which it comes as often as an item with fewer than ``top`` above it
+    by each of these scores must be met; then the counts decide.
+    """
+    floor = least_chance([top - 1] * len(by), F.col("aantal"), len(SCORES))
+    firm = ranked.filter(F.col("kans") >= floor * (1 - 1e-6))
+    for s in by:
         firm = firm.filter(F.col(f"hoger_{s}") < top)
     return firm.join(facts.filter("lopend = 1").select("vraag_id", "id"), ["vraag_id", "id"], "left_semi").select("vraag_id", "id")

@@ -299,18 +299,22 @@ def test_ends_of_the_scale(spark):
     assert sorted(tuple(r) for r in reading.ends_of_scale(levels).collect()) == [(1, "laag"), (2, "hoog")]
 
 
-def test_reading_levels_settle_or_fail(spark):
-    rows = [(n, "Aap beer kat.") for n in range(60)] + [(99, "Xylofoon ypsilon. Zebra.")]
+def test_reading_levels_settle_or_fail_and_tables_give_the_same(spark):
+    rows = [(n, "Aap beer kat.") for n in range(30)] + [(99, "Xylofoon ypsilon. Zebra."), (100, "Beer zebra! Kat."), (101, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    linked = reading.graph(df, "doc_id", "text", spark.createDataFrame([(0, 5), (99, 1)], "doc_id long, oordeel int"))
-    values, mean = reading.propagate(linked)
-    docs = [(r.label, r.nodes) for r in linked.collect()]
-    nodes = sorted({x for _, own in docs for x in own})
+    linked = reading.written(reading.graph(df, "doc_id", "text", spark.createDataFrame([(0, 5), (99, 1), (101, 5)], "doc_id long, oordeel int")))
+    near, mean = reading.propagate(linked)
+    got = {r.doc_id: r.near for r in near.collect()}
+    docs = [(r.doc_id, r.label, r.nodes, [1.0] * (len(r.nodes) - 2) + [reading.SHAPE / 2 * (len(r.nodes) - 2)] * 2 if r.nodes else []) for r in linked.collect()]
+    nodes = sorted({x for _, _, own, _ in docs for x in own})
     slow = dict.fromkeys(nodes, mean)
-    for _ in range(1500):
-        score = [label if label is not None else sum(slow[x] for x in own) / len(own) for label, own in docs]
-        met = {x: [s for s, (_, own) in zip(score, docs) if x in own] for x in nodes}
-        slow = {x: (sum(met[x]) + mean) / (len(met[x]) + 1) for x in nodes}
-    assert mean == 3 and max(abs(values[x] - slow[x]) for x in nodes) < 1e-3 and max(slow.values()) > 3.9
+    mid = lambda own, w: sum(slow[x] * y for x, y in zip(own, w)) / sum(w) if own else 0.0
+    for _ in range(2500):
+        score = [label if label is not None else mid(own, w) for _, label, own, w in docs]
+        met = {x: [(s, dict(zip(own, w))[x]) for s, (_, _, own, w) in zip(score, docs) if x in own] for x in nodes}
+        slow = {x: (sum(s * w for s, w in met[x]) + mean) / (sum(w for _, w in met[x]) + 1) for x in nodes}
+    assert mean == 3 and max(abs(got[d] - mid(own, w)) for d, _, own, w in docs) < 1e-5 and max(got.values()) > 3.5 and got[101] == 0
     with pytest.raises(RuntimeError):
         reading.propagate(linked, rounds=2)
+    tables = reading.propagate(linked, most=0, tolerance=1e-3)[0]
+    assert max(abs(r.near - got[r.doc_id]) for r in tables.collect()) < 0.05

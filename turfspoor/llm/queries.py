@@ -73,7 +73,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_order(spark: SparkSession, folder: str) -> DataFrame:
-    return _ranked(spark, folder)[1].select("vraag_id", "id", "plaats", F.round("kans", 9).alias("kans"))
+    return _ranked(spark, folder)[1].select("vraag_id", "id", "plaats", F.round("kans", 6).alias("kans"))
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,7 +97,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
-    return _levels(spark, folder).select("doc_id", "moeilijkheid", F.round("w", 6).alias("w"), F.round("l", 6).alias("l"))
+    return _levels(spark, folder).select("doc_id", F.round("moeilijkheid", 2).alias("moeilijkheid"), F.round("w", 6).alias("w"), F.round("l", 6).alias("l"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_masked, p3_found, p3_weights, p4_found, p4_clean, p6_found, p7_found, p7_order, p8_ids, p9_mix, p9_shares, p10_found, p10_levels)}

@@ -45,7 +45,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_weights(spark: SparkSession, folder: str) -> DataFrame:
-    return relevance.distinctive_terms(table(spark, folder, "stuk"), "id", FIELDS)
+    return relevance.distinctive_terms(table(spark, folder, "stuk"), "id", FIELDS).withColumn("weight", F.round("weight", 6))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

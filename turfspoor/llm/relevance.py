@@ -9,7 +9,8 @@ cover every row of the table, also those that a selection later leaves out.
 Cost: one scan makes the document frequencies. Each text is tokenised into its distinct terms
 inside the scan and pre-aggregated per task, so the shuffle carries (term, partial count) only and a
 term that is in every record is one row per task. A second scan makes the terms of each record.
-A floor on the term frequency is applied inside that scan, before any row leaves it.
+A floor on the term frequency is applied inside that scan, before any row leaves it. Terms of very
+many records meet their frequency without a shuffle (``join_hot``).
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turfspoor.session import written
+from turfspoor.session import join_hot, written
 
 
 def joined_text(fields: list[str]) -> Column:
@@ -42,25 +43,26 @@ def document_frequencies(df: DataFrame, fields: list[str]) -> DataFrame:
 def record_terms(df: DataFrame, key: str, fields: list[str], min_tf: int) -> DataFrame:
     """(key, term, tf, len) of each distinct term that occurs at least ``min_tf`` times in its record.
 
-    One fold over the sorted tokens counts the runs of equal ones; a term is put out at each of its
-    occurrences from number ``min_tf`` on, so rarer terms are gone before a row is made of them. The
-    fold names its input once: an expression that a lambda names again is evaluated again.
+    In the sorted tokens a term is put out at each place that has the same term ``min_tf`` - 1 places
+    before, so rarer terms are gone before a row is made of them. The tokens are named once, as the
+    variable of an outer ``transform``: an expression that is named again is evaluated again.
     """
-    start = "named_struct('last', cast(null as string), 'n', 0, 'len', 0, 'often', cast(array() as array<string>))"
-    n = "if(x <=> acc.last, acc.n + 1, 1)"
-    step = f"named_struct('last', x, 'n', {n}, 'len', acc.len + 1, 'often', if({n} >= {min_tf}, concat(acc.often, array(x)), acc.often))"
     tokens = F.array_sort(letter_words(joined_text(fields)))
-    if min_tf > 1:
-        fold = df.select(F.col(key).alias("_key"), tokens.alias("tokens"))
-        fold = fold.select("_key", F.expr(f"aggregate(tokens, {start}, (acc, x) -> {step})").alias("fold")).select("_key", F.col("fold.len").alias("len"), F.col("fold.often").alias("often"))
-    else:
-        fold = df.select(F.col(key).alias("_key"), tokens.alias("often")).select("_key", F.size("often").alias("len"), "often")
+    often = f"filter(zip_with(slice(t, {min_tf}, greatest(size(t), 1)), slice(t, 1, greatest(size(t) - {min_tf - 1}, 0)), (x, y) -> if(x = y, x, null)), x -> x is not null)" if min_tf > 1 else "t"
+    found = df.select(F.col(key).alias("_key"), F.array(tokens).alias("tokens"))
+    found = found.select("_key", F.expr(f"transform(tokens, t -> named_struct('len', size(t), 'often', {often}))").alias("found"))
     # outer: a plain explode would test the size of its array first and evaluate it twice for that
-    rows = fold.select("_key", "len", F.explode_outer("often").alias("term")).filter(F.col("term").isNotNull())
+    rows = found.select("_key", F.explode_outer("found").alias("x")).select("_key", F.col("x.len").alias("len"), F.explode_outer("x.often").alias("term")).filter(F.col("term").isNotNull())
     counted = rows.groupBy("_key", "len", "term").agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.col("_key").alias(key), "term", (F.col("n") + (min_tf - 1)).cast("int").alias("tf"), "len")
 
 
+def weight_of(tf: Column, df: Column, length: Column, n: Column, total: Column, k1: float = 1.2, b: float = 0.75) -> Column:
+    """The relevance weight; it grows with ``tf`` and falls with ``df``."""
+    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.greatest(total / n, F.lit(1e-9))))
+
+
 def distinctive_terms(df: DataFrame, key: str = "id", fields: tuple[str, ...] = ("titel", "sectie", "tekst"), k1: float = 1.2, b: float = 0.75, min_tf: int = 1, min_df: int = 1, max_df: int | None = None) -> DataFrame:
     """(key, term, tf, df, weight) for the terms of every record.
 
@@ -75,12 +77,13 @@ def distinctive_terms(df: DataFrame, key: str = "id", fields: tuple[str, ...] =
     freq = written(document_frequencies(df, fields), "df")
     totals = freq.filter(F.col("term").isNull()).agg(F.max("df").alias("_n"), F.max("total").alias("_total"))
     kept = freq.filter(F.col("term").isNotNull() & (F.col("df") >= min_df))
-    if max_df is not None:
+    if max_df is not None:  # a frequent term need not go through the join
         kept = kept.filter(F.col("df") <= max_df)
     terms = record_terms(df, key, fields, min_tf)
-    scored = terms.join(kept.select("term", "df"), "term").crossJoin(F.broadcast(totals))  # one row
-    tf, n = F.col("tf").cast("double"), F.col("df").cast("double")
-    idf = F.log(1 + (F.col("_n") - n + 0.5) / (n + 0.5))
-    mean = F.greatest(F.col("_total") / F.col("_n"), F.lit(1e-9))
-    weight = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / mean))
-    return scored.select(key, "term", "tf", "df", weight.alias("weight"))
+    scored = join_hot(terms, kept.select("term", "df"), ["term"], F.col("df")).crossJoin(F.broadcast(totals))  # one row
+    weight = lambda tf, n: weight_of(tf, n, F.col("len"), F.col("_n"), F.col("_total"), k1, b)
+    scored = scored.withColumn("weight", weight(F.col("tf").cast("double"), F.col("df").cast("double")))
+    if max_df is not None:
+        # what the weight must be at least in a record of this length; the counts decide what is left
+        scored = scored.filter((F.col("weight") >= weight(F.lit(float(min_tf)), F.lit(float(max_df))) * (1 - 1e-9)) & (F.col("tf") >= min_tf) & F.col("df").between(min_df, max_df))
+    return scored.select(key, "term", "tf", "df", "weight")

@@ -19,6 +19,9 @@ SQL = {
     "p3_found": f"""
 WITH {TERMS}
 SELECT id, term FROM tfs JOIN dfs USING (term) WHERE tf >= 3 AND df BETWEEN 2 AND 8""",
+    "p3_weights": f"""
+WITH {TERMS}
+SELECT id, term, tf::INTEGER AS tf, df, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / (total / n))), 6) AS weight FROM tfs JOIN dfs USING (term) JOIN lengths USING (id), stats""",
     "p1_found": """
 WITH texts AS (SELECT id, list_distinct(list_transform(regexp_extract_all(tekst, '[\\p{L}\\p{N}]+'), lambda w: lower(w))) AS words FROM stuk),
     big AS (SELECT id, words, len(words) AS n FROM texts WHERE len(words) >= 30),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,18 +27,27 @@ def _personal(spark: SparkSession, folder: str):
     return chunks, tasks, personal.learn_lexicon(texts, "t", table(spark, folder, "naamlijst"))
 
 
+#: Where the session names no key, each driver has its own, and nobody can undo its pseudonyms.
+OWN_KEY = secrets.token_bytes(32)
+
+
+def _key(spark: SparkSession) -> bytes:
+    given = spark.conf.get("spark.turfspoor.sleutel", None)
+    return given.encode() if given else OWN_KEY
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     chunks, tasks, lexicon = _personal(spark, folder)
     rows = chunks.select(F.lit("stuk").alias("tabel"), F.col("id").alias("sleutel"), F.col("tekst").alias("t"))
     rows = rows.unionAll(tasks.select(F.lit("taken"), F.col("regel").cast("string"), F.col("omschrijving")))
-    return personal.find_values(rows, ["tabel", "sleutel"], "t", lexicon)
+    return personal.find_values(rows, ["tabel", "sleutel"], "t", lexicon, _key(spark)).drop("pseudoniem")
 
 
 def p2_masked(spark: SparkSession, folder: str) -> DataFrame:
     chunks, tasks, lexicon = _personal(spark, folder)
     rows = chunks.select(F.lit("stuk").alias("tabel"), F.col("id").alias("sleutel"), F.col("tekst").alias("tekst"))
     rows = rows.unionAll(tasks.select(F.lit("taken"), F.col("regel").cast("string"), F.col("omschrijving")))
-    return personal.mask_values(rows, "tekst", lexicon)
+    return personal.mask_values(rows, "tekst", lexicon, _key(spark))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

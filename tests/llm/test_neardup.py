@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from turfspoor.llm import neardup
@@ -43,10 +44,7 @@ def test_pairs_equal_brute_force(spark):
     assert got == exact(rows) and len(got) > 50
 
 
-def test_groups_are_the_components_and_count_links(spark):
-    rows = corpus(2) + [("kopie", corpus(2)[0][1].upper() + "!", "", 0, "")]
-    nd = neardup.NearDuplicates(spark.createDataFrame(rows, SCHEMA))
-    groups = {r.id: r.groep for r in nd.groups().collect()}
+def components(pairs):
     root = {}
 
     def find(x):
@@ -54,10 +52,24 @@ def test_groups_are_the_components_and_count_links(spark):
             x = root[x]
         return x
 
-    for a, b in exact(rows):
+    for a, b in pairs:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    assert groups == {x: find(x) for x in list(root)} and groups["kopie"] == groups["d000"]
+    return {x: find(x) for x in list(root)}
+
+
+def test_groups_are_the_components(spark):
+    rows = corpus(2) + [("kopie", corpus(2)[0][1].upper() + "!", "", 0, "")]
+    nd = neardup.NearDuplicates(spark.createDataFrame(rows, SCHEMA))
+    groups = {r.id: r.groep for r in nd.groups().collect()}
+    assert groups == components(exact(rows)) and groups["kopie"] == groups["d000"]
+
+
+def test_products_modulo_the_prime():
+    a = np.array([1, 2**61 - 2, 2**60 + 12345, 987654321987654321], np.uint64)
+    x = np.array([0, 2**61 - 2, 2**31, 1152921504606846977], np.uint64)
+    got = neardup.times61(a[:, None], x[None, :])
+    assert got.tolist() == [[int(p) * int(q) % (2**61 - 1) for q in x] for p in a]
 
 
 def test_a_large_class_of_copies_is_a_star_and_loses_no_link(spark):
@@ -82,15 +94,25 @@ def test_different_texts_of_one_word_set_are_all_linked(spark, monkeypatch):
     copies = {f"r{n:03d}" for n in range(90, 160)}
     want = {(a, b) for a, b in exact(one) if not {a, b} & copies} | {("r000", c) for c in copies}
     nd = neardup.NearDuplicates(spark.createDataFrame(one, SCHEMA))
-    assert {(r.id_a, r.id_b) for r in nd.pairs().collect()} == want and {r.links for r in nd.groups().collect()} == {89}
+    assert {(r.id_a, r.id_b) for r in nd.pairs().collect()} == want and {r.groep for r in nd.groups().collect()} == {"r000"}
+    assert {(r.id_a, r.id_b) for r in nd.pairs(expand=None).collect()} == exact(one)
 
 
-def test_hot_buckets_are_cut_into_blocks(spark, monkeypatch):
+def test_hot_buckets_are_cut_into_blocks_and_counted_apart(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "HOT", 10)
+    monkeypatch.setattr(neardup, "SLOTS", 64)
+    monkeypatch.setattr(neardup.join_hot, "__defaults__", (10,))
     base = [f"w{n}" for n in range(60)]
     rows = [(f"h{n:02d}", " ".join(base[:n] + [f"x{n}"] + base[n + 1 :]), "", 0, "") for n in range(30)]
-    got = {(r.id_a, r.id_b) for r in neardup.NearDuplicates(spark.createDataFrame(rows, SCHEMA)).pairs().collect()}
-    assert got == exact(rows) and len(got) == 30 * 29 // 2
+    # like some members of the hot buckets, but not like the first one
+    far = " ".join([f"x{n}" if n in (1, 2, 3, 4, 5) else w for n, w in enumerate(base)])
+    rows += [("far", far, "", 0, ""), ("farther", far.replace("w7 ", "anders ").replace("w8 ", "weer "), "", 0, "")] + corpus(5)
+    nd = neardup.NearDuplicates(spark.createDataFrame(rows, SCHEMA))
+    want = exact(rows)
+    assert {(r.id_a, r.id_b) for r in nd.pairs().collect()} == want and len(want) >= 30 * 29 // 2
+    assert {r.id: r.groep for r in nd.groups().collect()} == components(want)
+    assert nd.group_links().count() < nd.links().count()
 
 
 def test_empty_table_and_long_text(spark):

@@ -8,10 +8,13 @@
    probability 0.994, one of 0.85 with 0.9999; unrelated texts of this kind (0.1 to 0.3) meet in
    about one of a million cases.
 3. Buckets with two members or more become candidate pairs by a shuffled self-join whose hot keys
-   are split into blocks.
+   are split into blocks. Which buckets are hot is known from counts of a fixed number of slots before
+   anything is shuffled by bucket.
 4. Candidates are verified on 64 bytes of their signatures, and those that pass on their word sets
-   (32 bits a word: two different words of a pair are taken for one in about one of 10**5 pairs).
-5. Components come from alternating large-star and small-star steps.
+   (64 bits a word).
+5. Groups are components, by alternating large-star and small-star steps. They need no more links than
+   hold them together: the members of a large bucket are compared with its first one, and only those
+   that are not like it with all others.
 
 Nothing is collected: classes, buckets, pairs and components are tables throughout.
 """
@@ -25,10 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turfspoor.session import discard, written
+from turfspoor.session import HOT, discard, join_hot, written
 
 ROWS, BANDS, SKETCH = 9, 36, 64
-BLOCK = 256
+#: Members of a block of a bucket or class; slots by which buckets are counted.
+BLOCK, SLOTS = 256, 1 << 14
 WORD = re.compile(r"[^\W_]+")
 PRIME = np.uint64((1 << 61) - 1)
 
@@ -38,9 +42,17 @@ def _mod61(x: np.ndarray) -> np.ndarray:
     return np.where(x >= PRIME, x - PRIME, x)
 
 
+def times61(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """a * x mod 2**61 - 1 in 64-bit words: both are cut into 30 high and 31 low bits, and 2**61 is 1."""
+    half, low, rest = np.uint64(31), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+    ah, al, xh, xl = a >> half, a & low, x >> half, x & low
+    mid = ah * xl + al * xh
+    return _mod61(np.uint64(2) * (ah * xh) + (mid >> np.uint64(30)) + ((mid & rest) << half) + al * xl)
+
+
 def coefficients(count: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return rng.integers(1, 1 << 30, count, dtype=np.uint64), rng.integers(0, (1 << 61) - 1, count, dtype=np.uint64)
+    return rng.integers(1, (1 << 61) - 1, count, dtype=np.uint64), rng.integers(0, (1 << 61) - 1, count, dtype=np.uint64)
 
 
 def hash_words(words: list[str]) -> np.ndarray:
@@ -50,16 +62,9 @@ def hash_words(words: list[str]) -> np.ndarray:
 
 
 def minima_table(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One row for each word: the top 32 bits of its value under each function.
-
-    The word's hash is folded to 31 bits and multiplied by a 30-bit factor, so the product stays
-    inside 64 bits; the remainder mod 2**61 - 1 is taken by folding.
-    """
-    x = (hashes >> np.uint64(33)) ^ (hashes & np.uint64(0x7FFFFFFF))
-    mixed = _mod61(_mod61(x[:, None] * a[None, :]) + b[None, :])
-    # a second, fixed mixing spreads the small products over all bits before they are ordered
-    mixed = (mixed ^ (hashes[:, None] >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(32)).astype(np.uint32)
+    """One row for each word: the top 32 bits of a * x + b mod 2**61 - 1 for each function (a, b)."""
+    x = _mod61(hashes)
+    return (_mod61(times61(a[None, :], x[:, None]) + b[None, :]) >> np.uint64(29)).astype(np.uint32)
 
 
 def distinct_words(text: str) -> set[str]:
@@ -71,7 +76,7 @@ def distinct_words(text: str) -> set[str]:
 def signatures(key: str, text: str, min_words: int, rows: int = ROWS, bands: int = BANDS):
     """A mapInPandas function: (id, exact, class, words, bands, sketch) of each text with enough words.
 
-    ``exact`` is a 128-bit digest of the text itself, ``class`` a 128-bit digest of the word set (from 64 bits a word), ``words`` its sorted 32-bit
+    ``exact`` is a 128-bit digest of the text itself, ``class`` a 128-bit digest of the word set (from 64 bits a word), ``words`` its sorted 64-bit
     hashes, ``bands`` one 64-bit bucket key for each band and ``sketch`` the low bytes of SKETCH minima.
     """
     a, b = coefficients(rows * bands)
@@ -111,8 +116,7 @@ def signatures(key: str, text: str, min_words: int, rows: int = ROWS, bands: int
                         low = np.minimum(low, table[at[more : more + 4096]].min(axis=0))
                     keys = ((low.reshape(bands, rows).astype(np.uint64) + np.uint64(1)) * odd).sum(axis=1, dtype=np.uint64)
                     keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) + place
-                    short = np.unique((words >> np.uint64(32)).astype("<u4"))
-                    out.append((i, xxhash.xxh128_digest(t.encode("utf-8", "surrogatepass")), xxhash.xxh128_digest(words.tobytes()), short.tobytes(), keys.view(np.int64), (low[:SKETCH] & np.uint32(255)).astype(np.uint8).tobytes()))
+                    out.append((i, xxhash.xxh128_digest(t.encode("utf-8", "surrogatepass")), xxhash.xxh128_digest(words.tobytes()), words.astype("<u8").tobytes(), keys.view(np.int64), (low[:SKETCH] & np.uint32(255)).astype(np.uint8).tobytes()))
             if out:
                 yield pd.DataFrame(out, columns=["id", "exact", "class", "words", "bands", "sketch"])
 
@@ -147,35 +151,91 @@ class NearDuplicates:
 
         ``rep`` is the row number of the representative, ``first`` the smallest id of the class.
         """
-        return self.signed.select("id", "class").join(self.classes, "class").select("id", "rep", "first", "copies").distinct()
+        return join_hot(self.signed.select("id", "class"), self.classes, ["class"], F.col("copies")).select("id", "rep", "first", "copies").distinct()
 
     def single(self) -> DataFrame:
-        """The row of each class's representative: ``rep`` is its only row or its first."""
-        repeated = self.classes.filter("copies > 1").select("class", "rep")
-        return self.signed.join(repeated, "class", "left").filter("rep is null or rep = n")
+        """The row of each class's representative: ``rep`` is its only row or its first.
 
-    def candidates(self) -> DataFrame:
-        """Distinct pairs of representatives (a < b) that share a bucket.
+        The rows of very frequent classes, which are few, go before the others are joined.
+        """
+        repeated = self.classes.filter("copies > 1")
+        few = repeated.filter(F.col("copies") > HOT).select("class", F.col("rep").alias("hot"))
+        rows = self.signed
+        if few.take(1):
+            rows = rows.join(F.broadcast(few), "class", "left").filter("hot is null or hot = n").drop("hot")
+        return rows.join(repeated.filter(F.col("copies") <= HOT).select("class", "rep"), "class", "left").filter("rep is null or rep = n")
+
+    def shared(self) -> DataFrame:
+        """(band, n, size): the buckets with two members or more.
+
+        The members are counted by SLOTS slots first; a bucket that may have more than HOT members lies
+        in a slot well over the mean. What lies in such slots is counted by an aggregate that combines
+        before its shuffle, and the few hot buckets never go through one; all else is counted as it is shuffled.
+        """
+        entries = self.single().select("n", F.explode_outer("bands").alias("band"))
+        slot = F.pmod("band", F.lit(SLOTS))
+        counts = entries.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("size")).toPandas()
+        hot = [int(x) for x in counts["slot"][counts["size"] > 2 * counts["size"].sum() / SLOTS + HOT]]
+        cold = entries if not hot else entries.filter(~slot.isin(hot))
+        found = cold.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("band"))).filter("size > 1").select("band", "n", "size")
+        if hot:
+            rest = entries.filter(slot.isin(hot))
+            sizes = rest.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+            found = found.unionByName(join_hot(rest, sizes, ["band"], F.col("size")).select("band", "n", "size"))
+        return written(found, "shared")
+
+    @staticmethod
+    def _paired(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Distinct (a, b), a < b: the members (band, n, size) of ``left`` beside those of ``right`` in the same bucket.
 
         Buckets with more than BLOCK members are cut into blocks by a hash of the member; the join
         key then holds a pair of blocks, so that one hot bucket is spread over many tasks.
         """
-        entries = self.single().select("n", F.explode_outer("bands").alias("band"))
-        counted = entries.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("band"))).filter("size > 1")
-        shared = counted.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).drop("size")
-        shared = written(shared.withColumn("block", F.pmod(F.xxhash64("n"), F.col("blocks")).cast("int")), "shared")
-        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        left = shared.select("band", F.col("n").alias("a"), F.col("block").alias("p"), every.alias("q"))
-        right = shared.select("band", F.col("n").alias("b"), F.col("block").alias("q"), every.alias("p"))
-        return left.join(right, ["band", "p", "q"]).filter("a < b").select("a", "b").distinct()
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("n"), blocks).cast("int")
+        every = F.explode(F.sequence(F.lit(0), blocks - 1))
+        x = left.select("band", F.col("n").alias("x"), own.alias("p"), every.alias("q"))
+        y = right.select("band", F.col("n").alias("y"), own.alias("q"), every.alias("p"))
+        return x.join(y, ["band", "p", "q"]).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    def candidates(self) -> DataFrame:
+        """Distinct pairs of representatives (a < b) that share a bucket."""
+        shared = self.shared()
+        pairs = written(self._paired(shared, shared), "candidates")
+        discard(shared)
+        return pairs
 
     def links(self) -> DataFrame:
         """(a, b, similarity): pairs of representatives whose word sets reach the threshold."""
-        pairs = written(self.candidates(), "candidates")
-        sketch = self.signed.select("n", "sketch", (F.length("words") / 4).alias("size"))
+        return self.verified(self.candidates())
+
+    def group_links(self) -> DataFrame:
+        """(a, b, similarity): some of the links, which hold together what all of them do.
+
+        Buckets of up to BLOCK members give all pairs. Of a larger one each member is compared with the
+        first; a link between two that are both like the first adds nothing, so only the others are compared with every
+        member, in blocks.
+        """
+        shared = self.shared()
+        small, large = shared.filter(F.col("size") <= BLOCK), shared.filter(F.col("size") > BLOCK)
+        pairs = self._paired(small, small)
+        if not large.take(1):
+            return self.verified(written(pairs, "candidates"))
+        first = large.groupBy("band", "size").agg(F.min("n").alias("a"))
+        star = written(join_hot(large.drop("size"), first, ["band"], F.col("size")).filter("n <> a").select("band", "a", F.col("n").alias("b"), "size"), "star")
+        close = written(self.verified(written(pairs.unionByName(star.select("a", "b")).distinct(), "candidates")), "links")
+        others = written(star.join(close.select("a", "b"), ["a", "b"], "left_anti").select("band", F.col("b").alias("n"), "size"), "others")
+        if not others.take(1):
+            return close
+        return close.unionByName(self.verified(written(self._paired(others, large), "candidates")))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, similarity) of the written pairs (a, b) that reach the threshold. The pairs are deleted."""
+        sketch = self.signed.select("n", "sketch", (F.length("words") / 8).alias("size"))
         like = self._beside(pairs, sketch, ["sketch", "size"])
         fits = F.least("size_a", "size_b") >= F.lit(self.threshold - 0.01) * F.greatest("size_a", "size_b")
         close = written(like.filter(fits).mapInPandas(compare_sketches(self.threshold), "a long, b long"), "close")
+        discard(pairs)
         # the word sets of the few that are left
         needed = close.select(F.explode(F.array("a", "b")).alias("n")).distinct()
         sets = self.signed.select("n", "words").join(needed, "n", "left_semi")
@@ -187,19 +247,21 @@ class NearDuplicates:
             pairs = pairs.join(rows.select(F.col("n").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
         return pairs.select("a", "b", *[f"{c}_{side}" for c in columns for side in "ab"])
 
-    def pairs(self, links: DataFrame | None = None, expand: int = 64) -> DataFrame:
+    def pairs(self, links: DataFrame | None = None, expand: int | None = 64) -> DataFrame:
         """(id_a, id_b, similarity) over the records.
 
         All different texts of a class are paired with each other and with those of linked classes.
         Up to ``expand`` exact copies of one text are written out in full. The copies of a more frequent
         text are each linked to its first record only, which stands for the text in all other pairs:
-        the square of the copies is never written, and no link between different texts is lost
-        (``members`` has who belongs to a class).
+        the square of the copies is never written, and no link between different texts is lost, but
+        not all pairs of records are there. They follow from the membership (the star of a text and
+        ``members``), or come out themselves with ``expand`` = None.
         """
         links = written(self.links(), "links") if links is None else links
-        full = F.col("copies") <= expand
-        texts = self.texts.join(self.classes.select("class", "rep"), "class").select("class", "exact", "rep", "first", "copies")
-        rows = written(self.signed.select("id", "class", "exact").join(texts, ["class", "exact"]).select("id", "rep", "first", full.alias("full")), "rows")
+        full = F.lit(True) if expand is None else F.col("copies") <= expand
+        of_class = self.classes.select("class", "rep", F.col("texts").alias("size"))
+        texts = join_hot(self.texts, of_class, ["class"], F.col("size")).select("class", "exact", "rep", "first", "copies")
+        rows = written(join_hot(self.signed.select("id", "class", "exact"), texts, ["class", "exact"], F.col("copies")).select("id", "rep", "first", full.alias("full")), "rows")
         named = rows.filter("full or id = first").select("rep", "id").distinct()
         star = rows.filter("not full and id <> first").select(F.col("first").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("similarity"))
         every = self._crossed(links, named).unionByName(star)
@@ -224,23 +286,14 @@ class NearDuplicates:
         return wanted.select("a", "b", "similarity", "p", "q").join(left, ["a", "p"]).join(right, ["b", "q"]).filter("a <> b or p < q or x < y").select("x", "y", "similarity")
 
     def groups(self, links: DataFrame | None = None) -> DataFrame:
-        """(id, groep, links) of every record that has a near-duplicate or a copy.
-
-        ``groep`` is the smallest id of its group and ``links`` the number of other texts (exact copies
-        counted once) that its own text is linked to.
-        """
-        links = written(self.links(), "links") if links is None else links
-        members = self.members()
-        texts = self.classes.select("rep", "texts")
-        ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        linked = ends.join(texts.select(F.col("rep").alias("b"), "texts"), "b").select(F.col("a").alias("rep"), "texts")
-        own = texts.select("rep", (F.col("texts") - 1).alias("texts"))
-        degree = linked.unionByName(own).groupBy("rep").agg(F.sum("texts").alias("links"))
+        """(id, groep) of every record that has a near-duplicate or a copy; ``groep`` is the smallest id of its group."""
+        links = written(self.group_links(), "links") if links is None else links
         component = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        joined = members.join(component.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-        inside = joined.filter("copies > 1 or component is not null").withColumn("g", F.coalesce("component", "rep"))
-        names = inside.groupBy("g").agg(F.min("id").alias("groep"))
-        return inside.join(names, "g").select("id", "groep", F.coalesce("links", F.lit(0)).alias("links"))
+        inside = self.classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").filter("copies > 1 or component is not null").withColumn("g", F.coalesce("component", "rep"))
+        # one row for each class; a group of very many classes is one of few
+        names = inside.groupBy("g").agg(F.min("first").alias("groep"), F.count(F.lit(1)).alias("classes"))
+        named = written(join_hot(inside.select("class", "g", "copies"), names, ["g"], F.col("classes")).select("class", "copies", "groep"), "named")
+        return join_hot(self.signed.select("id", "class"), named, ["class"], F.col("copies")).select("id", "groep").distinct()
 
 
 def compare_sketches(threshold: float):
@@ -266,7 +319,7 @@ def compare_sets(threshold: float):
         for pdf in batches:
             out = []
             for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["words_a"], pdf["words_b"]):
-                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 total = len(x) + len(y) - shared
                 if shared >= threshold * total - 1e-9:

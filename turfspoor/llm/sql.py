@@ -15,6 +15,17 @@ TERMS = f"""
     tfs AS (SELECT id, term, count(*) AS tf FROM tokens GROUP BY id, term),
     dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term)"""
 
+PAIRS = """
+    texts AS (SELECT id, list_distinct(list_transform(regexp_extract_all(tekst, '[\\p{L}\\p{N}]+'), lambda w: lower(w))) AS words FROM stuk),
+    big AS (SELECT id, words, len(words) AS n FROM texts WHERE len(words) >= 30),
+    long AS (SELECT id, n, unnest(words) AS w FROM big),
+    df AS (SELECT w, count(*) AS df FROM long GROUP BY w),
+    placed AS (SELECT id, n, w, row_number() OVER (PARTITION BY id ORDER BY df, w) AS nr FROM long JOIN df USING (w)),
+    prefix AS (SELECT id, n, w FROM placed WHERE nr <= n - ceil(0.8 * n) + 1),
+    pairs AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM prefix a JOIN prefix b ON a.w = b.w AND a.id < b.id AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n)),
+    found AS (SELECT id_a, id_b FROM pairs JOIN big a ON a.id = id_a JOIN big b ON b.id = id_b
+WHERE len(list_intersect(a.words, b.words)) >= 0.8 * (a.n + b.n - len(list_intersect(a.words, b.words))) - 1e-9)"""
+
 SQL = {
     "p3_found": f"""
 WITH {TERMS}
@@ -22,16 +33,12 @@ SELECT id, term FROM tfs JOIN dfs USING (term) WHERE tf >= 3 AND df BETWEEN 2 AN
     "p3_weights": f"""
 WITH {TERMS}
 SELECT id, term, tf::INTEGER AS tf, df, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / (total / n))), 6) AS weight FROM tfs JOIN dfs USING (term) JOIN lengths USING (id), stats""",
-    "p1_found": """
-WITH texts AS (SELECT id, list_distinct(list_transform(regexp_extract_all(tekst, '[\\p{L}\\p{N}]+'), lambda w: lower(w))) AS words FROM stuk),
-    big AS (SELECT id, words, len(words) AS n FROM texts WHERE len(words) >= 30),
-    long AS (SELECT id, n, unnest(words) AS w FROM big),
-    df AS (SELECT w, count(*) AS df FROM long GROUP BY w),
-    placed AS (SELECT id, n, w, row_number() OVER (PARTITION BY id ORDER BY df, w) AS nr FROM long JOIN df USING (w)),
-    prefix AS (SELECT id, n, w FROM placed WHERE nr <= n - ceil(0.8 * n) + 1),
-    pairs AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM prefix a JOIN prefix b ON a.w = b.w AND a.id < b.id AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n))
-SELECT id_a, id_b FROM pairs JOIN big a ON a.id = id_a JOIN big b ON b.id = id_b
-WHERE len(list_intersect(a.words, b.words)) >= 0.8 * (a.n + b.n - len(list_intersect(a.words, b.words))) - 1e-9""",
+    "p1_found": f"WITH {PAIRS} SELECT id_a, id_b FROM found",
+    "p1_groups": f"""
+WITH RECURSIVE {PAIRS},
+    ends AS (SELECT id_a AS x, id_b AS y FROM found UNION SELECT id_b, id_a FROM found),
+    reach AS (SELECT x, x AS y FROM ends UNION SELECT r.x, e.y FROM reach r JOIN ends e ON e.x = r.y)
+SELECT x AS id, min(y) AS groep FROM reach GROUP BY x""",
     "p6_found": f"""
 WITH v AS (SELECT id, list_transform(min(vec), lambda x: x::DOUBLE) AS v FROM vector WHERE id IS NOT NULL AND {GOOD} GROUP BY id),
     sims AS (SELECT a.id AS x, b.id AS y, round(list_cosine_similarity(a.v, b.v), 12) AS s FROM v a JOIN v b ON a.id <> b.id),

@@ -1,4 +1,8 @@
+import re
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from turfspoor.llm import markup as M
 
@@ -89,3 +93,32 @@ def test_tables(spark):
 
 def test_cheap_signs_let_through_a_deep_quote_and_mixed_case():
     assert kinds("tekst\n\n   > citaat") == {"markdown"} and kinds("een <Ref name=a/> b") == {"wiki"}
+
+
+LINES = st.sampled_from(["Beste collega,", "kort regel een.", "", "", "Een lange alinea over de verhuizing van de kast naar de kelder, met alles wat erbij hoort.", "3 * 4 dozen", "C:\\item\\x en C:\\beheer", "prijs 5 < 6", "  ingesprongen", "Groet"])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(LINES, max_size=14))
+def test_a_text_without_markup_loses_nothing(lines):
+    text = "\n".join(lines)
+    if not M.constructs(text):
+        assert re.sub(r"\s", "", M.clean(text, body_only=True)) == re.sub(r"\s", "", text)
+
+
+def test_structure_before_a_body_is_kept():
+    long = "Deze regel hoort bij de tekst van de pagina zelf en is lang genoeg om er een te zijn."
+    for head in ("# Titel", "- een\n- twee", "```\nmake install\n```", "| a | b |\n|---|---|\n| 1 | 2 |", "$$x_1 = 2$$"):
+        out = M.clean(f"{head}\n\nkort\n\n{long}", body_only=True)
+        assert all(w in out for w in re.findall(r"\w+", head)) and "kort" in out and long in out
+    path = "\\section{Kop} zie C:\\item\\x en C:\\section{a}"
+    assert "C:\\item\\x" in M.clean(path)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["Start", "Nieuws", "Contact"]), min_size=1, max_size=3), st.integers(1, 4))
+def test_menus_before_and_behind_a_body_go(menu, count):
+    body = "Deze regel hoort bij de tekst van de pagina zelf en is lang genoeg om er een te zijn."
+    bar = "<nav>" + " ".join(f"<a href='/{m}'>{m}</a>" for m in menu) + "</nav>"
+    page = f"<html><body>{bar}<div>" + "".join(f"<p>{body}</p>" for _ in range(count)) + f"</div>{bar}</body></html>"
+    assert M.clean(page, body_only=True) == "\n\n".join([body] * count)

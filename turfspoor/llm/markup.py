@@ -249,9 +249,9 @@ def _strip_latex(text: str, hold) -> str:
     for _, pattern in STRONG["latex"][3:]:
         text = pattern.sub(lambda m: hold(m.group()), text)
     text = re.sub(r"(?m)(?<!\\)%[^\n]*$", "", text)
-    text = re.sub(r"\\((?:sub)*)(?:section|paragraph)\*?\{([^{}\n]*)\}", lambda m: f"\n{'#' * (1 + len(m[1]) // 3)} {m[2]}\n", text)
+    text = re.sub(r"(?<![\w:\\])\\((?:sub)*)(?:section|paragraph)\*?\{([^{}\n]*)\}", lambda m: f"\n{'#' * (1 + len(m[1]) // 3)} {m[2]}\n", text)
     text = re.sub(r"\\chapter\*?\{([^{}\n]*)\}", r"\n# \1\n", text)
-    text = re.sub(r"\\item(?:\[([^\]\n]*)\])?[ \t]*", lambda m: "- " + (m[1] + " " if m[1] else ""), text)
+    text = re.sub(r"(?<![\w:\\])\\item(?![A-Za-z\\])(?:\[([^\]\n]*)\])?[ \t]*", lambda m: "- " + (m[1] + " " if m[1] else ""), text)
     text = re.sub(r"\\(?:begin|end)\{[^{}\n]*\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?", "", text)
     text = re.sub(r"\\(?:label|cite[pt]?|ref|eqref|pageref|index|vspace|hspace|documentclass|usepackage)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}", "", text)
     text = re.sub(r"\\href\{[^{}\n]*\}\{([^{}\n]*)\}", r"\1", text)

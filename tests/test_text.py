@@ -139,11 +139,24 @@ def test_readable_json():
     assert arrow.readable(value) == "a: 1\nb: ja\nl: x, 2\no:\n  k: v\nm:\n  - p: 1\n  - p: 2"
 
 
-def test_names():
-    assert arrow.names_in("Wat kost het contract van Bakkerij Vermeulen bij de KVK? Groet Jan") == [["bakkerij", "vermeulen"], ["kvk"], ["jan"]]
-    assert arrow.names_in("Noordwind-contract voor TK-1") == [["tk", "1"]]
-    assert arrow.names_in("het Noordwind-contract") == [["noordwind"]]
-    assert arrow.names_in(None) == [] and arrow.names_in("geen namen hier") == []
+def test_names(spark):
+    cases = {
+        "Wat kost het contract van Bakkerij Vermeulen bij de KVK? Groet Jan": [["bakkerij", "vermeulen"], ["kvk"], ["jan"]],
+        "Noordwind-contract voor TK-1": [["tk", "1"]], "het Noordwind-contract": [["noordwind"]], None: [], "geen namen hier": [],
+        "Jan belde. Piet ook; KVK: met Jan, Jan de Vries": [["kvk"], ["jan"], ["vries"]], "is X een T2A of Çelik\u00a0Østerbæk-2?": [["t2a"], ["çelik", "østerbæk", "2"]],
+        "zie d'Arcy O'Neil  AB CD": [["o", "neil", "ab", "cd"]], "...Wie kent Wie? WAT Jan": [["jan"]], "": [], "de K": [],
+    }
+    df = spark.createDataFrame([(n, q) for n, q in enumerate(cases)], "n int, q string")
+    got = {r.q: r.x for r in df.select("q", T.names(F.col("q")).alias("x")).collect()}
+    assert got == cases
+
+
+def test_white_space_of_any_kind_hides_nothing(spark):
+    for gap in ("", " ", "\t", "\u00a0", "\u2009", "\u3000", "\x1c", "\x85"):
+        text = f"x wachtwoord{gap}:{gap}geheim123 en Pincode{gap}={gap}77{gap}88"
+        head = f"---{gap}\nx: y\n{gap}index{gap}:{gap}NEE{gap}\ntitel:{gap}Naam{gap}\n---{gap}\nbody"
+        row = spark.createDataFrame([(text, head, f"{gap}Ja{gap}")], "t string, h string, v string").select(T.mask_named_values(F.col("t")).alias("t"), T.opted_out(F.col("h")).alias("o"), T.is_true(F.col("v")).alias("v"), T.front_value(F.col("h"), "titel").alias("n"), T.front_body(F.col("h")).alias("b")).first()
+        assert row.t == (f"x wachtwoord{gap}:{gap}[verborgen] en Pincode{gap}={gap}[verborgen]" + (f"{gap}88" if gap else "")) and row.o and row.v and row.n == "Naam" and row.b == "body", repr(gap)
 
 
 def test_snippets():

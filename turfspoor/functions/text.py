@@ -21,12 +21,14 @@ HIDDEN = "[verborgen]"
 REFERENCE = r"\b[A-Z]{2,10}-\d{1,6}\b"
 #: The masking passes, in their order: key blocks, values of named keys, known token forms, long mixed runs, dashed groups.
 KEY_BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
-NAMED_VALUE = r"""(?i)\b(wachtwoord|password|passwd|pwd|pincode|secret|geheim|token|api[_\- ]?key|apikey|client[_\- ]?secret|access[_\- ]?key)(\s*[*_`]*\s*[:=]\s*[*_`"']*)([^\s*_`"']+)"""
-KNOWN_TOKEN = r"\b(gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|sk-[A-Za-z0-9_\-]{20,}|xox[abpr]-[A-Za-z0-9\-]{10,}|AKIA[0-9A-Z]{16})\b"
+NAMED_VALUE = r"""(?iU)\b(wachtwoord|password|passwd|pwd|pincode|secret|geheim|token|api[_\- ]?key|apikey|client[_\- ]?secret|access[_\- ]?key)([\s\x1c-\x1f]*[*_`]*[\s\x1c-\x1f]*[:=][\s\x1c-\x1f]*[*_`"']*)([^\s\x1c-\x1f*_`"']+)"""
+KNOWN_TOKEN = r"(?U)\b(gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|sk-[A-Za-z0-9_\-]{20,}|xox[abpr]-[A-Za-z0-9\-]{10,}|AKIA[0-9A-Z]{16})\b"
 LONG_RUN = r"[A-Za-z0-9+/_\-]{32,}={0,2}"
 DASHED_RUN = r"\b(?:[A-Za-z0-9]{4,}-){3,}[A-Za-z0-9]{4,}\b"
 # ---------------------------------------------------------------------------------------------------
 
+#: White space of Unicode and the separators of ASCII, in a pattern that begins with ``(?U)``.
+SPACE = r"[\s\x1c-\x1f]"
 MIXED = r"(?=[A-Za-z0-9+/_\-]*[0-9])(?=[A-Za-z0-9+/_\-]*[a-z])(?=[A-Za-z0-9+/_\-]*[A-Z])"
 
 
@@ -71,13 +73,49 @@ def coarse_stems(words: Column) -> Column:
     return F.transform(words, lambda w: F.struct(F.when(F.length(w) >= 7, F.substr(w, F.lit(1), F.length(w) - 3)).otherwise(w).alias("token"), (F.length(w) >= 7).alias("prefix")))
 
 
+#: Ends of a word of a name and of a name, while the names of a question are one string.
+_JOIN, _END = "\u0001", "\u0002"
+
+
+def names(question: Column) -> Column:
+    """The proper names and abbreviations of a question, each as its lower-cased words, without repeats.
+
+    A name is a word in capitals, or one with an initial capital that does not begin a sentence;
+    names side by side are one. Of a hyphenated word only the parts with a capital or of digits count.
+    Each sentence is cut into words with what stands behind them; a word that is no name becomes an
+    end, one that is becomes its parts, and what lies between two ends is a name.
+    """
+    word = r"(?U)(\w+(?:[-'’]\w+)*)"
+
+    def mark(piece: Column, nth: Column) -> Column:
+        token, gap = F.regexp_extract(piece, word, 1), F.regexp_replace(piece, r"(?U)\A\w+(?:[-'’]\w+)*", "")
+        letters = F.regexp_replace(token, r"\P{L}", "")
+        capitals = (F.length(letters) > 1) & (F.upper(letters) == letters) & (F.lower(letters) != letters)
+        is_name = (F.length(token) > 1) & ~F.lower(token).isin([*STOP_WORDS, *QUESTION_WORDS]) & (capitals | (token.rlike(r"^\p{Lu}") & (nth > 0)))
+        parts = F.filter(F.split(token, "[-'’]"), lambda p: p.rlike(r"^\p{Lu}|^\p{Nd}+$"))
+        return F.when(is_name, F.concat(F.lower(F.array_join(parts, _JOIN)), F.when(gap.rlike(rf"(?U)\A{SPACE}+\z"), F.lit(_JOIN)).otherwise(F.lit(_END)))).otherwise(F.lit(_END))
+
+    def of_sentence(sentence: Column) -> Column:
+        pieces = F.regexp_extract_all(sentence, F.lit(r"(?U)(\w+(?:[-'’]\w+)*\W*)"), F.lit(1))
+        return F.split(F.array_join(F.transform(pieces, mark), ""), _END)
+
+    runs = F.flatten(F.transform(F.split(blank(question), "[.!?:;]"), of_sentence))
+    found = F.transform(runs, lambda run: F.filter(F.split(run, _JOIN), lambda w: w != ""))
+    return F.array_distinct(F.filter(found, lambda n: F.size(n) > 0))
+
+
 def blank(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def stripped(text: Column) -> Column:
+    """Without the white space around it, of whatever kind."""
+    return F.regexp_replace(text, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+
+
 def is_true(value: Column) -> Column:
     """Truth of a free value: null is false, else one of the words for yes, in any case."""
-    return F.coalesce(F.lower(F.trim(value.cast("string"))).isin(*TRUE_WORDS), F.lit(False))
+    return F.coalesce(F.lower(stripped(value.cast("string"))).isin(*TRUE_WORDS), F.lit(False))
 
 
 def glob_regex(pattern: str) -> str:
@@ -133,7 +171,7 @@ def mask_long_runs(text: Column) -> Column:
 
     The look-aheads span the characters of the run itself, so they test the run and nothing beyond.
     """
-    return F.regexp_replace(text, r"\b" + MIXED + LONG_RUN, HIDDEN)
+    return F.regexp_replace(text, r"(?U)\b" + MIXED + LONG_RUN, HIDDEN)
 
 
 def references(text: Column, own: Column | None = None, patterns: tuple[str, ...] = (REFERENCE,)) -> Column:
@@ -161,7 +199,7 @@ def fingerprint(*fields: Column) -> Column:
 
 def text_key(text: Column) -> Column:
     """Equal for texts that differ only in case, outer blanks or the length of white space."""
-    return F.sha1(F.lower(F.trim(F.regexp_replace(blank(text), r"(?U)\s+", " "))))
+    return F.sha1(F.lower(F.trim(F.regexp_replace(blank(text), rf"(?U){SPACE}+", " "))))
 
 
 def embedding_input(title: Column, section: Column, text: Column) -> Column:
@@ -178,7 +216,7 @@ def recency(date: Column, as_of: Column, horizon: int = 730) -> Column:
     return F.when(good & day.isNotNull(), F.greatest(F.lit(0.0), 1 - F.datediff(as_of, day) / F.lit(horizon))).otherwise(0.0)
 
 
-FRONT = r"\A---(?U:\s)*\n([\s\S]*?)\n---(?U:\s)*(\n|\z)"
+FRONT = rf"(?U)\A---{SPACE}*\n([\s\S]*?)\n---{SPACE}*(\n|\z)"
 
 
 def front_block(text: Column) -> Column:
@@ -193,7 +231,7 @@ def front_value(text: Column, name: str) -> Column:
     the value go, double ones first.
     """
     raw = F.regexp_extract(front_block(text), rf"(?is)\A(?:.*\n)?{name}[ \t]*:([^\n]*)", 1)
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"(?U)\A\s+|\s+\z", ""), r'^"+|"+$', ""), "^'+|'+$", "")
+    return F.regexp_replace(F.regexp_replace(stripped(raw), r'^"+|"+$', ""), "^'+|'+$", "")
 
 
 def front_body(text: Column) -> Column:
@@ -207,7 +245,7 @@ def first_field(text: Column, *names: str) -> Column:
 
 def opted_out(text: Column, keys: tuple[str, ...] = ("index",)) -> Column:
     """Whether the front block has a line like ``index: nee``."""
-    return front_block(text).rlike(rf"(?im)^\s*({'|'.join(keys)})\s*:\s*(nee|no|false|uit|off)\s*$")
+    return front_block(text).rlike(rf"(?imdU)^{SPACE}*({'|'.join(keys)}){SPACE}*:{SPACE}*(nee|no|false|uit|off){SPACE}*$")
 
 
 def packed_paragraphs(text: Column, limit: int = 1800) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turfspoor.config import Settings
-from turfspoor.functions.arrow import names, snippets
-from turfspoor.functions.text import coarse_stems, content_words, fold
+from turfspoor.functions.arrow import snippets
+from turfspoor.functions.text import coarse_stems, content_words, fold, names
 from turfspoor.operators import fusion, grammar, lexical, semantic
 from turfspoor.session import written
 

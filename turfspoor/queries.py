@@ -87,7 +87,7 @@ def _with_secret(spark, folder, secret):
 
 
 def mask_named_values(spark, folder):
-    rows = _with_secret(spark, folder, F.concat(F.lit("**Wachtwoord:** `"), F.substring(F.sha1("id"), 1, 10), F.lit("` en api_key = "), F.col("id")))
+    rows = _with_secret(spark, folder, F.concat(F.lit("**Wachtwoord:** `"), F.substring(F.sha1("id"), 1, 10), F.lit("` en api_key = "), F.col("id"), F.lit(" Pincode\u00a0:\u2009"), F.col("id"), F.lit("\u3000x\tgeheim\t=\u00a0"), F.col("id")))
     return rows.select("id", T.mask_named_values(F.col("t")).alias("tekst"))
 
 
@@ -163,7 +163,7 @@ def front_matter_whole(spark, folder):
 def opt_out_documents(spark, folder):
     d = table(spark, folder, "documents")
     said = F.when(F.lower(F.coalesce("lang", F.lit(""))) == "nl", "nee").otherwise("ja")
-    t = F.concat(F.lit("---\nx: y\n index : "), said, F.lit("\n---\n"), F.coalesce("text", F.lit("")))
+    t = F.concat(F.lit("---\nx: y\n\u00a0Index\t:\u2009"), said, F.lit("\u00a0\n---\n"), F.coalesce("text", F.lit("")))
     return d.filter(~T.opted_out(t)).select("doc_id")
 
 
@@ -206,11 +206,11 @@ def overview_chunk(spark, folder):
 def name_questions(spark, folder):
     """A question about each name of the list; the questions of ``vraag`` hold none."""
     n = table(spark, folder, "naamlijst").filter("naam is not null").select("naam").distinct()
-    return n.select(F.crc32("naam").alias("question_id"), F.concat(F.lit("Wie kent "), "naam", F.lit(" en het KVK-nummer?")).alias("question"))
+    return n.select(F.conv(F.substring(F.md5("naam"), 1, 8), 16, 10).cast("long").alias("question_id"), F.concat(F.lit("Wie kent "), "naam", F.lit(" en het KVK-nummer?")).alias("question"))
 
 
 def names_in_questions(spark, folder):
-    return name_questions(spark, folder).select("question_id", F.posexplode(arrow.names(F.col("question"))).alias("nth", "words")).select("question_id", "nth", F.array_join("words", " ").alias("name"))
+    return name_questions(spark, folder).select("question_id", F.posexplode(T.names(F.col("question"))).alias("nth", "words")).select("question_id", "nth", F.array_join("words", " ").alias("name"))
 
 
 def dutch_stem_counts(spark, folder):
@@ -281,7 +281,7 @@ def word_cascade(spark, folder):
 
 
 def name_lists(spark, folder):
-    w = lexical.name_lists(stored_index(spark, folder), name_questions(spark, folder), arrow.names(F.col("question")))
+    w = lexical.name_lists(stored_index(spark, folder), name_questions(spark, folder), T.names(F.col("question")))
     return w.select("question_id", "list_no", "chunk_id", "rank")
 
 
@@ -351,7 +351,7 @@ def sibling_chunks(spark, folder):
     """Siblings of every document that the words of a question hit first."""
     index, q = stored_index(spark, folder), questions_of(spark, folder).drop("vec")
     top = written(lexical.word_list(index, q).filter("rank <= 8").join(chunks_of(spark, folder).select("ord", "source", "path"), "ord").select("question_id", "ord", "source", "path"), "top")
-    out = fusion.siblings(index, top, q, arrow.names(F.col("question")))
+    out = fusion.siblings(index, top, q, T.names(F.col("question")))
     return out.select("question_id", "source", "path", F.explode("siblings").alias("ord")).select("question_id", "source", "path", F.lower(F.lpad(F.hex("ord"), 12, "0")).alias("chunk_id"))
 
 

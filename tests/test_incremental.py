@@ -1,8 +1,11 @@
 import datetime as dt
+import json
+import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from turfspoor.operators import incremental as inc
 
@@ -58,10 +61,22 @@ def test_the_latest_look_counts_and_late_rows_belong_to_their_run(spark):
     assert changed(spark, [], [1, 2]) == [] and changed(spark, rows, []) == [] and changed(spark, rows, [1]) == []
 
 
+def test_intervals_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(inc, "LEVELS", (4, 16))
+    rng = random.Random(4)
+    for _ in range(3):
+        spans = [(a, a + rng.randint(0, 30)) for a in (rng.randint(-200, 200) for _ in range(12))]
+        covered = {x for a, b in spans for x in range(a, b + 1)}
+        merged = pairs(inc.merge_intervals(spark.createDataFrame(spans, inc.INTERVALS)))
+        assert {x for a, b in merged for x in range(a, b + 1)} == covered and all(b + 1 < c for (_, b), (c, _) in zip(merged, merged[1:]))
+        numbers = spark.createDataFrame([(n,) for n in range(-250, 260, 3)], "r long")
+        assert pairs(inc.gaps(numbers, "r", spark.createDataFrame(merged, inc.INTERVALS))) == [(n,) for n in range(-250, 260, 3) if n not in covered]
+
+
 def test_ledger_repeats_nothing_and_skips_nothing(spark, tmp_path):
     ledger = inc.IntervalLedger(spark, f"file://{tmp_path}/ledger")
     numbers = lambda *n: spark.createDataFrame([(x,) for x in n], "r long")
-    assert ledger.run(numbers(1, 2, 5), "r", lambda todo: todo) == 3
+    assert ledger.output("r") is None and ledger.run(numbers(1, 2, 5), "r", lambda todo: todo) == 3
     assert ledger.run(numbers(1, 2, 5), "r", lambda todo: todo) == 0
 
     def dies(todo):
@@ -72,7 +87,35 @@ def test_ledger_repeats_nothing_and_skips_nothing(spark, tmp_path):
     # 3 comes in late, below what is processed
     assert ledger.run(numbers(1, 2, 3, 5, 6), "r", lambda todo: todo) == 2
     assert [list(x) for x in ledger.state()["intervals"]] == [[1, 3], [5, 6]]
-    assert pairs(ledger.output()) == [(1,), (2,), (3,), (5,), (6,)]
-    stale = ledger.state() | {"number": 1}
+    assert pairs(ledger.output("r")) == [(1,), (2,), (3,), (5,), (6,)]
+
+    def overtaken(todo):  # another writer commits while this one works
+        assert ledger.run(numbers(7), "r", lambda x: x) == 1
+        return todo
+
     with pytest.raises(RuntimeError):
-        ledger._publish(stale)
+        ledger.run(numbers(7), "r", overtaken)
+    assert pairs(ledger.output("r")) == [(1,), (2,), (3,), (5,), (6,), (7,)]
+
+
+def test_of_two_writers_that_began_alike_one_counts(spark, tmp_path):
+    ledger = inc.IntervalLedger(spark, f"file://{tmp_path}/ledger")
+    numbers = lambda *n: spark.createDataFrame([(x,) for x in n], "r long")
+    ledger.begin(numbers(0).selectExpr("r AS first", "r AS last"))
+    assert ledger.run(numbers(0, 1), "r", lambda todo: todo) == 1 and ledger.tokens()
+    first = ledger.state()
+    (tmp_path / "ledger" / "commits" / "9.json").write_text(json.dumps(first | {"number": 9, "after": 1, "token": None, "intervals": [[0, 0]]}))
+    assert ledger.tokens() == [] and ledger.run(numbers(0, 1), "r", lambda todo: todo) == 1 and pairs(ledger.output("r")) == [(1,)]
+
+
+def test_a_number_whose_rows_changed_is_done_again(spark, tmp_path):
+    ledger = inc.IntervalLedger(spark, f"file://{tmp_path}/ledger")
+    rows = lambda *x: spark.createDataFrame(list(x), "r long, v string")
+
+    def batch(df):
+        prints = df.groupBy(F.col("r").alias("number")).agg(F.count(F.lit(1)).cast("string").alias("print"))
+        return ledger.run(df, "r", lambda todo: df.join(todo, "r", "left_semi"), prints)
+
+    assert batch(rows((1, "a"), (2, "b"))) == 2 and batch(rows((1, "a"), (2, "b"))) == 0
+    assert batch(rows((1, "a"), (1, "late"), (2, "b"), (3, "c"))) == 2
+    assert pairs(ledger.output("r")) == [(1, "a"), (1, "late"), (2, "b"), (3, "c")]

@@ -3,9 +3,13 @@
 A source numbers its commits (here: refresh runs). What a consumer has processed is a set of
 disjoint closed intervals of those numbers, never just a high-water mark: a commit that turns up
 late below the mark leaves a gap, and a gap is work to do. ``gaps`` subtracts the processed
-intervals from the available numbers, the caller processes exactly these, and ``commit`` publishes
+intervals from the available numbers, the caller processes exactly these, and the ledger publishes
 the output together with the merged intervals by one rename. A run that dies before the rename
-leaves nothing behind that a reader would see, so the next run repeats the same gaps.
+leaves nothing behind that a reader would see, so the next run repeats the same gaps. Where rows
+may be added to a commit after it was processed, a print of each number tells, and it is done again.
+
+No step sorts all numbers in one task: they are cut into blocks of the number line, and only the
+intervals that touch the border of a block, two for each block at most, go on to larger blocks.
 """
 
 from __future__ import annotations
@@ -19,6 +23,23 @@ from pyspark.sql import functions as F
 from turfspoor.session import _hadoop_path
 
 INTERVALS = "first long, last long"
+#: Lengths of the blocks of the number line, from the first level on.
+LEVELS = (1 << 16, 1 << 28)
+
+
+def _pieces(intervals: DataFrame, size: int) -> DataFrame:
+    """The intervals cut at the borders of blocks: (block, first, last)."""
+    block = lambda c: f"({c} - pmod({c}, {size}L)) div {size}L"
+    cut = intervals.withColumn("block", F.explode(F.sequence(F.expr(block("first")), F.expr(block("last")))))
+    return cut.select("block", F.greatest("first", F.col("block") * size).alias("first"), F.least("last", F.col("block") * size + (size - 1)).alias("last"))
+
+
+def _islands(rows: DataFrame, within: list[str]) -> DataFrame:
+    """Overlapping or adjoining intervals of each group as one."""
+    order = Window.partitionBy(*within).orderBy("first", "last")
+    opened = rows.withColumn("reach", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("opens", (F.col("reach").isNull() | (F.col("first") > F.col("reach") + 1)).cast("int"))
+    grouped = opened.withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return grouped.groupBy(*within, "island").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("island")
 
 
 def merge_intervals(intervals: DataFrame) -> DataFrame:
@@ -26,25 +47,35 @@ def merge_intervals(intervals: DataFrame) -> DataFrame:
 
     Rows with a null end or ``first > last`` are void and dropped; an empty table gives an empty one.
     """
-    valid = intervals.select(F.col("first").cast("long"), F.col("last").cast("long")).filter("first <= last").distinct()
-    before = Window.orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
-    opened = valid.withColumn("reach", F.max("last").over(before)).withColumn("opens", (F.col("reach").isNull() | (F.col("first") > F.col("reach") + 1)).cast("int"))
-    grouped = opened.withColumn("island", F.sum("opens").over(Window.orderBy("first", "last")))
-    return grouped.groupBy("island").agg(F.min("first").alias("first"), F.max("last").alias("last")).select("first", "last")
+    left = intervals.select(F.col("first").cast("long"), F.col("last").cast("long")).filter("first <= last")
+    done = None
+    for size in LEVELS:
+        merged = _islands(_pieces(left, size), ["block"])
+        inside = (F.col("first") > F.col("block") * size) & (F.col("last") < F.col("block") * size + (size - 1))
+        ready = merged.filter(inside).select("first", "last")
+        done = ready if done is None else done.unionByName(ready)
+        left = merged.filter(~inside).select("first", "last")
+    # two rows at most for each of the largest blocks
+    return done.unionByName(_islands(left.withColumn("all", F.lit(0)), ["all"]).select("first", "last"))
 
 
 def as_intervals(numbers: DataFrame, column: str) -> DataFrame:
     """Turn single numbers into the fewest disjoint intervals; nulls are ignored."""
     n = F.col(column).cast("long")
-    return merge_intervals(numbers.select(n.alias("first"), n.alias("last")))
+    return merge_intervals(numbers.select(n.alias("first"), n.alias("last")).distinct())
 
 
 def gaps(numbers: DataFrame, column: str, processed: DataFrame) -> DataFrame:
-    """The available numbers that lie in no processed interval, as one column ``column``."""
-    done = processed.select(F.col("first").alias("_first"), F.col("last").alias("_last"))
-    available = numbers.select(F.col(column).cast("long").alias(column)).filter(F.col(column).isNotNull()).distinct()
-    inside = (F.col(column) >= F.col("_first")) & (F.col(column) <= F.col("_last"))
-    return available.join(done, inside, "left_anti")
+    """The available numbers that lie in no processed interval, as one column ``column``.
+
+    In each block of the number line the numbers and the intervals are passed once in their order, with the farthest end so far.
+    """
+    n = F.col(column).cast("long")
+    available = numbers.select(n.alias("first"), n.alias("last")).filter("first is not null").distinct()
+    both = _pieces(processed.filter("first <= last").select("first", "last"), LEVELS[0]).withColumn("asked", F.lit(1)).unionByName(_pieces(available, LEVELS[0]).withColumn("asked", F.lit(2)))
+    order = Window.partitionBy("block").orderBy("first", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    reached = both.withColumn("reach", F.max(F.when(F.col("asked") == 1, F.col("last"))).over(order))
+    return reached.filter("asked = 2 and (reach is null or reach < first)").select(F.col("first").alias(column))
 
 
 def latest_per_commit(rows: DataFrame, key: list[str], seq: str, seen: str, values: list[str]) -> DataFrame:
@@ -94,58 +125,101 @@ def first_commit(commits: DataFrame, seq: str) -> DataFrame:
 class IntervalLedger:
     """Output and processed intervals of one consumer, published together.
 
-    ``folder/data/<token>`` holds the output of one batch and ``folder/commits/<n>.json`` says which
-    tokens and which intervals are valid as of commit ``n``. The JSON file is written under another
-    name and renamed, and a rename never replaces a file: of two writers one fails and repeats.
+    ``data/<token>`` holds the output of one batch, ``prints/<token>`` its numbers with their prints,
+    ``commits/<n>.json`` the token of the batch, the intervals valid since and the commit it came
+    ``after``. A writer claims its number by a file that only one can create, so its rename replaces
+    nothing. What holds is the last commit and those it came after: of two writers that began from
+    the same commit the later number counts and the other's output is seen by nobody.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._path = lambda p: _hadoop_path(spark, p)
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._path = lambda p: _hadoop_path(spark, f"{self.folder}/{p}")
+        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _read(self, path: str) -> str:
-        return "".join(r.value for r in self.spark.read.text(path, wholetext=True).collect())
+    def _numbers(self, below: str, ending: str = "") -> list[int]:
+        at = self._path(below)
+        names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return [int(n.removesuffix(ending)) for n in names if n.endswith(ending) and n.removesuffix(ending).isdigit()]
+
+    def _read(self, below: str) -> list[str]:
+        return [r.value for r in self.spark.read.text(f"{self.folder}/{below}", wholetext=True).collect()]
 
     def state(self) -> dict:
-        """The last commit: its number, the tokens of the valid outputs and the intervals."""
-        commits = self._path(f"{self.folder}/commits")
-        names = [s.getPath().getName() for s in self._fs.listStatus(commits)] if self._fs.exists(commits) else []
-        last = max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=None)
-        if last is None:
-            return {"number": 0, "tokens": [], "intervals": []}
-        return json.loads(self._read(f"{self.folder}/commits/{last}.json"))
+        """The last commit: its number, the one it came after, its token and the intervals."""
+        last = max(self._numbers("commits", ".json"), default=None)
+        return {"number": 0, "after": None, "token": None, "intervals": []} if last is None else json.loads(self._read(f"commits/{last}.json")[0])
+
+    def tokens(self) -> list[str]:
+        """The tokens of the valid batches, the first one first."""
+        found = {c["number"]: c for c in map(json.loads, self._read("commits/*.json"))} if self._numbers("commits", ".json") else {}
+        out, at = [], max(found, default=0)
+        while at:
+            out += [found[at]["token"]] if found[at]["token"] else []
+            at = found[at]["after"]
+        return out[::-1]
 
     def processed(self) -> DataFrame:
         return self.spark.createDataFrame([tuple(x) for x in self.state()["intervals"]], INTERVALS)
 
-    def output(self) -> DataFrame | None:
-        tokens = self.state()["tokens"]
-        return self.spark.read.parquet(*[f"{self.folder}/data/{t}" for t in tokens]) if tokens else None
-
-    def run(self, numbers: DataFrame, column: str, process) -> int:
+    def _owners(self) -> DataFrame | None:
+        """(_number, _token, _print): the batch whose output counts for each number, the last that did it."""
+        tokens = self.tokens()
+        if not tokens:
+            return None
+        rows = self.spark.read.parquet(*[f"{self.folder}/prints/{t}" for t in tokens])
+        order = F.array_position(F.array(*[F.lit(t) for t in tokens]), F.col("token"))
+        last = rows.groupBy("number").agg(F.max(F.struct(order.alias("at"), "token", "print")).alias("x"))
+        return last.select(F.col("number").alias("_number"), F.col("x.token").alias("_token"), F.col("x.print").alias("_print"))
+
+    def output(self, column: str) -> DataFrame | None:
+        """The output rows; of a number that was done again those of the last time. ``column`` holds the number."""
+        owners = self._owners()
+        if owners is None:
+            return None
+        rows = self.spark.read.option("mergeSchema", True).parquet(*[f"{self.folder}/data/{t}" for t in self.tokens()])
+        marked = rows.withColumn("_token", F.regexp_extract(F.col("_metadata.file_path"), "/data/([0-9a-f]{32})/", 1)).withColumn("_number", F.col(column).cast("long"))
+        return marked.join(owners.select("_number", "_token"), ["_number", "_token"], "left_semi").drop("_number", "_token")
+
+    def begin(self, base: DataFrame) -> None:
+        """Count the intervals ``base`` as processed, without an output, where there is no commit yet."""
+        if self.state()["number"] == 0:
+            self._publish(0, None, merge_intervals(base))
+
+    def run(self, numbers: DataFrame, column: str, process, prints: DataFrame | None = None) -> int:
         """Process the gaps: ``process(todo)`` returns the output rows. Gives the count of numbers done.
 
-        The interval list has as many rows as there are holes in the numbering, not as there are
-        records, so it is read to the driver to be put into the commit file.
+        ``prints`` (number, print) has for each number a text that changes when its rows do; numbers
+        whose print is another one than when they were processed are done again. To the driver come
+        the intervals only, as many as there are holes in the numbering, to be put into the commit.
         """
-        before = self.state()
-        todo = [r[0] for r in gaps(numbers, column, self.processed()).collect()]
-        if not todo:
-            return 0
-        frame = self.spark.createDataFrame([(x,) for x in todo], f"{column} long")
+        before, owners = self.state(), self._owners()
+        todo = gaps(numbers, column, self.processed())
+        if prints is not None and owners is not None:
+            late = prints.join(owners, F.col("number") == F.col("_number")).filter(~F.col("print").eqNullSafe(F.col("_print")))
+            todo = todo.unionByName(late.select(F.col("number").cast("long").alias(column)).join(numbers.select(F.col(column).cast("long").alias(column)).distinct(), column, "left_semi")).distinct()
         token = uuid.uuid4().hex
-        process(frame).write.parquet(f"{self.folder}/data/{token}")
-        both = self.processed().unionByName(as_intervals(frame, column))
-        merged = sorted(tuple(r) for r in merge_intervals(both).collect())
-        self._publish({"number": before["number"] + 1, "tokens": [*before["tokens"], token], "intervals": merged})
-        return len(todo)
-
-    def _publish(self, state: dict) -> None:
-        aside, final = (self._path(f"{self.folder}/{x}") for x in (f"aside/{uuid.uuid4().hex}", f"commits/{state['number']}.json"))
+        marked = todo.withColumnRenamed(column, "number")
+        marked = marked.join(prints.select(F.col("number").cast("long"), "print"), "number", "left") if prints is not None else marked.withColumn("print", F.lit(None).cast("string"))
+        marked.withColumn("token", F.lit(token)).write.parquet(f"{self.folder}/prints/{token}")
+        frame = self.spark.read.schema("number long, print string, token string").parquet(f"{self.folder}/prints/{token}").select(F.col("number").alias(column))
+        count = frame.count()
+        if count:
+            process(frame).write.parquet(f"{self.folder}/data/{token}")
+            self._publish(before["number"], token, merge_intervals(self.processed().unionByName(as_intervals(frame, column))))
+        return count
+
+    def _publish(self, after: int, token: str | None, intervals: DataFrame) -> None:
+        merged = sorted(tuple(r) for r in intervals.collect())
+        number = max([*self._numbers("claims"), after]) + 1
+        if not self._fs.createNewFile(self._path(f"claims/{number}")):
+            raise RuntimeError(f"commit {number} is made by another writer")
+        if self.state()["number"] != after:
+            raise RuntimeError(f"commit {after} is no longer the last one")
+        aside, final = self._path(f"aside/{uuid.uuid4().hex}"), self._path(f"commits/{number}.json")
         self._fs.mkdirs(final.getParent())
         out = self._fs.create(aside)
-        out.write(bytearray(json.dumps(state).encode()))
+        out.write(bytearray(json.dumps({"number": number, "after": after, "token": token, "intervals": merged}).encode()))
         out.close()
-        if self._fs.exists(final) or not self._fs.rename(aside, final):
-            raise RuntimeError(f"commit {state['number']} was made by another writer")
+        if not self._fs.rename(aside, final):
+            raise RuntimeError(f"commit {number} could not be published")

@@ -5,6 +5,8 @@ Each reads its whole tables. Chunks are the rows of ``stuk``; their order is tha
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from turfspoor.functions import arrow
 from turfspoor.functions import text as T
 from turfspoor.operators import dedup, evaluate, fusion, grammar, incremental, lexical, semantic
 from turfspoor.plans import ingest, search, store
-from turfspoor.session import table, written
+from turfspoor.session import scratch, table, written
 from turfspoor.streaming.watch import quiet_sessions
 
 AS_OF = "2026-10-01"
@@ -51,19 +53,52 @@ def vectors_of(spark: SparkSession, folder: str) -> DataFrame:
     return unit.join(of_chunk, "id").select(F.conv("id", 16, 10).cast("long").alias("ord"), "source", F.expr("transform(vec, x -> x / length)").alias("vec"))
 
 
+class RunDies(RuntimeError):
+    """The end of a batch before its commit."""
+
+
+def _ledger(spark: SparkSession, folder: str) -> incremental.IntervalLedger:
+    """The ledger after three batches: one that dies, one before every third run is known, and one with all.
+
+    The first run made the base. A run that comes in late changes what its successor is compared
+    with, so the print of a run holds that of the one before: the successor is done again.
+    """
+    ledger = incremental.IntervalLedger(spark, scratch(spark, "ledger"))
+    files, every = table(spark, folder, "bronbestand"), table(spark, folder, "verversing").filter("uitkomst = 'ok'").select("ronde")
+    ledger.begin(incremental.first_commit(every, "ronde"))
+    rows = written(files.groupBy("ronde").agg(F.count(F.lit(1)).alias("n"), F.max("gezien").alias("last")), "prints")
+
+    def batch(runs, dies=False):
+        before = Window.orderBy("ronde")  # one row for each run
+        own = F.to_json(F.struct("ronde", "n", "last"))
+        prints = runs.join(rows, "ronde", "left").select(F.col("ronde").alias("number"), F.to_json(F.array(own, F.lag(own).over(before))).alias("print"))
+
+        def process(todo):
+            if dies:
+                raise RunDies
+            return incremental.changed_records(files, runs, todo, ["bron", "pad"], "ronde", "gezien", ["mtime", "grootte"], "ids")
+
+        return ledger.run(runs, "ronde", process, prints)
+
+    early = every.join(incremental.first_commit(every, "ronde").select(F.col("first").alias("ronde")), "ronde").unionByName(every.filter("ronde % 3 <> 0")).distinct()
+    with contextlib.suppress(RunDies):
+        batch(early, dies=True)
+    batch(early)
+    batch(every)
+    return ledger
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Files to process in every successful run but the first, whose result is the base."""
-    runs = table(spark, folder, "verversing").filter("uitkomst = 'ok'")
-    todo = incremental.gaps(runs, "ronde", incremental.first_commit(runs, "ronde"))
-    files = table(spark, folder, "bronbestand")
-    found = incremental.changed_records(files, runs, todo, ["bron", "pad"], "ronde", "gezien", ["mtime", "grootte"], "ids")
-    return found.selectExpr("cast(ronde AS int) AS ronde", "bron", "pad")
+    """Files to process in every successful run but the first, out of a ledger that went through a failure and late runs."""
+    out = _ledger(spark, folder).output("ronde")
+    if out is None:
+        return table(spark, folder, "bronbestand").select("ronde", "bron", "pad").limit(0)
+    return out.selectExpr("cast(ronde AS int) AS ronde", "bron", "pad")
 
 
 def p5_intervals(spark: SparkSession, folder: str) -> DataFrame:
     """The processed runs as disjoint intervals, once every successful run has been processed."""
-    runs = table(spark, folder, "verversing").filter("uitkomst = 'ok'")
-    return incremental.as_intervals(runs, "ronde")
+    return _ledger(spark, folder).processed()
 
 
 # --- sources, selection, masking ---

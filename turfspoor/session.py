@@ -59,6 +59,13 @@ def _clean() -> None:
         _delete(*_WRITTEN.pop())
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared one; what is put there goes when the driver ends."""
+    path = f"{shared_folder(spark)}/turfspoor-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str = "cut") -> DataFrame:
     """Cut the lineage: write the rows as Parquet in the shared folder and read them again.
 
@@ -66,8 +73,7 @@ def written(df: DataFrame, name: str = "cut") -> DataFrame:
     later scans still prune columns. The files go when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/turfspoor-{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -65,6 +65,17 @@ def as_intervals(numbers: DataFrame, column: str) -> DataFrame:
     return merge_intervals(numbers.select(n.alias("first"), n.alias("last")).distinct())
 
 
+def joined(intervals: list) -> list[tuple[int, int]]:
+    """The same for a list on the driver, as a commit holds it."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(tuple(x) for x in intervals):
+        if out and first <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], last))
+        else:
+            out.append((first, last))
+    return out
+
+
 def gaps(numbers: DataFrame, column: str, processed: DataFrame) -> DataFrame:
     """The available numbers that lie in no processed interval, as one column ``column``.
 
@@ -184,7 +195,7 @@ class IntervalLedger:
     def begin(self, base: DataFrame) -> None:
         """Count the intervals ``base`` as processed, without an output, where there is no commit yet."""
         if self.state()["number"] == 0:
-            self._publish(0, None, merge_intervals(base))
+            self._publish(0, None, merge_intervals(base).collect())
 
     def run(self, numbers: DataFrame, column: str, process, prints: DataFrame | None = None) -> int:
         """Process the gaps: ``process(todo)`` returns the output rows. Gives the count of numbers done.
@@ -194,7 +205,7 @@ class IntervalLedger:
         the intervals only, as many as there are holes in the numbering, to be put into the commit.
         """
         before, owners = self.state(), self._owners()
-        todo = gaps(numbers, column, self.processed())
+        todo = gaps(numbers, column, self.spark.createDataFrame([tuple(x) for x in before["intervals"]], INTERVALS))
         if prints is not None and owners is not None:
             late = prints.join(owners, F.col("number") == F.col("_number")).filter(~F.col("print").eqNullSafe(F.col("_print")))
             todo = todo.unionByName(late.select(F.col("number").cast("long").alias(column)).join(numbers.select(F.col(column).cast("long").alias(column)).distinct(), column, "left_semi")).distinct()
@@ -206,11 +217,11 @@ class IntervalLedger:
         count = frame.count()
         if count:
             process(frame).write.parquet(f"{self.folder}/data/{token}")
-            self._publish(before["number"], token, merge_intervals(self.processed().unionByName(as_intervals(frame, column))))
+            self._publish(before["number"], token, before["intervals"] + as_intervals(frame, column).collect())
         return count
 
-    def _publish(self, after: int, token: str | None, intervals: DataFrame) -> None:
-        merged = sorted(tuple(r) for r in intervals.collect())
+    def _publish(self, after: int, token: str | None, intervals: list) -> None:
+        merged = joined(intervals)
         number = max([*self._numbers("claims"), after]) + 1
         if not self._fs.createNewFile(self._path(f"claims/{number}")):
             raise RuntimeError(f"commit {number} is made by another writer")

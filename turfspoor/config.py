@@ -11,7 +11,7 @@ from pathlib import Path
 
 from turfspoor.functions.text import REFERENCE
 
-STRUCTURE = "1"
+STRUCTURE = "2"
 
 
 def as_list(value) -> list[str]:

@@ -22,14 +22,14 @@ def first_of_each_text(chunks: DataFrame, text: str = "text", order: str = "ord"
 def repair_ids(chunks: DataFrame, id_column: str = "chunk_id", order: str = "ord") -> DataFrame:
     """Give the second and later chunks of an id one that is derived from it and its place.
 
-    The place is the number of chunks before it, which is a count over the whole order: it is made
-    only for the few colliding rows, by counting the rows of the lower ranges.
+    The place is the number of chunks before it, which is a count over the whole order. Only ids and
+    order numbers are counted; the few places that matter are joined to the chunks.
     """
-    counted = chunks.groupBy(id_column).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(id_column, "_first")
-    marked = chunks.join(counted, id_column, "left").withColumn("_late", F.col("_first").isNotNull() & (F.col(order) > F.coalesce("_first", F.col(order))))
-    numbered = positions(marked, order)
+    keys = chunks.select(id_column, order)
+    counted = keys.groupBy(id_column).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(id_column, "_first")
+    late = positions(keys, order).join(counted, id_column).filter(F.col(order) > F.col("_first")).select(order, "_position")
     derived = short_id(F.col(id_column), F.col("source"), F.col("path"), F.col("_position"))
-    return numbered.withColumn(id_column, F.when(F.col("_late"), derived).otherwise(F.col(id_column))).drop("_first", "_late", "_position")
+    return chunks.join(late, order, "left").withColumn(id_column, F.when(F.col("_position").isNotNull(), derived).otherwise(F.col(id_column))).drop("_position").select(*chunks.columns)
 
 
 def positions(rows: DataFrame, order: str, column: str = "_position", block: int = 65_536) -> DataFrame:

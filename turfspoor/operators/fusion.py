@@ -67,8 +67,9 @@ def siblings(index: LexicalIndex, hits: DataFrame, questions: DataFrame, names:
     documents = hits.select("question_id", "source", "path").distinct()
     others = found.join(documents, ["question_id", "source", "path"], "left_semi").join(hits.select("question_id", "ord"), ["question_id", "ord"], "left_anti")
     order = Window.partitionBy("question_id", "source", "path").orderBy(F.desc("score"), "ord")
-    top = others.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= limit)
-    return top.groupBy("question_id", "source", "path").agg(F.array_sort(F.collect_list("ord")).alias("siblings"))
+    top = others.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= limit).join(index.lengths.select("ord", "ordinal"), "ord")
+    sorted_ = F.array_sort(F.collect_list(F.struct("ordinal", "ord")))
+    return top.groupBy("question_id", "source", "path").agg(F.transform(sorted_, lambda x: x.getField("ord")).alias("siblings"))
 
 
 def merge_indexes(main: DataFrame, extra: DataFrame, most: int = 2, least_signals: int = 2) -> DataFrame:

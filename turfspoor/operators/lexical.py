@@ -1,7 +1,8 @@
 """Lexical search: postings, BM25 with column weights, phrases, prefixes, attempts.
 
-An index is three tables: ``postings`` (term, ord, col, pos), ``lengths`` (ord, chunk_id, source,
-path, len) and a row of statistics. ``ord`` is the global order of the chunks and breaks ties.
+An index is four tables: ``postings`` (term, ord, col, pos), ``lengths`` (ord, chunk_id, source,
+path, ordinal, len), the distinct terms and a row of statistics. ``ord`` is the order of the chunks
+and breaks ties. Postings may hold chunks that are no longer in the index: what is in ``lengths``, is.
 
 Phrases to look up are rows (question_id, attempt, phrase_no, tokens, prefix, cols): all questions
 are searched by one plan. Tokens join postings on the term, so only the postings of words that
@@ -30,35 +31,46 @@ PHRASES = "question_id long, attempt int, phrase_no int, tokens array<string>, p
 class LexicalIndex:
     """The tables of a lexical index over chunks (ord, chunk_id, source, path, title, section, text)."""
 
-    def __init__(self, postings: DataFrame, lengths: DataFrame):
-        self.postings, self.lengths = postings, lengths
+    def __init__(self, postings: DataFrame, lengths: DataFrame, terms: DataFrame | None = None, stats: tuple[int, float] | None = None, dead: bool = False):
+        self.postings, self.lengths, self.dead = postings, lengths, dead
+        self.terms = postings.select("term").distinct() if terms is None else terms
+        self.stats = stats
 
     @classmethod
     def of(cls, chunks: DataFrame, stems: Column | None = None) -> LexicalIndex:
         cols = [c for c in ("title", "section", "text") if c in chunks.columns]
+        ordinal = F.col("ordinal") if "ordinal" in chunks.columns else F.lit(0)
         parts = {c: tokens(F.col(c)) for c in cols}
         if stems is not None:
             parts["stems"] = stems
-        split = chunks.select("ord", "chunk_id", "source", "path", *[e.alias(f"t_{c}") for c, e in parts.items()])
+        split = chunks.select("ord", "chunk_id", "source", "path", ordinal.cast("int").alias("ordinal"), *[e.alias(f"t_{c}") for c, e in parts.items()])
         lists = F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"t_{c}").alias("t")) for c in parts])
         postings = split.select("ord", F.explode_outer(lists).alias("x")).select("ord", "x.col", F.posexplode_outer("x.t").alias("pos", "term")).filter("term is not null")
         total = sum((F.size(f"t_{c}") for c in parts), F.lit(0))
-        return cls(postings.select("term", "ord", "col", "pos"), split.select("ord", "chunk_id", "source", "path", total.alias("len")))
+        return cls(postings.select("term", "ord", "col", "pos"), split.select("ord", "chunk_id", "source", "path", "ordinal", total.alias("len")))
 
     def stored(self) -> LexicalIndex:
         """The same index with its tables written to the shared folder, for searches that use them often.
 
         Postings are sorted by term, so that reading the postings of a few words skips most row groups.
         """
-        postings = self.postings.repartitionByRange("term").sortWithinPartitions("term", "ord")
-        return LexicalIndex(written(postings, "postings"), written(self.lengths, "lengths"))
+        postings = written(self.postings.repartitionByRange("term").sortWithinPartitions("term", "ord"), "postings")
+        lengths = written(self.lengths, "lengths")
+        found = LexicalIndex(postings, lengths, written(sorted_terms(postings), "terms"))
+        return LexicalIndex(postings, lengths, found.terms, tuple(found.statistics().first()))
 
     def statistics(self) -> DataFrame:
         """One row: number of chunks and mean length."""
+        if self.stats is not None:
+            return self.lengths.sparkSession.createDataFrame([self.stats], "n_chunks long, mean_len double")
         return self.lengths.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("len").alias("mean_len"))
 
+    def live(self, rows: DataFrame) -> DataFrame:
+        """Rows (ord, ...) of chunks that are in the index."""
+        return rows.join(self.lengths.select("ord"), "ord", "left_semi") if self.dead else rows
+
     def document_frequency(self) -> DataFrame:
-        return self.postings.groupBy("term").agg(F.count_distinct("ord").alias("df"))
+        return self.live(self.postings).groupBy("term").agg(F.count_distinct("ord").alias("df"))
 
     def occurrences(self, phrases: DataFrame) -> DataFrame:
         """(question_id, attempt, phrase_no, ord, col, start, size) of every occurrence of a phrase."""
@@ -68,7 +80,7 @@ class LexicalIndex:
         exact = words.filter("not starts_with").withColumnRenamed("token", "term")
         prefixed = words.filter("starts_with")
         asked = exact.unionByName(self._widened(prefixed, exact.columns)) if prefixed.take(1) else exact
-        found = self.postings.join(asked, "term").filter(F.col("cols").isNull() | F.array_contains("cols", F.col("col")))
+        found = self.live(self.postings.join(asked, "term").filter(F.col("cols").isNull() | F.array_contains("cols", F.col("col"))))
         starts = found.withColumn("start", F.col("pos") - F.col("k"))
         one = starts.filter("size = 1").select(*keys, "ord", "col", "start", "size")
         if not phrases.filter(F.size("tokens") > 1).take(1):
@@ -80,7 +92,7 @@ class LexicalIndex:
         """The prefixes with each term of the vocabulary that begins with them."""
         # a prefix meets the vocabulary on its first characters, not each term with each prefix
         heads = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.substring("term", 1, n).alias("head")) for n in (1, 2, 3)])).alias("h")
-        vocabulary = self.postings.select("term").distinct().filter("term <> ''").select("term", heads).select("term", "h.n", "h.head")
+        vocabulary = self.terms.filter("term <> ''").select("term", heads).select("term", "h.n", "h.head")
         wide = prefixed.withColumn("n", F.least(F.length("token"), F.lit(3))).withColumn("head", F.expr("substring(token, 1, n)"))
         return wide.join(vocabulary, ["n", "head"]).filter(F.col("term").startswith(F.col("token"))).select(*columns)
 
@@ -117,6 +129,11 @@ class LexicalIndex:
         return hit.join(self.lengths, "ord").select("question_id", "attempt", "ord", "chunk_id", "source", "path", "score")
 
 
+def sorted_terms(postings: DataFrame) -> DataFrame:
+    """The distinct terms in their order, so that the terms of a prefix stand together."""
+    return postings.select("term").distinct().repartitionByRange("term").sortWithinPartitions("term")
+
+
 def best(hits: DataFrame, keys: list[str], limit: int = LIST_SIZE) -> DataFrame:
     """The best ``limit`` rows of each key by score, ties by global order, with their ``rank``."""
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), "ord")

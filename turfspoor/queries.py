@@ -6,16 +6,18 @@ Each reads its whole tables. Chunks are the rows of ``stuk``; their order is tha
 from __future__ import annotations
 
 import contextlib
+import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turfspoor.config import Settings
+from turfspoor.config import Settings, Source
 from turfspoor.functions import arrow
 from turfspoor.functions import text as T
 from turfspoor.operators import dedup, evaluate, fusion, grammar, incremental, lexical, semantic
 from turfspoor.plans import ingest, search, store
 from turfspoor.session import scratch, table, written
+from turfspoor.sources import readers
 from turfspoor.streaming.watch import quiet_sessions
 
 AS_OF = "2026-10-01"
@@ -32,8 +34,16 @@ def index_of(spark: SparkSession, folder: str) -> lexical.LexicalIndex:
     return lexical.LexicalIndex.of(chunks_of(spark, folder))
 
 
+_STORED: dict[tuple, lexical.LexicalIndex] = {}
+
+
 def stored_index(spark: SparkSession, folder: str) -> lexical.LexicalIndex:
-    return index_of(spark, folder).stored()
+    """The index of a folder's chunks, written once per session as long as the chunks' files stay as they are."""
+    files = readers.list_status(spark, Source("stuk", f"{folder}/stuk.parquet"))
+    key = (spark.sparkContext.applicationId, folder, tuple(files))
+    if key not in _STORED:
+        _STORED[key] = index_of(spark, folder).stored()
+    return _STORED[key]
 
 
 def questions_of(spark: SparkSession, folder: str) -> DataFrame:
@@ -165,10 +175,10 @@ def chunk_ids(spark, folder):
 
 
 def document_ordinals(spark, folder):
-    c = chunks_of(spark, folder)
-    rows = c.select("source", "path", F.col("ord").alias("arrival"), "chunk_id")
-    w = Window.partitionBy("source", "path").orderBy("arrival")
-    return rows.select("chunk_id", (F.row_number().over(w) - 1).cast("int").alias("ordinal"))
+    """Chunks as rows of the caller without an ordinal: they are numbered in their document as they arrive."""
+    rows = table(spark, folder, "stuk").filter("coalesce(bron, '') <> '' and coalesce(pad, '') <> '' and coalesce(tekst, '') <> ''")
+    given = rows.select(F.col("bron").alias("source"), F.col("pad").alias("path"), F.col("tekst").alias("text"), F.col("id").alias("chunk_id"), F.conv("id", 16, 10).cast("long").alias("arrival"))
+    return ingest.row_chunks(readers.caller_rows(given, "arrival"), Settings(mask=False)).select("chunk_id", "ordinal")
 
 
 def extract_references(spark, folder):
@@ -218,14 +228,27 @@ def build_chunks(spark, folder):
     """The rows of ``taken`` as rows of the caller, through the whole of ingest."""
     t = table(spark, folder, "taken")
     rows = t.filter("coalesce(omschrijving, '') <> ''").select(F.lit("taken").alias("source"), F.concat(F.lit("taken.json#"), T.blank(F.col("id"))).alias("path"), F.col("omschrijving").alias("text"), F.col("titel").alias("title"), "status", F.col("bijgewerkt").alias("date"), F.col("regel").alias("arrival"))
-    chunks = ingest.row_chunks(ingest.readers.caller_rows(rows, "arrival"), Settings())
+    chunks = ingest.row_chunks(readers.caller_rows(rows, "arrival"), Settings())
     ordered = written(ingest.numbered(chunks, ["order"]), "taken")
     return dedup.repair_ids(dedup.first_of_each_text(ordered)).select("chunk_id", "path", "title", "ordinal", "text", "refs")
 
 
+def markdown_tree(spark, folder):
+    """The nations, a table of fixed size, as a tree of files, read and cut by the source of trees."""
+    root = scratch(spark, "tree")
+    for r in table(spark, folder, "nation").collect():
+        readers.put_file(spark, f"{root}/{r.n_regionkey}/{r.n_name}.md", f"\ufeff---\r\nTitel: {r.n_name}\r\ndatum: 2026-01-0{r.n_regionkey + 1}\r\n---\r\n## Nummer {r.n_nationkey}\r\nland {r.n_name}\r\n")
+    found = ingest.markdown_source(spark, Source("landen", root, without=("*/K*",)), Settings())
+    return found.select("chunk_id", "path", "title", "section", "date", "text", "ordinal")
+
+
 def json_items(spark, folder):
-    e = table(spark, folder, "events")
-    return e.select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    """The nations as one JSON list, read and made chunks by the source of lists."""
+    path = f"{scratch(spark, 'list')}/landen.json"
+    rows = [r.asDict() for r in table(spark, folder, "nation").orderBy("n_nationkey").collect()]
+    readers.put_file(spark, path, json.dumps({"landen": [*rows, "geen object"]}))
+    source = Source("landen", path, "json_lijst", list_field="landen", id_field="n_nationkey", title_field="n_name", text_field="n_name", section_field="n_regionkey", overview=False)
+    return ingest.json_chunks(readers.json_items(spark, source), source, Settings()).select("chunk_id", "path", "title", "section", "text")
 
 
 def json_flatten(spark, folder):
@@ -469,7 +492,7 @@ QUERIES = {
     for f in (
         scan_count_by_source, select_by_glob, item_opt_out, opt_out_documents, mask_named_values, mask_known_tokens, mask_key_blocks, mask_mixed_runs, mask_totals,
         dedup_exact, dedup_id_repair, chunk_ids, document_ordinals, extract_references, derive_date, front_matter, front_matter_whole, pack_paragraphs, chunk_markdown, build_chunks,
-        json_items, json_flatten, overview_chunk, names_in_questions, dutch_stem_counts, document_frequency, corpus_statistics,
+        markdown_tree, json_items, json_flatten, overview_chunk, names_in_questions, dutch_stem_counts, document_frequency, corpus_statistics,
         bm25_and, bm25_or, bm25_phrase, bm25_prefix, bm25_columns, bm25_source, raw_query, raw_near, word_cascade, name_lists,
         embed_hash, semantic_topk, semantic_topk_filtered, rrf_fuse, status_penalty, recency_bonus, hybrid_search, full_search, sibling_chunks, merge_indexes,
         eval_ranks, eval_summary, eval_complete, refresh_diff, file_reuse, embed_cache_misses, embed_cache_unused, debounce_sessions, p5_found, p5_intervals,

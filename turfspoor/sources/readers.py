@@ -95,6 +95,14 @@ def json_items(spark: SparkSession, source: Source) -> DataFrame:
     return each.filter(F.col("item").startswith("{")).select(F.lit(source.name).alias("source"), F.lit(source.path.rsplit("/", 1)[-1]).alias("file"), F.col("ordinal").cast("long"), "item")
 
 
+def put_file(spark: SparkSession, path: str, text: str) -> None:
+    """Write one small file from the driver; its folder is made."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def list_status(spark: SparkSession, source: Source) -> list[tuple[str, int, int]]:
     """(path, modified, size) of the file of a JSON list, or of each below a folder; none where it does not exist."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source.path)

@@ -110,11 +110,16 @@ FROM (SELECT id, coalesce(tekst, '') || ' Ab1' || sha1(id) || ' ' || sha1('x') |
 WITH c AS (SELECT {HEX} AS ord, left(id, 3) AS cut, bron, pad, row_number() OVER (ORDER BY id) - 1 AS position, row_number() OVER (PARTITION BY left(id, 3) ORDER BY id) AS nth FROM stuk)
 SELECT printf('%x', ord) AS ord, CASE WHEN nth = 1 THEN cut ELSE left(sha1(cut || '|' || coalesce(bron, '') || '|' || coalesce(pad, '') || '|' || position), 12) END AS chunk_id FROM c""",
     "chunk_ids": "SELECT id AS chunk_id, left(sha1(coalesce(bron, '') || '|' || coalesce(pad, '') || '|' || coalesce(sectie, '') || '|' || coalesce(volgnr::VARCHAR, '')), 12) AS derived FROM stuk",
-    "document_ordinals": "SELECT id AS chunk_id, (row_number() OVER (PARTITION BY bron, pad ORDER BY id) - 1)::INTEGER AS ordinal FROM stuk",
+    "document_ordinals": "SELECT id AS chunk_id, (row_number() OVER (PARTITION BY bron, pad ORDER BY id) - 1)::INTEGER AS ordinal FROM stuk WHERE coalesce(bron, '') <> '' AND coalesce(pad, '') <> '' AND coalesce(tekst, '') <> ''",
     "extract_references": "SELECT id AS chunk_id, array_to_string(list_sort(list_distinct(regexp_extract_all(coalesce(tekst, ''), '\\b[A-Z]{2,10}-\\d{1,6}\\b'))), ',') AS refs FROM stuk",
     "derive_date": "SELECT id AS chunk_id, coalesce(nullif(regexp_extract(coalesce(pad, ''), '20[0-9]{2}-[0-9]{2}-[0-9]{2}'), ''), nullif(regexp_extract(left(coalesce(tekst, ''), 400), '20[0-9]{2}-[0-9]{2}-[0-9]{2}'), ''), '2026-01-02') AS date FROM stuk",
     "front_matter": "SELECT doc_id, trim(titel) AS title, trim(trim(trim(coalesce(lang, '')), '\"'), '''') AS status, 'body ' || doc_id AS body FROM documents WHERE regexp_full_match(titel, '[A-Za-z][A-Za-z ]*') AND text IS NOT NULL",
-    "json_items": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
+    "markdown_tree": """
+SELECT left(sha1('landen|' || path || '|' || section || '|0'), 12) AS chunk_id, path, title, section, date, text, 0 AS ordinal
+FROM (SELECT n_regionkey || '/' || n_name || '.md' AS path, n_name AS title, 'Nummer ' || n_nationkey AS section, '2026-01-0' || (n_regionkey + 1) AS date, 'land ' || n_name AS text FROM nation WHERE n_name NOT LIKE 'K%')""",
+    "json_items": """
+SELECT left(sha1('landen|' || number), 12) AS chunk_id, 'landen.json#' || number AS path, CASE n_nationkey WHEN 0 THEN '' ELSE n_nationkey || ' - ' END || n_name AS title, CASE n_regionkey WHEN 0 THEN '' ELSE n_regionkey::VARCHAR END AS section, n_name || chr(10) || chr(10) || n_name AS text
+FROM (SELECT *, CASE n_nationkey WHEN 0 THEN '0' ELSE n_nationkey::VARCHAR END AS number FROM nation)""",
     "json_flatten": "SELECT event_id, 'k: ' || json_extract_string(props, '$.k') AS readable FROM events",
     "overview_chunk": """
 SELECT n_name AS source, n_name || ' - overzicht (' || count(*) || ' items)' AS title,

@@ -121,6 +121,16 @@ FROM (SELECT n_regionkey || '/' || n_name || '.md' AS path, n_name AS title, 'Nu
 SELECT left(sha1('landen|' || number), 12) AS chunk_id, 'landen.json#' || number AS path, CASE n_nationkey WHEN 0 THEN '' ELSE n_nationkey || ' - ' END || n_name AS title, CASE n_regionkey WHEN 0 THEN '' ELSE n_regionkey::VARCHAR END AS section, n_name || chr(10) || chr(10) || n_name AS text
 FROM (SELECT *, CASE n_nationkey WHEN 0 THEN '0' ELSE n_nationkey::VARCHAR END AS number FROM nation)""",
     "json_flatten": "SELECT event_id, 'k: ' || json_extract_string(props, '$.k') AS readable FROM events",
+    "pack_paragraphs": """
+WITH RECURSIVE d AS (SELECT doc_id, replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) AS t FROM documents),
+    p AS (SELECT doc_id, string_split(t, chr(10) || chr(10)) AS ps FROM d WHERE length(t) > 1800),
+    s AS (SELECT doc_id, 0 AS i, ps, NULL::VARCHAR AS buf, NULL::VARCHAR AS full_ FROM p
+          UNION ALL
+          SELECT doc_id, i + 1, ps, CASE WHEN coalesce(buf, '') = '' OR length(buf) + length(ps[i + 1]) > 1800 THEN ps[i + 1] ELSE buf || chr(10) || chr(10) || ps[i + 1] END,
+              CASE WHEN coalesce(buf, '') <> '' AND length(buf) + length(ps[i + 1]) > 1800 THEN buf END FROM s WHERE i < len(ps)),
+    parts AS (SELECT doc_id, i, trim(full_, ' ') AS text FROM s WHERE full_ IS NOT NULL UNION ALL SELECT doc_id, i + 1, trim(coalesce(buf, ''), ' ') FROM s WHERE i = len(ps))
+SELECT doc_id, 0 AS part, t AS text FROM d WHERE length(t) <= 1800
+UNION ALL SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER, text FROM parts WHERE text <> ''""",
     "overview_chunk": """
 SELECT n_name AS source, n_name || ' - overzicht (' || count(*) || ' items)' AS title,
     string_agg(s_suppkey || ' - ' || s_name || CASE WHEN s_acctbal < 0 THEN ' (rood)' ELSE '' END, chr(10) ORDER BY s_suppkey) AS text
@@ -180,6 +190,17 @@ WITH {CASCADE},
     final AS (SELECT q, f.id, signals, first_no, first_rank, round(score * CASE WHEN lower(coalesce(status, '')) IN ({ENDED_SQL}) THEN 0.5 ELSE 1 END + 0.25::DOUBLE / 61 * ({RECENCY}), 5) AS score FROM fused f JOIN stuk s ON s.id = f.id),
     placed AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, first_no, first_rank) AS place FROM final)
 SELECT q AS question_id, place::INTEGER AS place, id AS chunk_id, score, signals FROM placed JOIN vraag ON vraag_id = q WHERE place <= coalesce(k, 8)""",
+    "sibling_chunks": f"""
+WITH {CASCADE},
+    shown AS (SELECT q, id, s.bron, s.pad FROM words_list JOIN stuk s USING (id) WHERE rank <= 8),
+    f2 AS (SELECT q, ph, id, {WEIGHT} AS f FROM post JOIN met USING (term) WHERE a = 2 AND col IN ('section', 'text') GROUP BY q, ph, id),
+    n2 AS (SELECT q, ph, count(*) AS n FROM f2 GROUP BY q, ph),
+    sums2 AS (SELECT q, id, round(sum(greatest(ln((n_chunks - n + 0.5) / (n + 0.5)), 1e-6) * f2.f * 2.2 / (f2.f + 1.2 * (0.25 + 0.75 * len / mean_len))), 12) AS score
+              FROM f2 JOIN n2 USING (q, ph) JOIN lens USING (id) CROSS JOIN st GROUP BY q, id),
+    others AS (SELECT x.q, x.id, s.bron, s.pad, row_number() OVER (PARTITION BY x.q, s.bron, s.pad ORDER BY score DESC, x.id) AS r
+               FROM sums2 x JOIN stuk s USING (id) JOIN (SELECT DISTINCT q, bron, pad FROM shown) d ON d.q = x.q AND d.bron = s.bron AND d.pad = s.pad
+               WHERE NOT EXISTS (SELECT 1 FROM shown h WHERE h.q = x.q AND h.id = x.id))
+SELECT q AS question_id, bron AS source, pad AS path, id AS chunk_id FROM others WHERE r <= 2""",
     "merge_indexes": f"""
 WITH {HITLISTS},
     n AS (SELECT vraag_id, id, count(*) AS n FROM lists GROUP BY ALL),

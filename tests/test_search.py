@@ -137,7 +137,7 @@ def test_rows_of_the_caller_are_masked_once(spark, site):
     s = store.Store(spark, config.Settings(index_path=str(site / "rows")))
     assert s.build(rows)["new"] == 2
     assert {r.chunk_id: r.text for r in s.table("chunks").collect()} == {"een": "pincode: [verborgen]", "twee": "tweede tekst"}
-    assert s.refresh(rows)["changed"] == 0
+    assert s.refresh(rows)["changed"] == 0 and s.manifest()["number"] == 1
     other = rows.withColumn("text", F.when(F.col("chunk_id") == "twee", "anders").otherwise(F.col("text")))
     got = s.refresh(other)
     assert (got["changed"], got["new"], got["removed"]) == (1, 0, 0) and s.table("chunks").filter("text = 'anders'").count() == 1
@@ -218,6 +218,34 @@ def test_evaluation(spark, tmp_path):
             evaluate.load_questions(spark, str(tmp_path / "e.json"))
 
 
+def test_report_names_each_question_and_what_is_missing(spark):
+    q = spark.createDataFrame([(1, "waar is verlof", "verlof", ["verlof", "tabel"]), (2, "wat", "nergens", [])], "question_id long, question string, expected string, expected_all array<string>")
+    hits = spark.createDataFrame([(1, 1, "verlof.md", "A", "s")], "question_id long, place int, path string, title string, section string")
+    ranked = evaluate.ranks(q, hits)
+    rows = evaluate.details(q, ranked, evaluate.met_patterns(q, hits, hits.limit(0).select("question_id", "section"))).orderBy("question_id").collect()
+    assert [(r.rank, r.asked, r.missing) for r in rows] == [(1, 2, ["tabel"]), (None, 0, [])]
+    text = evaluate.report(rows, evaluate.summary(ranked).first(), 1.25)
+    assert text.split("\n") == ["   1  waar is verlof  (missing: tabel)", "   -  wat", "found 1 of 2, MRR 0.500, 1.2 s", "complete 0 of 1"]
+
+
+def test_a_model_is_opened_once_a_task_and_sees_prefixes_and_cut_texts(spark):
+    def open_session():
+        opened = []
+
+        def run(texts):
+            opened.append(1)
+            return [[len(t), 1.0 if t.startswith("passage: ") else 2.0, 0.0] for t in texts]
+
+        return run
+
+    model = semantic.ModelEmbedder("fake", 3, open_session, batch=2)
+    df = spark.createDataFrame([(n, "x" * n) for n in (0, 5, 9000)] + [(7, None)], "n int, t string").coalesce(1)
+    got = {r.n: (r.p, r.q) for r in df.select("n", model.passages(F.col("t")).alias("p"), model.questions(F.col("t")).alias("q")).collect()}
+    unit = lambda *v: pytest.approx([x / np.linalg.norm(v) for x in v], abs=1e-6)
+    assert got[0] == (unit(9, 1, 0), unit(7, 2, 0)) and got[9000] == (unit(1509, 1, 0), unit(9007, 2, 0)) and got[7] == got[0]
+    assert isinstance(semantic.embedder_for(config.Settings()), semantic.TrigramEmbedder) and semantic.embedder_for(config.Settings(model_path="/x", model="m")).name == "m"
+
+
 def test_watch_waits_for_quiet(spark, site):
     s = store.Store(spark, load(site))
     clock = iter(range(0, 1000, 10))

@@ -43,6 +43,9 @@ class Settings:
     index_path: str = "index"
     model: str = "trigram-hash"
     model_file: str = ""
+    model_path: str = ""
+    model_cache: str = ""
+    threads: int = 0
     dim: int = 64
     mask: bool = True
     mask_titles: bool = False
@@ -79,7 +82,7 @@ class Settings:
 
 
 #: Keys of the file and the settings they set; fixed, since files are written with them.
-KEYS = {"db_pad": "index_path", "model": "model", "model_bestand": "model_file", "dim": "dim", "maskeer_geheimen": "mask", "maskeer_titels": "mask_titles", "actualiteit_bonus": "recency_bonus", "actualiteit_dagen": "recency_days", "stemmer": "stemmer", "snippets": "snippets", "snippet_markering": "snippet_marks", "namen_gewicht": "name_weight", "aanvullen": "siblings", "verwijzingspatronen": "reference_patterns", "optout_sleutels": "opt_out_keys"}
+KEYS = {"db_pad": "index_path", "model": "model", "model_bestand": "model_file", "model_pad": "model_path", "model_cache": "model_cache", "threads": "threads", "dim": "dim", "maskeer_geheimen": "mask", "maskeer_titels": "mask_titles", "actualiteit_bonus": "recency_bonus", "actualiteit_dagen": "recency_days", "stemmer": "stemmer", "snippets": "snippets", "snippet_markering": "snippet_marks", "namen_gewicht": "name_weight", "aanvullen": "siblings", "verwijzingspatronen": "reference_patterns", "optout_sleutels": "opt_out_keys"}
 SOURCE_KEYS = {"naam": "name", "pad": "path", "type": "kind", "alleen": "only", "uitsluiten": "without", "lijst_veld": "list_field", "id_veld": "id_field", "titel_veld": "title_field", "tekst_veld": "text_field", "status_veld": "status_field", "datum_veld": "date_field", "sectie_veld": "section_field", "uitsluit_veld": "exclude_field", "alle_velden": "all_fields", "overzicht": "overview"}
 LISTS = {"only", "without", "reference_patterns", "opt_out_keys", "snippet_marks"}
 
@@ -98,6 +101,5 @@ def load(path: str) -> Settings:
         values.setdefault("name", values.get("kind", "bron"))
         sources.append(Source(**values | {"path": below(values["path"])}))
     values = put(raw, KEYS)
-    if "index_path" in values:
-        values["index_path"] = below(values["index_path"])
+    values |= {k: below(values[k]) for k in ("index_path", "model_path", "model_cache") if values.get(k)}
     return Settings(**values, sources=tuple(sources))

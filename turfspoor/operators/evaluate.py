@@ -51,16 +51,26 @@ def ranks(questions: DataFrame, hits: DataFrame) -> DataFrame:
     return questions.select("question_id").join(first, "question_id", "left")
 
 
-def complete(questions: DataFrame, hits: DataFrame, shown: DataFrame) -> DataFrame:
-    """(question_id, complete): whether each expected pattern is in a hit or a sibling of one.
+def met_patterns(questions: DataFrame, hits: DataFrame, shown: DataFrame) -> DataFrame:
+    """(question_id, pattern, hit): whether each expected pattern is in a hit or a sibling of one.
 
     ``shown`` has question_id and section of the siblings; questions without patterns are left out.
     """
     patterns = questions.select("question_id", F.explode("expected_all").alias("pattern"))
     fields = hits.select("question_id", "path", "title", "section").unionByName(shown.select("question_id", F.lit("").alias("path"), F.lit("").alias("title"), "section"))
     met = patterns.join(fields, "question_id", "left").withColumn("hit", matches("pattern", "path", "title", "section"))
-    each = met.groupBy("question_id", "pattern").agg(F.bool_or(F.coalesce("hit", F.lit(False))).alias("hit"))
-    return each.groupBy("question_id").agg(F.bool_and("hit").alias("complete"))
+    return met.groupBy("question_id", "pattern").agg(F.bool_or(F.coalesce("hit", F.lit(False))).alias("hit"))
+
+
+def complete(questions: DataFrame, hits: DataFrame, shown: DataFrame) -> DataFrame:
+    """(question_id, complete): whether all expected patterns of a question are met."""
+    return met_patterns(questions, hits, shown).groupBy("question_id").agg(F.bool_and("hit").alias("complete"))
+
+
+def details(questions: DataFrame, ranked: DataFrame, met: DataFrame) -> DataFrame:
+    """(question_id, question, rank, asked, missing): each question with the patterns that nothing shows."""
+    lists = met.groupBy("question_id").agg(F.count(F.lit(1)).alias("asked"), F.array_sort(F.collect_list(F.when(~F.col("hit"), F.col("pattern")))).alias("missing"))
+    return questions.select("question_id", "question").join(ranked, "question_id").join(lists, "question_id", "left").select("question_id", "question", "rank", F.coalesce("asked", F.lit(0)).alias("asked"), F.coalesce("missing", F.array().cast("array<string>")).alias("missing"))
 
 
 def summary(ranked: DataFrame) -> DataFrame:
@@ -68,7 +78,9 @@ def summary(ranked: DataFrame) -> DataFrame:
     return ranked.agg(F.count(F.lit(1)).alias("questions"), F.count("rank").alias("found"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 3).alias("mrr"))
 
 
-def report(row, completed: list[bool]) -> str:
-    """The summary as text for people."""
-    lines = [f"found {row.found} of {row.questions}, MRR {row.mrr:.3f}"]
-    return "\n".join(lines + ([f"complete {sum(completed)} of {len(completed)}"] if completed else []))
+def report(rows: list, total, seconds: float) -> str:
+    """Each question with its rank and what is missing, and the totals, as text for people."""
+    lines = [f"{r.rank if r.rank else '-':>4}  {r.question}" + (f"  (missing: {', '.join(r.missing)})" if r.missing else "") for r in rows]
+    whole = [not r.missing for r in rows if r.asked]
+    lines.append(f"found {total.found} of {total.questions}, MRR {total.mrr:.3f}, {seconds:.1f} s")
+    return "\n".join(lines + ([f"complete {sum(whole)} of {len(whole)}"] if whole else []))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -61,6 +62,77 @@ class TrigramEmbedder:
     questions = passages
 
 
+# --- fixed values: what the model expects -----------------------------------------------------------
+PASSAGE, QUESTION, CUT, MOST_TOKENS = "passage: ", "query: ", 1500, 384
+# -----------------------------------------------------------------------------------------------------
+
+
+class ModelEmbedder:
+    """A sentence model behind a session: a function from a list of texts to a matrix.
+
+    ``open_session`` is called once in each task, on the worker, and its session serves all batches
+    of that task. Passages are cut to CUT characters. Vectors come out with unit length.
+    """
+
+    def __init__(self, name: str, dim: int, open_session: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 16):
+        self.name, self.dim, self.open_session, self.batch = name, dim, open_session, batch
+
+    def _embedded(self, text: Column) -> Column:
+        open_session, size, dim = self.open_session, self.batch, self.dim
+
+        @F.pandas_udf("array<float>")
+        def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            session = open_session()
+            for texts in batches:
+                out = [np.zeros((0, dim))]
+                for at in range(0, len(texts), size):
+                    x = np.asarray(session(texts.iloc[at : at + size].tolist()), np.float64).reshape(-1, dim)
+                    out.append(x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12))
+                yield pd.Series(list(np.concatenate(out).astype(np.float32)))
+
+        return embed(text)
+
+    def passages(self, text: Column) -> Column:
+        return self._embedded(F.concat(F.lit(PASSAGE), F.substring(F.coalesce(text, F.lit("")), 1, CUT)))
+
+    def questions(self, text: Column) -> Column:
+        return self._embedded(F.concat(F.lit(QUESTION), F.coalesce(text, F.lit(""))))
+
+
+def onnx_session(folder: str, file: str = "model.onnx", threads: int = 0) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """Opens the model in a folder that every worker can read (``tokenizer.json`` and an ONNX file), pooled by the mean of its tokens."""
+
+    def open_session():
+        import onnxruntime
+        import tokenizers
+
+        tokenizer = tokenizers.Tokenizer.from_file(f"{folder}/tokenizer.json")
+        tokenizer.enable_truncation(MOST_TOKENS)
+        tokenizer.enable_padding()
+        options = onnxruntime.SessionOptions()
+        options.intra_op_num_threads = threads
+        model = onnxruntime.InferenceSession(f"{folder}/{file}", options, providers=["CPUExecutionProvider"])
+        names = {x.name for x in model.get_inputs()}
+
+        def run(texts: list[str]) -> np.ndarray:
+            coded = tokenizer.encode_batch(texts)
+            mask = np.array([c.attention_mask for c in coded], np.int64)
+            given = {"input_ids": np.array([c.ids for c in coded], np.int64), "attention_mask": mask, "token_type_ids": np.zeros_like(mask)}
+            states = model.run(None, {k: v for k, v in given.items() if k in names})[0]
+            return (states * mask[:, :, None]).sum(axis=1) / np.maximum(mask.sum(axis=1, keepdims=True), 1)
+
+        return run
+
+    return open_session
+
+
+def embedder_for(settings) -> Embedder:
+    """The model at the path of the settings, or the one that needs none."""
+    if settings.model_path:
+        return ModelEmbedder(settings.model, settings.dim, onnx_session(settings.model_path, settings.model_file or "model.onnx", settings.threads))
+    return TrigramEmbedder(settings.dim)
+
+
 def top_similar(questions: DataFrame, vectors: DataFrame, dim: int, limit: int = 40) -> DataFrame:
     """(question_id, ord, similarity, rank): the ``limit`` nearest rows of each question, exactly.
 

@@ -114,17 +114,28 @@ def overview(named: DataFrame, settings: Settings) -> DataFrame:
     return all_.select(T.short_id(F.col("source"), F.lit("overzicht"), F.lit(0)).alias("chunk_id"), "source", F.concat("file", F.lit("#overzicht")).alias("path"), F.concat("source", F.lit(" - overzicht ("), F.col("n").cast("string"), F.lit(" items)")).alias("title"), F.lit("overzicht").alias("section"), none.alias("date"), none.alias("status"), masked(F.col("text"), settings).alias("text"), none.alias("refs"), F.lit(0).alias("ordinal"), "file", F.lit(None).cast("string").alias("raw_fp"), F.lit("~").alias("order"))
 
 
-def row_chunks(rows: DataFrame, settings: Settings, earlier: Earlier | None = None) -> DataFrame:
-    """Chunks of rows of the caller; the default ordinal is the order of arrival in the document.
+def known_rows(rows: DataFrame) -> DataFrame:
+    """Rows of the caller with their id, ordinal and raw fingerprint; the text is as it came.
 
-    A row whose id and raw fingerprint the last index has is not masked again.
+    The default ordinal is the order of arrival in the document.
     """
     arrived = F.row_number().over(Window.partitionBy("source", "path").orderBy("arrival")) - 1
     raw = rows.withColumn("given", F.coalesce("ordinal", F.lit(0))).withColumn("ordinal", F.coalesce("ordinal", arrived))
     own = F.when(F.col("chunk_id") != "", F.col("chunk_id")).otherwise(T.short_id(F.col("source"), F.col("path"), F.col("section"), F.col("given")))
     print_ = T.fingerprint(own, *[F.col(c) for c in ("source", "path", "title", "section", "date", "status", "text", "refs")], F.col("ordinal"))
     order = F.format_string("%018d", F.col("arrival"))
-    known = raw.select(own.alias("chunk_id"), "source", "path", "title", "section", "date", "status", "text", "refs", "ordinal", F.lit("").alias("file"), print_.alias("raw_fp"), order.alias("order"))
+    return raw.select(own.alias("chunk_id"), "source", "path", "title", "section", "date", "status", "text", "refs", "ordinal", F.lit("").alias("file"), print_.alias("raw_fp"), order.alias("order"))
+
+
+def rows_print(rows: DataFrame) -> list:
+    """What tells whether the caller's rows, their order included, are those of another time."""
+    found = known_rows(readers.caller_rows(rows)).agg(F.count(F.lit(1)), F.sum(F.xxhash64("chunk_id", "raw_fp", "order").cast("decimal(38,0)"))).first()
+    return [found[0], str(found[1])]
+
+
+def row_chunks(rows: DataFrame, settings: Settings, earlier: Earlier | None = None) -> DataFrame:
+    """Chunks of rows of the caller. A row whose id and raw fingerprint the last index has is not masked again."""
+    known = known_rows(rows)
     if earlier is None:
         return _masked_rows(known, settings)
     before = earlier.chunks.filter("raw_fp is not null").select("chunk_id", "raw_fp", F.struct("title", "text", "refs").alias("was"))

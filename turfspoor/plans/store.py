@@ -26,7 +26,7 @@ from turfspoor import __version__
 from turfspoor.config import STRUCTURE, Settings
 from turfspoor.functions.text import embedding_input
 from turfspoor.operators.lexical import LexicalIndex, sorted_terms
-from turfspoor.operators.semantic import Embedder, TrigramEmbedder
+from turfspoor.operators.semantic import Embedder, embedder_for
 from turfspoor.plans import ingest
 from turfspoor.session import _hadoop_path, written
 from turfspoor.sources import readers
@@ -48,7 +48,7 @@ class Mismatch(ValueError):
 class Store:
     def __init__(self, spark: SparkSession, settings: Settings, embedder: Embedder | None = None):
         self.spark, self.settings = spark, settings
-        self.embedder = embedder or TrigramEmbedder(settings.dim)
+        self.embedder = embedder or embedder_for(settings)
         self.folder = settings.index_path.rstrip("/")
         self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -139,7 +139,8 @@ class Store:
                 return self._write(rows, None)
             m = self.manifest()
             ledger = self.table("ledger", m)
-            if rows is None and self._lists() == m["lists"] and not m["rows"] and (same := self._unchanged(ledger)) is not None:
+            told = None if rows is None else ingest.rows_print(rows)
+            if told == m["rows"] and self._lists() == m["lists"] and (same := self._unchanged(ledger)) is not None:
                 return {"chunks": m["chunks"], "new": 0, "changed": 0, "removed": 0, "read": 0, "reused": same, "full": False}
             return self._write(rows, ingest.Earlier(self.table("chunks", m), ledger))
 
@@ -158,6 +159,7 @@ class Store:
         before, full = self.manifest(), earlier is None
         # listed before it is read: a file that changes meanwhile differs from the ledger next time
         lists, files = self._lists(), written(self.ledger(), "files")
+        self._close()
         gathered = ingest.gather(self.spark, self.settings, rows, earlier)
         chunks = written(ingest.finish(gathered), "finished")
         count = chunks.count()
@@ -187,9 +189,14 @@ class Store:
         files.join(whole, ["source", "path"], "left").withColumn("intact", F.coalesce("intact", F.lit(True))).write.parquet(f"{at}/ledger")
         reused = files.join(earlier.ledger.filter("intact"), ["source", "path", "modified", "size"], "left_semi").count() if earlier else 0
         mean = self.spark.read.parquet(f"{at}/lengths").agg(F.avg("len")).first()[0]
-        self._commit({"number": number, "snapshot": name, "segments": segments, "held": held, "dead": held - count, "mean_len": mean, "lists": lists, "rows": rows is not None, "structure": STRUCTURE, "version": __version__, "stemmer": self.settings.stemmer, "model": self.embedder.name, "dim": self.embedder.dim, "settings": self.settings.fingerprint(), "chunks": count, "built": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())})
+        self._commit({"number": number, "snapshot": name, "segments": segments, "held": held, "dead": held - count, "mean_len": mean, "lists": lists, "rows": None if rows is None else ingest.rows_print(rows), "structure": STRUCTURE, "version": __version__, "stemmer": self.settings.stemmer, "model": self.embedder.name, "dim": self.embedder.dim, "settings": self.settings.fingerprint(), "chunks": count, "built": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())})
         return {"chunks": count, "new": counts.get("new", 0 if old is not None else count), "changed": counts.get("changed", 0), "removed": counts.get("removed", 0), "read": files.count() - reused, "reused": reused, "full": full}
 
+    def _close(self) -> None:
+        """Only its owner may look into the index."""
+        private = self.spark.sparkContext._jvm.org.apache.hadoop.fs.permission.FsPermission("700")
+        self._fs.setPermission(self._path(""), private)
+
     def _lexical(self, chunks: DataFrame) -> LexicalIndex:
         stems = None
         if self.settings.stemmer == "nl":

@@ -37,27 +37,29 @@ class TrigramEmbedder:
 
     def passages(self, text: Column) -> Column:
         clean = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\W+", " ")), F.lit(" "))
-        n = F.greatest(F.length(clean) - 2, F.lit(0))
-        grams = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(clean, i, F.lit(3)))).otherwise(F.array())
         dim = self.dim
 
         @F.pandas_udf("array<float>")
-        def counted(batch: pd.Series) -> pd.Series:
+        def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             import hashlib
 
             known: dict[str, int] = {}
-            out = []
-            for row in batch:
-                v = np.zeros(dim)
-                for g in row if row is not None else ():
-                    if g not in known:
-                        known[g] = int(hashlib.md5(g.encode()).hexdigest(), 16) % dim
-                    v[known[g]] += 1
-                length = np.sqrt((v * v).sum())
-                out.append((v / length if length else v).astype(np.float32))
-            return pd.Series(out)
-
-        return counted(grams.cast("array<string>"))
+            for texts in batches:
+                out = []
+                for t in texts:
+                    buckets = []
+                    for g in map("".join, zip(t, t[1:], t[2:])):
+                        at = known.get(g)
+                        if at is None:
+                            if len(known) > 500_000:
+                                known.clear()
+                            at = known[g] = int(hashlib.md5(g.encode("utf-8", "surrogatepass")).hexdigest(), 16) % dim
+                        buckets.append(at)
+                    v = np.bincount(buckets, minlength=dim) if buckets else np.zeros(dim)
+                    out.append((v / max(1.0, np.sqrt((v * v).sum()))).astype(np.float32))
+                yield pd.Series(out)
+
+        return counted(clean)
 
     questions = passages
 

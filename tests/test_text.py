@@ -92,7 +92,7 @@ def test_front_matter_of_whole_documents_equals_a_parser_in_python(spark, tmp_pa
     langs = ["nl", None, '"EN"', "'de'", "\u00a0nl\t", ": x"]
     rows = [(n, t, x, langs[n % len(langs)]) for n, (t, x) in enumerate((t, x) for t in titles for x in texts)]
     spark.createDataFrame(rows, "doc_id long, titel string, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.title, r.status, r.body) for r in queries.front_matter_whole(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.title, r.status, r.body) for r in queries.front_matter(spark, str(tmp_path)).collect()}
     shape = '---\nTitel: "{}"\n  inner: x\nstatus: oud\nSTATUS: {}\nplain\n---\n{}'
     assert got == {n: parsed(shape.format(t or "", k or "", x or "")) for n, t, x, k in rows}
 

@@ -192,13 +192,7 @@ def derive_date(spark, folder):
 
 
 def front_matter(spark, folder):
-    d = table(spark, folder, "documents").filter(F.col("titel").rlike("^[A-Za-z][A-Za-z ]*$") & F.col("text").isNotNull())
-    wrapped = d.select("doc_id", F.concat(F.lit('---\nTitel: "'), F.col("titel"), F.lit('"\n  inner: x\nstatus: oud\nSTATUS: '), F.coalesce("lang", F.lit("")), F.lit("\nplain\n---\n"), F.lit("body "), F.col("doc_id").cast("string")).alias("t"))
-    return wrapped.select("doc_id", T.first_field(F.col("t"), "titel", "title").alias("title"), F.coalesce(T.first_field(F.col("t"), "status"), F.lit("")).alias("status"), T.front_body(F.col("t")).alias("body"))
-
-
-def front_matter_whole(spark, folder):
-    """Every document behind front matter with its own title, its text as the body; SQL has no such parser."""
+    """Every document behind front matter with its own title and language, its whole text as the body."""
     d = table(spark, folder, "documents")
     head = F.concat(F.lit('---\nTitel: "'), T.blank(F.col("titel")), F.lit('"\n  inner: x\nstatus: oud\nSTATUS: '), T.blank(F.col("lang")), F.lit("\nplain\n---\n"))
     wrapped = d.select("doc_id", F.concat(head, T.blank(F.col("text"))).alias("t"))
@@ -491,7 +485,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_count_by_source, select_by_glob, item_opt_out, opt_out_documents, mask_named_values, mask_known_tokens, mask_key_blocks, mask_mixed_runs, mask_totals,
-        dedup_exact, dedup_id_repair, chunk_ids, document_ordinals, extract_references, derive_date, front_matter, front_matter_whole, pack_paragraphs, chunk_markdown, build_chunks,
+        dedup_exact, dedup_id_repair, chunk_ids, document_ordinals, extract_references, derive_date, front_matter, pack_paragraphs, chunk_markdown, build_chunks,
         markdown_tree, json_items, json_flatten, overview_chunk, names_in_questions, dutch_stem_counts, document_frequency, corpus_statistics,
         bm25_and, bm25_or, bm25_phrase, bm25_prefix, bm25_columns, bm25_source, raw_query, raw_near, word_cascade, name_lists,
         embed_hash, semantic_topk, semantic_topk_filtered, rrf_fuse, status_penalty, recency_bonus, hybrid_search, full_search, sibling_chunks, merge_indexes,

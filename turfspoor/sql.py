@@ -113,7 +113,9 @@ SELECT printf('%x', ord) AS ord, CASE WHEN nth = 1 THEN cut ELSE left(sha1(cut |
     "document_ordinals": "SELECT id AS chunk_id, (row_number() OVER (PARTITION BY bron, pad ORDER BY id) - 1)::INTEGER AS ordinal FROM stuk WHERE coalesce(bron, '') <> '' AND coalesce(pad, '') <> '' AND coalesce(tekst, '') <> ''",
     "extract_references": "SELECT id AS chunk_id, array_to_string(list_sort(list_distinct(regexp_extract_all(coalesce(tekst, ''), '\\b[A-Z]{2,10}-\\d{1,6}\\b'))), ',') AS refs FROM stuk",
     "derive_date": "SELECT id AS chunk_id, coalesce(nullif(regexp_extract(coalesce(pad, ''), '20[0-9]{2}-[0-9]{2}-[0-9]{2}'), ''), nullif(regexp_extract(left(coalesce(tekst, ''), 400), '20[0-9]{2}-[0-9]{2}-[0-9]{2}'), ''), '2026-01-02') AS date FROM stuk",
-    "front_matter": "SELECT doc_id, trim(titel) AS title, trim(trim(trim(coalesce(lang, '')), '\"'), '''') AS status, 'body ' || doc_id AS body FROM documents WHERE regexp_full_match(titel, '[A-Za-z][A-Za-z ]*') AND text IS NOT NULL",
+    "front_matter": f"""
+SELECT doc_id, nullif(trim(trim(coalesce(titel, ''), '"'), chr(39)), '') AS title, trim(trim(regexp_replace(coalesce(lang, ''), '^[{WHITE}]+|[{WHITE}]+$', '', 'g'), '"'), chr(39)) AS status,
+    CASE WHEN regexp_full_match(coalesce(text, ''), '[{WHITE}]*') THEN '' ELSE regexp_replace(text, '^[{WHITE}]*' || chr(10), '') END AS body FROM documents""",
     "markdown_tree": """
 SELECT left(sha1('landen|' || path || '|' || section || '|0'), 12) AS chunk_id, path, title, section, date, text, 0 AS ordinal
 FROM (SELECT n_regionkey || '/' || n_name || '.md' AS path, n_name AS title, 'Nummer ' || n_nationkey AS section, '2026-01-0' || (n_regionkey + 1) AS date, 'land ' || n_name AS text FROM nation WHERE n_name NOT LIKE 'K%')""",

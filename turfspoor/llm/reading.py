@@ -66,7 +66,8 @@ def graph(df: DataFrame, key: str, text: str, opinions: DataFrame) -> DataFrame:
 
 
 def few(rows: DataFrame, most: int = 200_000) -> bool:
-    return len(rows.select(F.lit(1)).limit(most + 1).toPandas()) <= most
+    """Whether the rows (a key and a number) are so few that they may be broadcast."""
+    return rows.limit(most + 1).count() <= most
 
 
 def mixed(starts: list[np.ndarray], ends: list[np.ndarray]) -> np.ndarray:

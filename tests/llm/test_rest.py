@@ -89,6 +89,38 @@ def test_recall_of_the_relaxed_search_on_chosen_queries(spark, monkeypatch):
     assert len({(r.id, r.other) for r in got} & want) >= 0.9 * len(want) and len(got) == len(want)
 
 
+def test_search_shuffles_no_more_rows_at_once_than_there_are_entries(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD", 64)
+    monkeypatch.setattr(vectors, "LEAF", 8)
+    monkeypatch.setattr(vectors, "ROUND", 100, raising=False)
+    rows, sent, search = points(1500, 8), [], vectors.search
+    df = spark.createDataFrame(rows, "id string, vec array<float>")
+
+    def counted(queries, homes, *rest):
+        sent.append((queries.count(), homes.count()))
+        return search(queries, homes, *rest)
+
+    monkeypatch.setattr(vectors, "search", counted)
+    got = {(r.id, r.other) for r in vectors.most_similar(df, dim=16, k=4, min_cosine=0.9, relax=1.0).collect()}
+    assert got == {(i, o) for i, w in brute(rows, 4, 0.9).items() for o in w}
+    # each entry once in all; in a round about as many rows as entries, and one shard's at most beyond
+    assert sum(h for _, h in sent) == 1500 and max(q + h for q, h in sent) <= 2 * 1500 and len(sent) > 2
+
+
+def test_cells_meet_few_of_many_shards():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(8000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cells = vectors.Cells(x, 250)
+    met = sum(len(rows) for _, rows in cells.visit(x, np.full(len(x), np.sqrt(0.2)), 5.0)) / len(x)
+    assert 1 < met < 20  # halving by the distance to a point met 59 of 256
+    other = 0.92 * x + np.sqrt(1 - 0.92**2) * (w := rng.normal(size=x.shape)) / np.linalg.norm(w, axis=1, keepdims=True)
+    home, found = cells.route((other / np.linalg.norm(other, axis=1, keepdims=True)).astype(np.float32)), 0
+    for cell, rows in cells.visit(x, np.full(len(x), np.sqrt(0.2)), 5.0):
+        found += (home[rows] == cell).sum()
+    assert found >= 0.996 * len(x)  # as many as the halving
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame(BAD, "id string, vec array<float>")
     assert vectors.most_similar(df, dim=16, min_cosine=0.5).count() == 0 and vectors.most_similar(df.limit(0), dim=16).count() == 0

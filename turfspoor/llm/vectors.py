@@ -1,21 +1,24 @@
-"""Most similar vectors for every vector: vantage-point trees per shard, relaxed pruning.
+"""Most similar vectors for every vector: cells around centres, in shards and within them, relaxed pruning.
 
-A vantage-point tree over a bounded, hash-chosen sample routes vectors to shards: at each node the
-distance to a vantage point decides the side. Every vector is indexed in exactly one shard. A query
-goes to every shard that the relaxed triangle inequality cannot rule out, |d(q, p) - radius| <=
-tau / relax; within a shard a second tree prunes in the same way and its leaves are compared as
-matrix blocks. ``relax`` = 1 restores exact search. Distances are Euclidean between unit vectors,
-so an order by distance is an order by cosine.
+The centres of a bounded, hash-chosen sample cut the space into cells, one a shard: a vector belongs to the
+shard whose centre is nearest. Every vector is indexed in exactly one shard. A query goes to every shard
+that the relaxed bound cannot rule out: its distance to the plane halfway between its own centre c and
+another centre o, (q c - q o) / |c - o|, is at most WIDER * tau / relax. Within a shard smaller cells prune in
+the same way and are compared as matrix blocks. ``relax`` = 1 restores exact search. Distances are
+Euclidean between unit vectors, so an order by distance is an order by cosine.
 
-For near neighbours the difference of two distances to a vantage point is far below the bound that
-the triangle inequality allows (about d / sqrt(dimensions)), so factors of 4 to 6 lose next to nothing
-in 64 dimensions; ``recall`` measures it against brute force.
+For near neighbours the difference of two projections on a line is far below the bound that the distance
+allows (about d / sqrt(dimensions)), so factors of 4 to 6 lose next to nothing in 64 dimensions; README has
+the recall against brute force. A cell is ruled out by one test, not by one at each level of a tree, so
+that a query meets few of many cells.
 
 Equal vectors are one entry with their ids behind it, so a third of all rows being copies does not
 unbalance a shard; of the ids of one entry only the k + 1 smallest can be among anybody's top k.
 
 Each entry is in one shard and goes there once. Only a shard to which more than QUERIES queries come,
-as the routed sample tells, is searched by several tasks, each with a copy of its entries.
+as the routed sample tells, is searched by several tasks, each with a copy of its entries. The shards are
+searched in rounds: what one round shuffles is about as many rows as there are entries (or ROUND), and it is
+deleted before the next.
 """
 
 from __future__ import annotations
@@ -25,75 +28,64 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turfspoor.session import join_hot, written
+from turfspoor.session import discard, join_hot, written
 
 #: Bound of the sample that the router is fitted on, and entries aimed at in one shard.
 SAMPLE, SHARD, QUERIES, LEAF = 20_000, 16_384, 65_536, 128
+#: Rows that a round of shards shuffles at least, and how much wider than tau / relax the margin of a cell is.
+ROUND, WIDER = 1 << 20, 1.6
 
 
-class Tree:
-    """A vantage-point tree in arrays; ``leaves`` holds row numbers of the fitted matrix."""
+class Cells:
+    """Unit centres of about ``count`` cells, fitted on at most 32 rows a cell (spherical k-means)."""
 
-    def __init__(self, x: np.ndarray, leaf: int, depth: int = 64, seed: int = 3):
-        self.nodes: list = []  # (point, radius, inside, outside) or ("leaf", number)
-        self.leaves: list[np.ndarray] = []
+    def __init__(self, x: np.ndarray, count: int, seed: int = 3):
         rng = np.random.default_rng(seed)
-        stack = [(np.arange(len(x)), 0, None, 0)]
-        while stack:
-            rows, level, parent, side = stack.pop()
-            number = len(self.nodes)
-            if parent is not None:
-                self.nodes[parent][side] = number
-            split = self._split(x, rows, rng) if len(rows) > leaf and level < depth else None
-            if split is None:
-                self.nodes.append([None, 0.0, len(self.leaves), -1])
-                self.leaves.append(rows)
-                continue
-            point, radius, near = split
-            self.nodes.append([point, radius, -1, -1])
-            stack += [(rows[near], level + 1, number, 2), (rows[~near], level + 1, number, 3)]
-
-    @staticmethod
-    def _split(x: np.ndarray, rows: np.ndarray, rng):
-        """The vantage point whose distances to the rows spread most, of a few; None if none splits."""
-        probe = x[rng.choice(rows, min(24, len(rows)), replace=False)]
-        seen = x[rng.choice(rows, min(512, len(rows)), replace=False)]
-        point = probe[np.argmax(distances(seen, probe).std(axis=0))]
-        d = distances(x[rows], point[None, :])[:, 0]
-        radius = float(np.median(d))
-        near = d < radius
-        return (point, radius, near) if 0 < near.sum() < len(rows) else None
-
-    def visit(self, q: np.ndarray, tau, relax: float):
-        """(leaf, rows of q) for each leaf that its queries may not skip, nearer sides first.
-
-        ``tau`` is an array that may shrink while the search goes on.
-        """
-        stack = [(0, np.arange(len(q)), None)]
-        while stack:
-            number, rows, margin = stack.pop()
-            if margin is not None:  # the far side: only who still may not skip it
-                keep = margin <= tau[rows] / relax
-                rows = rows[keep]
-            if not len(rows):
-                continue
-            point, radius, inside, outside = self.nodes[number]
-            if point is None:
-                yield inside, rows
-                continue
-            gap = distances(q[rows], point[None, :])[:, 0] - radius
-            near = gap < 0
-            for side, own in ((inside, near), (outside, ~near)):
-                stack.append((side, rows[~own], np.abs(gap[~own])))
-            stack.append((inside, rows[near], None))
-            stack.append((outside, rows[~near], None))
+        if len(x) > 32 * count:
+            x = x[rng.choice(len(x), 32 * count, replace=False)]
+        self.centres = x[rng.choice(len(x), min(count, len(x)), replace=False)] if len(x) else np.zeros((1, x.shape[1]), np.float32)
+        for _ in range(3 if 1 < len(self.centres) < len(x) else 0):
+            own = self.route(x)
+            order = np.argsort(own, kind="stable")
+            sums = np.add.reduceat(x[order].astype(float), np.flatnonzero(np.r_[True, np.diff(own[order]) > 0]))
+            length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+            self.centres = single((sums / np.maximum(length, 1e-12))[length[:, 0] > 1e-6]) if (length > 1e-6).any() else self.centres
+
+    def near(self, q: np.ndarray):
+        """(first row, products with all centres, own cell) of each block of rows."""
+        step = max(1, (1 << 22) // len(self.centres))
+        for at in range(0, len(q), step):
+            s = q[at : at + step] @ self.centres.T
+            yield at, s, s.argmax(axis=1)
 
     def route(self, x: np.ndarray) -> np.ndarray:
-        """The one leaf of each row."""
-        out = np.zeros(len(x), np.int32)
-        for leaf, rows in self.visit(x, np.full(len(x), -1.0), 1.0):
-            out[rows] = leaf
-        return out
+        """The one cell of each row."""
+        return np.concatenate([np.zeros(0, np.int64), *[own for _, _, own in self.near(x)]])
+
+    def met(self, q: np.ndarray, tau: np.ndarray, relax: float | None):
+        """(first row, own cell, whether a row may not skip a cell) of each block of rows; without ``relax`` only its own. A row without ``tau`` skips all."""
+        for at, s, own in self.near(q):
+            here, there = np.arange(len(s)), np.full(len(s), np.nan) if relax is None else single(tau[at : at + len(s)]) * np.float32(WIDER / relax)
+            few, which = np.unique(own, return_inverse=True)
+            # a millionth for rounding, which counts where two centres are all but equal
+            may = s >= (s[here, own] - np.float32(1e-6))[:, None] - there[:, None] * distances(self.centres[few], self.centres)[which]
+            may[here, own] = ~np.isnan(tau[at : at + len(s)])
+            yield at, own, may
+
+    def visit(self, q: np.ndarray, tau: np.ndarray, relax: float):
+        """(cell, rows of q) for each cell that its queries may not skip, their own cells first."""
+        cells, may = np.zeros(len(q), np.int64), np.zeros((len(self.centres), len(q)), bool)
+        for at, own, part in self.met(q, tau, relax):
+            cells[at : at + len(own)], may[:, at : at + len(own)] = own, part.T
+        may[cells, np.arange(len(q))] = False
+        yield from ((c, rows) for c, rows in enumerate(split(cells, len(self.centres))) if len(rows))
+        yield from ((c, rows) for c, rows in enumerate(map(np.flatnonzero, may)) if len(rows))
+
+
+def split(cells: np.ndarray, count: int) -> list[np.ndarray]:
+    """The rows of each cell."""
+    order = np.argsort(cells, kind="stable")
+    return np.split(order, np.searchsorted(cells[order], np.arange(1, count)))
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -142,95 +134,124 @@ def entries(df: DataFrame, id_column: str, vec: str, dim: int, k: int) -> tuple[
     """
     usable = df.select(F.col(id_column).cast("string").alias("_i"), F.col(vec).alias("_v")).mapInPandas(unit_vectors("_i", "_v", dim), "id string, d binary, v binary")
     usable = written(usable, "usable")
-    member = written(usable.groupBy("id").agg(F.min("d").alias("d")), "members")
+    member = written(usable.groupBy("id").agg(F.min("d").alias("d")), "members", sweep=True)
     least = Window.partitionBy("d").orderBy("id")
     ids = member.withColumn("at", F.row_number().over(least)).filter(F.col("at") <= k + 1).groupBy("d").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     counts = member.groupBy("d").agg(F.count(F.lit(1)).alias("n"))
     known = usable.select("d", "v").dropDuplicates(["d"])
     found = known.join(counts, "d").join(ids, "d").withColumn("e", F.monotonically_increasing_id())
-    return written(found.select("e", "d", "v", "n", "ids"), "entries"), member
+    found = written(found.select("e", "d", "v", "n", "ids"), "entries", sweep=True)
+    discard(usable)
+    return found, member
 
 
 class Router:
-    """A tree over at most SAMPLE entries, taken evenly by a hash, with as many leaves as shards."""
+    """The cells of the shards, fitted on at most SAMPLE entries, taken evenly by a hash."""
 
     def __init__(self, found: DataFrame, dim: int):
         self.n, self.dim = found.count(), dim
         share = min(1.0, SAMPLE / max(self.n, 1))
         picked = found.filter(F.pmod(F.xxhash64(F.lit(11), "d"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("v").limit(2 * SAMPLE).collect()
-        depth = int(np.ceil(np.log2(max(1, -(-self.n // SHARD)))))
         self.sample = single(unpack([r.v for r in sorted(picked)], dim)) if picked else np.zeros((0, dim), np.float32)
-        self.tree = Tree(self.sample, leaf=1, depth=depth)
-
-    def blocks(self, tau: float, relax: float) -> np.ndarray:
-        """Into how many blocks the queries of each shard are cut, as the sample is routed with that radius."""
-        met = np.zeros(len(self.tree.leaves))
-        for leaf, rows in self.tree.visit(self.sample, np.full(len(self.sample), tau), relax):
-            met[leaf] += len(rows)
-        return np.maximum(1, np.ceil(met * self.n / max(1, len(self.sample)) / QUERIES)).astype(np.int64)
+        self.cells = Cells(self.sample, max(1, -(-self.n // SHARD)))
+
+    def plan(self, tau: float, relax: float | None) -> tuple[np.ndarray, np.ndarray]:
+        """Into how many blocks the queries of each shard are cut, and its round, as the sample is routed with that radius."""
+        met, home = np.zeros((2, len(self.cells.centres)))
+        for _, own, may in self.cells.met(self.sample, np.full(len(self.sample), tau), relax):
+            met += may.sum(axis=0)
+            home += np.bincount(own, minlength=len(home))
+        times = self.n / max(1, len(self.sample))
+        blocks = np.maximum(1, np.ceil(met * times / QUERIES)).astype(np.int64)
+        rows = (met + home * blocks) * times
+        count = max(1, int(np.ceil(rows.sum() / max(self.n, ROUND))))
+        turn = (np.cumsum(rows) - rows / 2) * count / max(1.0, rows.sum())
+        return blocks, np.minimum(count - 1, turn.astype(np.int64))
 
 
 def neighbours(found: DataFrame, dim: int, k: int, min_cosine: float | None, relax: float, queries: DataFrame | None = None) -> DataFrame:
-    """(e, other, cosine): the k nearest other entries of each entry in ``queries`` (default: all)."""
+    """(e, other, cosine): the k nearest other entries of each entry in ``queries`` (default: all). The table ``found`` is deleted."""
     router = Router(found, dim)
-    asked = found if queries is None else queries
+
+    def start(tau):
+        return found.select("e", "v", tau.alias("tau")) if queries is None else found.select("e", "v").join(queries.select("e", tau.alias("tau")), "e", "left")
+
     if min_cosine is None:
         # first the own shard gives each query a distance to its k-th neighbour, then the others
-        blocks = router.blocks(-1.0, 1.0)
-        own = routed(asked.select("e", "v", F.lit(2.0).alias("tau")), router.tree, dim, None, blocks)
-        first = written(search(own, placed(found, router.tree, dim, blocks), dim, k, relax), "own")
-        reach = written(first.groupBy("e").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("cosine")))).alias("tau")), "reach")
-        start = asked.select("e", "v").join(reach, "e", "left").withColumn("tau", F.coalesce("tau", F.lit(2.0)))
-        most = reach.agg(F.percentile_approx(F.coalesce("tau", F.lit(2.0)), 0.9)).first()[0]
-        blocks = router.blocks(2.0 if most is None else most, relax)
+        first = rounds(start(F.lit(2.0)), router, dim, k, 2.0, relax, alone=True)
+        reach = written(first.groupBy("e").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("cosine")))).alias("reach")), "reach", sweep=True)
+        most = reach.agg(F.percentile_approx(F.coalesce("reach", F.lit(2.0)), 0.9)).first()[0]
+        asked = start(F.lit(2.0)).join(reach, "e", "left").select("e", "v", F.when(F.col("tau").isNotNull(), F.coalesce("reach", "tau")).alias("tau"))
+        hits = rounds(asked, router, dim, k, 2.0 if most is None else most, relax, spent=found).unionByName(first)
     else:
         reach = float(np.sqrt(2 - 2 * min_cosine)) + 1e-6
-        start = asked.select("e", "v", F.lit(reach).alias("tau"))
-        blocks = router.blocks(reach, relax)
-    hits = search(routed(start, router.tree, dim, relax, blocks), placed(found, router.tree, dim, blocks), dim, k, relax)
+        hits = rounds(start(F.lit(reach)), router, dim, k, reach, relax, spent=found)
+    return nearest(hits, k)
+
+
+def nearest(hits: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("e").orderBy(F.desc("cosine"), "other")
     return hits.dropDuplicates(["e", "other"]).withColumn("at", F.row_number().over(best)).filter(F.col("at") <= k).select("e", "other", "cosine")
 
 
-def routed(start: DataFrame, tree: Tree, dim: int, relax: float | None, blocks: np.ndarray) -> DataFrame:
-    """(e, v, tau, shard, block): each query (e, v, tau) once for every shard that it may not skip.
+def rounds(start: DataFrame, router: Router, dim: int, k: int, tau: float, relax: float, alone: bool = False, spent: DataFrame | None = None) -> DataFrame:
+    """(e, other, cosine): the queries of ``start`` (e, v, tau) searched round by round; ``alone``: each in its own shard only.
 
-    Without ``relax`` only for its own shard. The worker gives one row for each query; its copies are
-    made behind it, as a place of shard and block in one number.
+    An entry without ``tau`` is no query. ``tau`` is a usual radius. Found rows are cut to the k nearest
+    when they have become many. The table ``spent`` is deleted as soon as it is routed.
     """
+    blocks, turn = router.plan(tau, None if alone else relax)
+    at = written(routed(start, router.cells, dim, None if alone else relax, blocks, turn), "routed", sweep=True)
+    if spent is not None:
+        discard(spent)
+    hits, many = None, 0
+    for n in range(int(turn.max()) + 1):
+        own = at.filter(F.col("turn") == n).select("e", "v", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        asked = at.select("e", "v", "tau", F.explode(F.col("places")[n]).alias("place"))
+        asked = asked.select("e", "v", "tau", F.shiftright("place", 32).cast("int").alias("shard"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("block"))
+        new = written(search(asked, own, dim, k, relax), "hits", sweep=True)
+        many += new.count()
+        hits = new if hits is None else hits.unionByName(new)
+        if many > 2 * k * max(router.n, ROUND // 8):
+            old, hits = hits, written(nearest(hits, k), "hits", sweep=True)
+            discard(old)
+            many = hits.count()
+    discard(at)
+    return hits
+
+
+def routed(start: DataFrame, cells: Cells, dim: int, relax: float | None, blocks: np.ndarray, turn: np.ndarray) -> DataFrame:
+    """(e, v, tau, shard, blocks, turn, places): each entry with its shard, the blocks and the round of that, and by round the places where it is a query.
+
+    A place is a shard that it may not skip (without ``relax`` its own only) and a block, in one number.
+    """
+    last = int(turn.max()) + 1
 
     def run(batches):
-        for pdf in batches:
-            x, own = single(unpack(pdf["v"], dim)), pdf["e"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-            tau = pdf["tau"].to_numpy() if relax is not None else np.full(len(pdf), -1.0)
-            met = [(leaf, rows) for leaf, rows in tree.visit(x, tau, relax or 1.0)]
-            rows = np.concatenate([r for _, r in met]) if met else np.zeros(0, np.int64)
-            shard = np.repeat([leaf for leaf, _ in met], [len(r) for _, r in met]).astype(np.int64)
-            place = (shard << 32) + (own[rows] % blocks[shard].astype(np.uint64)).astype(np.int64)
-            order = np.argsort(rows, kind="stable")
-            yield pdf.assign(places=np.split(place[order], np.searchsorted(rows[order], np.arange(1, len(pdf)))))
-
-    many = start.mapInPandas(run, "e long, v binary, tau double, places array<long>").select("e", "v", "tau", F.explode("places").alias("place"))
-    return many.select("e", "v", "tau", F.shiftright("place", 32).cast("int").alias("shard"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("block"))
-
-
-def placed(found: DataFrame, tree: Tree, dim: int, blocks: np.ndarray) -> DataFrame:
-    """(e, v, shard, block): each entry in its shard, once for each block of queries that the shard has."""
-
-    def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                shard = tree.route(single(unpack(pdf["v"], dim)))
-                times = blocks[shard]
-                rows = np.repeat(np.arange(len(pdf)), times)
-                block = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
-                yield pdf.iloc[rows].assign(shard=shard[rows].astype(np.int32), block=block.astype(np.int32))
+        import pyarrow as pa
 
-    return found.select("e", "v").mapInPandas(run, "e long, v binary, shard int, block int")
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, tau = single(unpack(batch["v"].to_pylist(), dim)), batch["tau"].to_pandas().to_numpy(dtype=float)
+            spread = (batch["e"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+            home, places, bounds = np.zeros(len(x), np.int64), [], []
+            for at, own, may in cells.met(x, tau, relax):
+                home[at : at + len(own)] = own
+                rows, shard = np.nonzero(may)  # by row, then by shard, and so by round
+                places.append((shard << 32) + spread[at + rows] % blocks[shard])
+                bounds.append(np.bincount(rows * last + turn[shard], minlength=len(own) * last))
+            bounds = np.r_[0, np.cumsum(np.concatenate(bounds))].astype(np.int32)
+            each = pa.ListArray.from_arrays(bounds, np.concatenate(places))
+            each = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * last, each)
+            more = [pa.array(c.astype(np.int32)) for c in (home, blocks[home], turn[home])]
+            yield pa.RecordBatch.from_arrays([batch["e"], batch["v"], batch["tau"], *more, each], names=["e", "v", "tau", "shard", "blocks", "turn", "places"])
+
+    return start.select("e", "v", "tau").mapInArrow(run, "e long, v binary, tau double, shard int, blocks int, turn int, places array<array<long>>")
 
 
 def search(queries: DataFrame, homes: DataFrame, dim: int, k: int, relax: float) -> DataFrame:
-    """(e, other, cosine): each shard (or block of its queries) is searched by one task, with one tree."""
+    """(e, other, cosine): each shard (or block of its queries) is searched by one task, with cells of its own."""
     pair = queries.groupBy("shard", "block").cogroup(homes.groupBy("shard", "block"))
 
     def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
@@ -241,16 +262,17 @@ def search(queries: DataFrame, homes: DataFrame, dim: int, k: int, relax: float)
         vectors, asked = single(exact), single(given)
         # pruning keeps the radius that a query came with: it shrinks only for the leaf test, since the
         # relaxed bound of a shrunken radius would lose neighbours at the edge of the k
-        tree, reach, kept = Tree(vectors, LEAF), q["tau"].to_numpy(dtype=float), {}
+        cells, reach, kept = Cells(vectors, -(-len(vectors) // LEAF)), q["tau"].to_numpy(dtype=float), {}
+        members_of = split(cells.route(vectors), len(cells.centres))
         least = (1 - reach * reach / 2 - 2e-6).astype(np.float32)
-        for leaf, rows in tree.visit(asked, reach, relax):
-            inside = tree.leaves[leaf]
+        for cell, rows in cells.visit(asked, reach, relax):
+            inside = members_of[cell]
             for at in range(0, len(rows), 2048):
                 part = rows[at : at + 2048]
                 for to in range(0, len(inside), 2048):
                     members = inside[to : to + 2048]
                     near = asked[part] @ vectors[members].T
-                    i, j = np.nonzero(near >= least[part][:, None])
+                    i, j = np.divmod(np.flatnonzero(near >= least[part][:, None]), len(members))
                     keep = own[part[i]] != names[members[j]]
                     i, j = i[keep], j[keep]
                     if not len(i):
@@ -284,11 +306,12 @@ def most_similar(df: DataFrame, id_column: str = "id", vec: str = "vec", dim: in
     condition on ``id`` that selects the queries; they are searched in all rows. An empty table or
     one without usable vectors gives no rows; other columns of ``df`` are not read.
     """
-    found, member = entries(df, id_column, vec, dim, k)
+    packed, member = entries(df, id_column, vec, dim, k)
+    found = written(packed.drop("v"), "ids")
     if only is not None:
         member = member.filter(only)
     queries = None if only is None else found.join(member.select("d").distinct(), "d", "left_semi")
-    near = neighbours(found, dim, k, min_cosine, relax, queries)
+    near = neighbours(packed, dim, k, min_cosine, relax, queries)
     ids = found.select(F.col("e").alias("other"), "ids")
     floor = F.lit(-2.0 if min_cosine is None else min_cosine)
     own = found if queries is None else queries
@@ -300,6 +323,6 @@ def most_similar(df: DataFrame, id_column: str = "id", vec: str = "vec", dim: in
     # k + 1: an id is skipped in its own list
     top = flat.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k + 1)
     lists = top.groupBy("e").agg(F.array_sort(F.collect_list(F.struct("at", "other", "cosine"))).alias("list"))
-    lists = written(lists.join(found.select("e", "d", "n"), "e").select("d", "n", "list"), "lists")
+    lists = written(lists.join(found.select("e", "d", "n"), "e").select("d", "n", "list"), "lists", sweep=True)
     each = join_hot(member, lists, ["d"], F.col("n")).select("id", F.expr(f"slice(filter(list, x -> x.other <> id), 1, {k})").alias("list"))
     return each.select("id", F.posexplode("list").alias("at", "x")).select("id", "x.other", "x.cosine", (F.col("at") + 1).alias("rank"))

@@ -50,7 +50,8 @@ def accent_table() -> tuple[str, str]:
 def fold(text: Column) -> Column:
     """Without accents, lower-cased; accents go first, since lower-casing may make new marks."""
     source, target = accent_table()
-    return F.lower(F.translate(text, source, target))
+    ascii_only = F.octet_length(text) == F.length(text)  # it has no accents, and looking up each character is slow
+    return F.lower(F.when(ascii_only, text).otherwise(F.translate(text, source, target)))
 
 
 def tokens(text: Column) -> Column:

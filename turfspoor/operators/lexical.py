@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turfspoor.functions.text import coarse_stems, content_words, tokens
+from turfspoor.operators import shards
 from turfspoor.session import written
 
 # --- fixed values: weights of the columns and parameters of the score ------------------------------
@@ -23,6 +24,8 @@ WEIGHTS = {"title": 6.0, "section": 3.0, "text": 1.0, "stems": 1.0}
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 LIST_SIZE, RRF_K = 40, 60
 ATTEMPT_WEIGHTS = {1: 1.0, 2: 0.7, 3: 0.5}
+#: Asked words up to which they are broadcast to the postings instead of shuffling these.
+WORDS_SENT = 400_000
 # ---------------------------------------------------------------------------------------------------
 
 PHRASES = "question_id long, attempt int, phrase_no int, tokens array<string>, prefix boolean, cols array<string>"
@@ -37,17 +40,24 @@ class LexicalIndex:
         self.stats = stats
 
     @classmethod
-    def of(cls, chunks: DataFrame, stems: Column | None = None) -> LexicalIndex:
+    def of(cls, chunks: DataFrame, stems: Column | None = None, keep: bool = False) -> LexicalIndex:
+        """The index of chunks, worked out by each search or, with ``keep``, from the lists of their tokens, which are written once.
+
+        The lists cost no shuffle and no sort, so they suit a table of questions, which reads most postings.
+        """
         cols = [c for c in ("title", "section", "text") if c in chunks.columns]
         ordinal = F.col("ordinal") if "ordinal" in chunks.columns else F.lit(0)
         parts = {c: tokens(F.col(c)) for c in cols}
         if stems is not None:
             parts["stems"] = stems
         split = chunks.select("ord", "chunk_id", "source", "path", ordinal.cast("int").alias("ordinal"), *[e.alias(f"t_{c}") for c, e in parts.items()])
+        split = split.withColumn("len", sum((F.size(f"t_{c}") for c in parts), F.lit(0)))
+        if keep:
+            split = written(split, "tokens")
         lists = F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"t_{c}").alias("t")) for c in parts])
         postings = split.select("ord", F.explode_outer(lists).alias("x")).select("ord", "x.col", F.posexplode_outer("x.t").alias("pos", "term")).filter("term is not null")
-        total = sum((F.size(f"t_{c}") for c in parts), F.lit(0))
-        return cls(postings.select("term", "ord", "col", "pos"), split.select("ord", "chunk_id", "source", "path", "ordinal", total.alias("len")))
+        found = cls(postings.select("term", "ord", "col", "pos"), split.select("ord", "chunk_id", "source", "path", "ordinal", "len"))
+        return cls(found.postings, found.lengths, written(found.terms, "terms"), tuple(found.statistics().first())) if keep else found
 
     def stored(self) -> LexicalIndex:
         """The same index with its tables written to the shared folder, for searches that use them often.
@@ -72,14 +82,20 @@ class LexicalIndex:
     def document_frequency(self) -> DataFrame:
         return self.live(self.postings).groupBy("term").agg(F.count_distinct("ord").alias("df"))
 
-    def occurrences(self, phrases: DataFrame) -> DataFrame:
-        """(question_id, attempt, phrase_no, ord, col, start, size) of every occurrence of a phrase."""
+    def occurrences(self, phrases: DataFrame, many: bool = False) -> DataFrame:
+        """(question_id, attempt, phrase_no, ord, col, start, size) of every occurrence of a phrase.
+
+        With ``many`` the asked words are counted and, if they are few enough, sent to the postings.
+        """
         keys = ["question_id", "attempt", "phrase_no"]
         words = phrases.filter(F.size("tokens") > 0).select(*keys, "cols", F.size("tokens").alias("size"), F.posexplode("tokens").alias("k", "token"), "prefix")
         words = words.withColumn("starts_with", F.col("prefix") & (F.col("k") == F.col("size") - 1)).drop("prefix")
         exact = words.filter("not starts_with").withColumnRenamed("token", "term")
         prefixed = words.filter("starts_with")
         asked = exact.unionByName(self._widened(prefixed, exact.columns)) if prefixed.take(1) else exact
+        if many:
+            asked = written(asked, "asked")
+            asked = F.broadcast(asked) if asked.count() <= WORDS_SENT else asked
         found = self.live(self.postings.join(asked, "term").filter(F.col("cols").isNull() | F.array_contains("cols", F.col("col"))))
         starts = found.withColumn("start", F.col("pos") - F.col("k"))
         one = starts.filter("size = 1").select(*keys, "ord", "col", "start", "size")
@@ -102,17 +118,49 @@ class LexicalIndex:
         ``counted`` has the occurrences that say how common a phrase is, if these are others.
         """
         keys = ["question_id", "attempt", "phrase_no"]
-        weight = F.coalesce(*[F.when(F.col("col") == c, F.lit(w)) for c, w in WEIGHTS.items()], F.lit(1.0))
-        f = occurrences.groupBy(*keys, "ord").agg(F.sum(weight).alias("f"))
+        f = occurrences.groupBy(*keys, "ord").agg(F.sum(column_weight()).alias("f"))
         if counted is None:
             n = f.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         else:
             n = counted.groupBy(*keys).agg(F.count_distinct("ord").alias("n"))
         facts = f.join(n, keys).join(self.lengths.select("ord", "len"), "ord").crossJoin(F.broadcast(self.statistics()))  # one row
-        ratio = (F.col("n_chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5)
-        idf = F.greatest(F.log(ratio), F.lit(IDF_FLOOR))
-        part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
-        return facts.select(*keys, "ord", part.alias("part"))
+        return facts.select(*keys, "ord", bm25_part().alias("part"))
+
+    def best_matches(self, phrases: DataFrame, any_of: Column, limit: int, only: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
+        """(question_id, attempt, ord, score): of a table of questions the best ``limit`` chunks of each attempt, and some more.
+
+        Each phrase is looked up once, and shards of chunks answer with their own best (``shards.py``), so
+        the true best are still to be taken. ``any_of`` says over the attempts whether any phrase will do.
+        ``only`` (question_id, only) restricts questions to a source. With ``documents`` (question_id, source,
+        path, ord), chunks that are shown, the limit is for each of their documents and they don't count.
+        """
+        form = F.to_json(F.struct("tokens", "prefix", "cols"))
+        phrases = written(phrases.withColumn("form", form), "phrases")
+        forms = written(phrases.groupBy("form").agg(*[F.first(c).alias(c) for c in ("tokens", "prefix", "cols")]).withColumn("phrase", F.monotonically_increasing_id()), "forms")
+        each = forms.select(F.col("phrase").alias("question_id"), F.lit(1).alias("attempt"), F.lit(0).alias("phrase_no"), "tokens", "prefix", "cols")
+        weighed = self.occurrences(each, many=True).groupBy("question_id", "ord").agg(F.sum(column_weight()).alias("f"))
+        found = written(weighed.withColumnRenamed("question_id", "phrase"), "found")
+        asked = phrases.join(forms.select("form", "phrase"), "form").select("question_id", F.col("attempt").cast("int").alias("attempt"), "phrase_no", "phrase", any_of.alias("any"))
+        lengths = self.lengths.select("ord", "source", "path", "len")
+        group, asked = F.lit(-1).cast("long"), asked.withColumn("only", F.lit(None).cast("long"))
+        if documents is not None:
+            keys = ["source", "path"]
+            codes = written(documents.filter("source is not null and path is not null").select(*keys).distinct().withColumn("group", F.monotonically_increasing_id()), "groups")
+            hit = documents.join(codes, keys, "left").groupBy("question_id").agg(F.collect_set("group").alias("groups"), F.collect_set("ord").alias("shown"))
+            asked = asked.join(hit, "question_id")
+        elif only is not None:
+            keys = ["source"]
+            codes = written(only.filter("only is not null").select(F.col("only").alias("source")).distinct().withColumn("group", F.monotonically_increasing_id()), "groups")
+            asked = asked.drop("only").join(only.join(codes.select(F.col("source").alias("only"), F.col("group").alias("code")), "only", "left"), "question_id").select(*asked.drop("only").columns, F.col("code").alias("only"))
+        if documents is not None or only is not None:
+            lengths, group = lengths.join(codes, keys, "left"), F.coalesce("group", F.lit(-1).cast("long"))
+        count = max(self.lengths.sparkSession.sparkContext.defaultParallelism, -(-found.count() // shards.SHARD))
+        n = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+        known = found.join(F.broadcast(n) if forms.count() <= WORDS_SENT else n, "phrase")
+        dealt = known.join(lengths.select("ord", "len", group.alias("group")), "ord").crossJoin(F.broadcast(self.statistics()))
+        # behind the join, which may split and merge its partitions: all parts of a chunk must be in one shard
+        parts = dealt.select("phrase", "ord", "group", bm25_part().alias("part")).repartition(count, "ord")
+        return shards.matches(written(asked, "asked"), parts, limit)
 
     def match(self, phrases: DataFrame, mode: Column) -> DataFrame:
         """(question_id, attempt, ord, chunk_id, source, path, score) of the chunks that match.
@@ -129,6 +177,18 @@ class LexicalIndex:
         return hit.join(self.lengths, "ord").select("question_id", "attempt", "ord", "chunk_id", "source", "path", "score")
 
 
+def column_weight() -> Column:
+    """The weight of the column that an occurrence is in."""
+    return F.coalesce(*[F.when(F.col("col") == c, F.lit(w)) for c, w in WEIGHTS.items()], F.lit(1.0))
+
+
+def bm25_part() -> Column:
+    """The share of a phrase in the score of a chunk, of n, f, len, n_chunks and mean_len."""
+    ratio = (F.col("n_chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5)
+    idf = F.greatest(F.log(ratio), F.lit(IDF_FLOOR))
+    return idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
+
+
 def sorted_terms(postings: DataFrame) -> DataFrame:
     """The distinct terms in their order, so that the terms of a prefix stand together."""
     return postings.select("term").distinct().repartitionByRange("term").sortWithinPartitions("term")
@@ -161,6 +221,11 @@ def attempts(questions: DataFrame, stemmer: str = "grof") -> DataFrame:
     return out
 
 
+def only_of(questions: DataFrame) -> DataFrame | None:
+    """(question_id, only): the source to which each question is restricted, if questions can be."""
+    return questions.select("question_id", F.nullif(F.col("source"), F.lit("")).alias("only")) if "source" in questions.columns else None
+
+
 def word_list(index: LexicalIndex, questions: DataFrame, stemmer: str = "grof", limit: int = LIST_SIZE) -> DataFrame:
     """(question_id, ord, chunk_id, rank, weight): the word list of each question.
 
@@ -168,10 +233,9 @@ def word_list(index: LexicalIndex, questions: DataFrame, stemmer: str = "grof",
     brings its best ``limit`` and only chunks that are not yet in, so a list may end above the limit.
     ``questions`` may have a column ``source`` that restricts a question to one source.
     """
-    hits = index.match(attempts(questions, stemmer), F.when(F.col("attempt") == 3, "or").otherwise("and"))
-    if "source" in questions.columns:
-        hits = hits.join(questions.select("question_id", F.nullif(F.col("source"), F.lit("")).alias("only")), "question_id").filter("only is null or only = source")
-    top = best(hits, ["question_id", "attempt"], limit)
+    hits = index.best_matches(attempts(questions, stemmer), F.col("attempt") == 3, limit, only_of(questions))
+    # written: the list is put together out of several looks at its hits
+    top = written(best(hits, ["question_id", "attempt"], limit), "top")
     first = Window.partitionBy("question_id", "ord").orderBy("attempt")
     once = top.withColumn("nth", F.row_number().over(first)).filter("nth = 1")
     by_attempt = Window.partitionBy("question_id").orderBy("attempt").rangeBetween(Window.unboundedPreceding, -1)
@@ -180,7 +244,8 @@ def word_list(index: LexicalIndex, questions: DataFrame, stemmer: str = "grof",
     kept = once.join(filled.filter(F.col("before") < limit).select("question_id", "attempt"), ["question_id", "attempt"])
     place = Window.partitionBy("question_id").orderBy("attempt", "rank")
     weight = F.coalesce(*[F.when(F.col("attempt") == n, F.lit(w)) for n, w in ATTEMPT_WEIGHTS.items()])
-    return kept.select("question_id", "ord", "chunk_id", F.row_number().over(place).alias("rank"), weight.alias("weight"))
+    ranked = kept.select("question_id", "ord", F.row_number().over(place).alias("rank"), weight.alias("weight"))
+    return ranked.join(index.lengths.select("ord", "chunk_id"), "ord").select("question_id", "ord", "chunk_id", "rank", "weight")
 
 
 def name_lists(index: LexicalIndex, questions: DataFrame, names: Column, weight: float = 0.7, limit: int = LIST_SIZE) -> DataFrame:
@@ -194,8 +259,6 @@ def name_lists(index: LexicalIndex, questions: DataFrame, names: Column, weight:
     cols = F.array(F.lit("title"), F.lit("section"), F.lit("text"))
     shape = lambda df, attempt, phrase: df.select("question_id", attempt.cast("int").alias("attempt"), phrase.cast("int").alias("phrase_no"), tokens(F.array_join("words", " ")).alias("tokens"), F.lit(False).alias("prefix"), cols.alias("cols"))
     phrases = shape(each, F.col("list_no"), F.lit(0)).unionByName(shape(each.filter("count > 1"), F.col("count"), F.col("list_no")))
-    hits = index.match(phrases, F.lit("and"))
-    if "source" in questions.columns:
-        hits = hits.join(questions.select("question_id", F.nullif(F.col("source"), F.lit("")).alias("only")), "question_id").filter("only is null or only = source")
-    top = best(hits, ["question_id", "attempt"], limit)
+    hits = index.best_matches(phrases, F.lit(False), limit, only_of(questions))
+    top = best(hits, ["question_id", "attempt"], limit).join(index.lengths.select("ord", "chunk_id"), "ord")
     return top.select("question_id", F.col("attempt").alias("list_no"), "ord", "chunk_id", "rank", F.lit(weight).alias("weight"))

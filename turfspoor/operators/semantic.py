@@ -7,10 +7,14 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUESTIONS = 4096
+from turfspoor.session import written
+
+#: Questions that one scan of the vectors serves; questions and vectors that are compared by one product.
+QUESTIONS, TILE, WIDE = 65_536, 512, 8192
 
 
 class Embedder(Protocol):
@@ -140,20 +144,23 @@ def top_similar(questions: DataFrame, vectors: DataFrame, dim: int, limit: int =
 
     ``questions`` (question_id, vec, optional source) is cut into blocks of QUESTIONS rows, whose size
     is therefore bounded; each block is sent to the partitions of ``vectors`` (ord, source, vec), which
-    answer with their own best by matrix products. No pair beyond those leaves its task. With a source
-    a question sees only rows of that source. Vectors of another length take no part.
+    answer with their own best by matrix products. No pair beyond those leaves its task, and there are
+    no more tasks than keep the cores busy. With a source a question sees only rows of that source.
+    Vectors of another length take no part.
     """
     spark = questions.sparkSession
     has_source = "source" in questions.columns
     asked = questions.select("question_id", "vec", (F.nullif(F.col("source"), F.lit("")) if has_source else F.lit(None).cast("string")).alias("only")).filter(F.col("vec").isNotNull() & (F.size("vec") == dim))
     rows = vectors.select("ord", F.col("source").alias("source") if "source" in vectors.columns else F.lit(None).cast("string").alias("source"), "vec").filter(F.col("vec").isNotNull() & (F.size("vec") == dim))
-    parts = []
+    parts, tasks = [], 2 * spark.sparkContext.defaultParallelism
     for block in blocks_of(asked, QUESTIONS):
+        if len(block) == QUESTIONS and not parts:
+            rows = written(rows, "vectors")  # more blocks follow
         ids = np.array([r.question_id for r in block], np.int64)
         matrix = np.array([r.vec for r in block], np.float64).reshape(-1, dim)
         only = [r.only for r in block]
         shared = spark.sparkContext.broadcast((ids, matrix, only))
-        parts.append(rows.mapInPandas(block_search(shared, limit), "question_id long, ord long, similarity double"))
+        parts.append(rows.coalesce(tasks).mapInArrow(block_search(shared, limit), "question_id long, ord long, similarity double"))
     if not parts:
         return spark.createDataFrame([], "question_id long, ord long, similarity double, rank int")
     near = parts[0]
@@ -175,32 +182,77 @@ def blocks_of(questions: DataFrame, size: int):
         yield block
 
 
+class Nearest:
+    """The ``limit`` most similar rows of each of some questions, as far as rows have been seen."""
+
+    def __init__(self, matrix: np.ndarray, limit: int):
+        self.matrix, self.limit = matrix, limit
+        self.least = np.full(len(matrix), -np.inf)  # what a row must reach
+        self.question, self.ord, self.sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def see(self, x: np.ndarray, order: np.ndarray) -> None:
+        sims = self.matrix @ x.T
+        least = self.least
+        if len(order) > self.limit and np.isneginf(least).any():
+            least = np.maximum(least, np.partition(sims, len(order) - self.limit, axis=1)[:, len(order) - self.limit])
+        # rounding makes equal what differs by less than its unit
+        q, at = np.nonzero(sims >= (least - 2e-12)[:, None])
+        if len(q):
+            self.question, self.ord, self.sim = np.concatenate([self.question, q]), np.concatenate([self.ord, order[at]]), np.concatenate([self.sim, np.round(sims[q, at], 12)])
+            if len(self.question) > 3 * self.limit * len(self.matrix):
+                self.cut()
+
+    def cut(self) -> None:
+        at = np.lexsort((self.ord, -self.sim, self.question))
+        q = self.question[at]
+        begins = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
+        nth = np.arange(len(at)) - np.repeat(begins, np.diff(np.r_[begins, len(at)]))
+        last = at[nth == self.limit - 1]
+        self.least[self.question[last]] = self.sim[last]
+        at = at[nth < self.limit]
+        self.question, self.ord, self.sim = self.question[at], self.ord[at], self.sim[at]
+
+
 def block_search(shared, limit: int):
     def run(batches):
         ids, matrix, only = shared.value
-        kept = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
-        restricted = any(o is not None for o in only)
-        for pdf in batches:
-            for start in range(0, len(pdf), 8192):
-                part = pdf.iloc[start : start + 8192]
-                x = np.stack(part["vec"].to_numpy()).astype(np.float64)
-                order = part["ord"].to_numpy()
-                sims = np.round(matrix @ x.T, 12)
-                sources = part["source"].to_numpy() if restricted else None
-                for q in range(len(ids)):
-                    s, o = sims[q], order
-                    if only[q] is not None:
-                        mine = sources == only[q]
-                        s, o = s[mine], o[mine]
-                    s, o = np.concatenate([kept[q][0], s]), np.concatenate([kept[q][1], o])
-                    if len(s) > limit:
-                        edge = np.partition(-s, limit - 1)[limit - 1]
-                        near = -s <= edge
-                        s, o = s[near], o[near]
-                        best = np.lexsort((o, -s))[:limit]
-                        s, o = s[best], o[best]
-                    kept[q] = (s, o)
-        sizes = [len(s) for s, _ in kept]
-        yield pd.DataFrame({"question_id": np.repeat(ids, sizes), "ord": np.concatenate([o for _, o in kept]) if kept else [], "similarity": np.concatenate([s for s, _ in kept]) if kept else []}).astype({"ord": "int64", "similarity": "float64"})
+        asked: dict = {}
+        for n, o in enumerate(only):
+            asked.setdefault(o, []).append(n)
+        tiles = {o: [(np.array(n[a : a + TILE]), Nearest(matrix[n[a : a + TILE]], limit)) for a in range(0, len(n), TILE)] for o, n in asked.items()}
+        for source, x, order in _wide(batches, matrix.shape[1], set(asked) - {None}):
+            for o in tiles:
+                mine = slice(None) if o is None else source == o
+                if o is not None and not mine.any():
+                    continue
+                seen, ords = x[mine], order[mine]
+                for _, nearest in tiles[o]:
+                    nearest.see(seen, ords)
+        for numbers, nearest in (t for some in tiles.values() for t in some):
+            nearest.cut()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[numbers[nearest.question]]), pa.array(nearest.ord), pa.array(nearest.sim)], ["question_id", "ord", "similarity"])
 
     return run
+
+
+def _wide(batches, dim: int, sources: set):
+    """(source, vectors, ord) of WIDE rows at a time; sources that nobody asks for stay out."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            vec = batch.column("vec")
+            x = vec.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+            source = np.array(batch.column("source").to_pylist(), object) if sources else np.full(len(x), None)
+            held.append((source, x, batch.column("ord").to_numpy()))
+            size += len(x)
+        if size >= WIDE:
+            yield from _cut(held)
+            held, size = [], 0
+    if held:
+        yield from _cut(held)
+
+
+def _cut(held: list):
+    source, x, order = (np.concatenate(c) for c in zip(*held))
+    for a in range(0, len(x), WIDE):
+        yield source[a : a + WIDE], x[a : a + WIDE], order[a : a + WIDE]

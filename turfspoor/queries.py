@@ -8,7 +8,7 @@ from __future__ import annotations
 import contextlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turfspoor.config import Settings, Source
@@ -46,11 +46,25 @@ def stored_index(spark: SparkSession, folder: str) -> lexical.LexicalIndex:
     return _STORED[key]
 
 
+def listed_index(spark: SparkSession, folder: str) -> lexical.LexicalIndex:
+    """The index for a table of questions: over the chunks' token lists, written once per session like the other, which it takes if that is there."""
+    files = readers.list_status(spark, Source("stuk", f"{folder}/stuk.parquet"))
+    key = (spark.sparkContext.applicationId, folder, tuple(files))
+    if key not in _STORED and (*key, "lists") not in _STORED:
+        _STORED[*key, "lists"] = lexical.LexicalIndex.of(chunks_of(spark, folder), keep=True)
+    return _STORED.get(key) or _STORED[*key, "lists"]
+
+
 def questions_of(spark: SparkSession, folder: str) -> DataFrame:
     v = table(spark, folder, "vraag")
     unit = F.transform("vec", lambda x: x.cast("double"))
-    length = F.sqrt(F.aggregate(unit, F.lit(0.0), lambda a, x: a + x * x))
-    return v.select(F.col("vraag_id").alias("question_id"), F.col("vraag").alias("question"), F.col("bron").alias("source"), F.col("k").cast("int").alias("k"), F.transform(unit, lambda x: x / length).alias("vec"))
+    return v.select(F.col("vraag_id").alias("question_id"), F.col("vraag").alias("question"), F.col("bron").alias("source"), F.col("k").cast("int").alias("k"), _unit(unit).alias("vec"))
+
+
+def _unit(vec: Column) -> Column:
+    """The vector at unit length. The length stands in an array, since inside a lambda it would be worked out for every element."""
+    length = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x))
+    return F.zip_with(vec, F.array_repeat(length, F.size(vec)), lambda x, n: x / n)
 
 
 def vectors_of(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,9 +72,8 @@ def vectors_of(spark: SparkSession, folder: str) -> DataFrame:
     v = table(spark, folder, "vector")
     good = F.col("vec").isNotNull() & (F.size("vec") == 64) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("vec", lambda x: x != 0)
     wide = v.filter(good).groupBy("id").agg(F.min("vec").alias("vec")).select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
-    unit = wide.withColumn("length", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))
     of_chunk = table(spark, folder, "stuk").select("id", F.col("bron").alias("source"))
-    return unit.join(of_chunk, "id").select(F.conv("id", 16, 10).cast("long").alias("ord"), "source", F.expr("transform(vec, x -> x / length)").alias("vec"))
+    return wide.join(of_chunk, "id").select(F.conv("id", 16, 10).cast("long").alias("ord"), "source", _unit(F.col("vec")).alias("vec"))
 
 
 class RunDies(RuntimeError):
@@ -389,7 +402,7 @@ def recency_bonus(spark, folder):
 def hybrid_search(spark, folder):
     """Words and meaning fused, with status and recency; names and siblings are queries of their own."""
     settings = Settings(name_weight=0.0, siblings=0)
-    hits = search.search(stored_index(spark, folder), chunks_of(spark, folder), questions_of(spark, folder), settings, vectors_of(spark, folder), F.lit(AS_OF).cast("date"))
+    hits = search.search(listed_index(spark, folder), chunks_of(spark, folder), questions_of(spark, folder), settings, vectors_of(spark, folder), F.lit(AS_OF).cast("date"))
     return hits.select("question_id", "place", "chunk_id", "score", F.array_join("signals", ",").alias("signals"))
 
 

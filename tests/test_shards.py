@@ -44,6 +44,19 @@ def test_hybrid_search_takes_the_best_of_each_question_out_of_the_shards(index,
     assert shown <= 5 * asked.sparkSession.sparkContext.defaultParallelism and found.count() < hits.count()
 
 
+def test_sibling_chunks_are_the_best_two_of_each_document(index, asked):
+    hits = index.match(lexical.attempts(asked), F.lit("or")).filter("attempt = 3").select("question_id", "ord", "source", "path").filter("ord % 7 = 0")
+    names = F.array().cast("array<array<string>>")
+    got = fusion.siblings(index, hits, asked, names, 2)
+    words = asked.select("question_id", F.posexplode(T.coarse_stems(T.content_words(F.col("question")))).alias("phrase_no", "x"))
+    phrases = words.select("question_id", F.lit(1).alias("attempt"), "phrase_no", T.tokens(F.col("x.token")).alias("tokens"), F.col("x.prefix").alias("prefix"), F.array(F.lit("section"), F.lit("text")).alias("cols"))
+    others = index.match(phrases, F.lit("or")).withColumn("score", F.round("score", 12)).join(hits.select("question_id", "source", "path").distinct(), ["question_id", "source", "path"]).join(hits, ["question_id", "ord"], "left_anti")
+    w = Window.partitionBy("question_id", "source", "path").orderBy(F.desc("score"), "ord")
+    want = others.withColumn("at", F.row_number().over(w)).filter("at <= 2").select("question_id", "source", "path", "ord")
+    assert rows_of(got.select("question_id", "source", "path", F.explode("siblings"))) == rows_of(want)
+    assert "vol" in {r.path for r in got.collect()}
+
+
 def test_nearest_rows_survive_many_cuts():
     rng = np.random.default_rng(2)
     q, x = rng.normal(size=(3, 5)), np.repeat(rng.normal(size=(500, 5)), 4, axis=0)

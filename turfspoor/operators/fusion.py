@@ -63,11 +63,10 @@ def siblings(index: LexicalIndex, hits: DataFrame, questions: DataFrame, names:
     by_word = asked.filter((F.size("names") == 0) & (F.size("words") > 0)).select("question_id", F.posexplode(coarse_stems(F.col("words"))).alias("phrase_no", "x"))
     cols = F.array(F.lit("section"), F.lit("text"))
     phrases = by_name.unionByName(by_word).select("question_id", F.lit(1).alias("attempt"), "phrase_no", tokens(F.col("x.token")).alias("tokens"), F.col("x.prefix").alias("prefix"), cols.alias("cols"))
-    found = index.match(phrases, F.lit("or"))
-    documents = hits.select("question_id", "source", "path").distinct()
-    others = found.join(documents, ["question_id", "source", "path"], "left_semi").join(hits.select("question_id", "ord"), ["question_id", "ord"], "left_anti")
+    found = index.best_matches(phrases, F.lit(True), limit, documents=hits.select("question_id", "source", "path", "ord"))
+    others = found.join(index.lengths.select("ord", "source", "path", "ordinal"), "ord")
     order = Window.partitionBy("question_id", "source", "path").orderBy(F.desc("score"), "ord")
-    top = others.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= limit).join(index.lengths.select("ord", "ordinal"), "ord")
+    top = others.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= limit)
     sorted_ = F.array_sort(F.collect_list(F.struct("ordinal", "ord")))
     return top.groupBy("question_id", "source", "path").agg(F.transform(sorted_, lambda x: x.getField("ord")).alias("siblings"))
 

@@ -414,7 +414,7 @@ def full_search(spark, folder):
 
 def sibling_chunks(spark, folder):
     """Siblings of every document that the words of a question hit first."""
-    index, q = stored_index(spark, folder), questions_of(spark, folder).drop("vec")
+    index, q = listed_index(spark, folder), questions_of(spark, folder).drop("vec")
     top = written(lexical.word_list(index, q).filter("rank <= 8").join(chunks_of(spark, folder).select("ord", "source", "path"), "ord").select("question_id", "ord", "source", "path"), "top")
     out = fusion.siblings(index, top, q, T.names(F.col("question")))
     return out.select("question_id", "source", "path", F.explode("siblings").alias("ord")).select("question_id", "source", "path", F.lower(F.lpad(F.hex("ord"), 12, "0")).alias("chunk_id"))

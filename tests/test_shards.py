@@ -57,6 +57,24 @@ def test_sibling_chunks_are_the_best_two_of_each_document(index, asked):
     assert "vol" in {r.path for r in got.collect()}
 
 
+def test_full_search_scans_the_vectors_once_for_many_questions(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.normal(size=(60, 4)), 10, axis=0)
+    vectors = spark.createDataFrame([(n, "ab"[n % 2], v.tolist()) for n, v in enumerate(x)], "ord long, source string, vec array<double>").repartition(3)
+    q = rng.normal(size=(4100, 4))
+    asked = spark.createDataFrame([(n, "b" if n % 3 == 0 else None, v.tolist()) for n, v in enumerate(q)], "question_id long, source string, vec array<double>")
+    monkeypatch.setattr(semantic, "WIDE", 100)  # several cuts; workers that are forked later see it
+    found = semantic.top_similar(asked, vectors, 4, 12)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapIn") == 1
+    got = {}
+    for r in found.orderBy("question_id", "rank").collect():
+        got.setdefault(r.question_id, []).append(r.ord)
+    sims = np.round(q @ x.T, 12)
+    for n in range(len(q)):
+        ids = np.arange(600) if n % 3 else np.arange(1, 600, 2)
+        assert got[n] == ids[np.lexsort((ids, -sims[n][ids]))][:12].tolist()
+
+
 def test_nearest_rows_survive_many_cuts():
     rng = np.random.default_rng(2)
     q, x = rng.normal(size=(3, 5)), np.repeat(rng.normal(size=(500, 5)), 4, axis=0)

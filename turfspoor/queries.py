@@ -408,7 +408,7 @@ def hybrid_search(spark, folder):
 
 def full_search(spark, folder):
     """All of it: three kinds of lists, re-ranking, siblings and fragments."""
-    hits = search.search(stored_index(spark, folder), chunks_of(spark, folder), questions_of(spark, folder), Settings(snippets=True), vectors_of(spark, folder), F.lit(AS_OF).cast("date"))
+    hits = search.search(listed_index(spark, folder), chunks_of(spark, folder), questions_of(spark, folder), Settings(snippets=True), vectors_of(spark, folder), F.lit(AS_OF).cast("date"))
     return hits.select("question_id", "place", "chunk_id", "score", F.array_join("signals", ",").alias("signals"), F.size("siblings").alias("siblings"), "fragment")
 
 
